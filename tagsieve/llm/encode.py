@@ -150,19 +150,20 @@ def encode_corpus(documents: DataFrame, vocabulary_path: str, pattern: str, row_
 
     Null and empty texts have the empty list. Strings of special tokens are ordinary text.
     Every row gives one row, repeated ones included; other columns are neither read nor
-    returned. The file must be below ``MAX_VOCABULARY_BYTES``, as it is broadcast.
+    returned. The hash is built once, on the driver, and broadcast with the vocabulary,
+    whose file must be below ``MAX_VOCABULARY_BYTES``.
     """
     with open(vocabulary_path, "rb") as file:
         content = file.read(MAX_VOCABULARY_BYTES + 1)
     if len(content) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"{vocabulary_path} is larger than {MAX_VOCABULARY_BYTES} bytes")
-    shared = documents.sparkSession.sparkContext.broadcast(content)
+    shared = documents.sparkSession.sparkContext.broadcast(Vocabulary.parse(content, pattern))
     schema = T.StructType([documents.schema[row_id], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        vocabulary = Vocabulary.parse(shared.value, pattern)
+        vocabulary = shared.value
         for batch in batches:
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
                 ids = vocabulary.encode(part.column(1).to_pylist())
