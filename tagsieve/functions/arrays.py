@@ -48,19 +48,13 @@ def min_max(value: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, (value - low) / (high - low)).otherwise(F.when(value.isNotNull(), 0.0))
 
 
-def hash_unit(seed: int, *parts: Column, steps: int = 1_000_003) -> Column:
+def hash_unit(seed: int, *parts: Column) -> Column:
     """A number in [0, 1) from integer columns, the same in any SQL engine and partitioning."""
-    mixed = F.lit(seed % steps).cast("long")
-    for part in parts:
-        mixed = F.pmod(mixed * F.lit(7919) + F.pmod(part.cast("long"), F.lit(steps)) * F.lit(104_729) + F.lit(12_345), F.lit(steps))
-        mixed = F.pmod(mixed * mixed + mixed * F.lit(31) + F.lit(17), F.lit(steps))
-    return mixed / F.lit(float(steps))
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), *[part.cast("string") for part in parts]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def hash_unit_sql(seed: int, *parts: str, steps: int = 1_000_003) -> str:
+def hash_unit_sql(seed: int, *parts: str) -> str:
     """The SQL of ``hash_unit``."""
-    mixed = f"{seed % steps}"
-    for part in parts:
-        mixed = f"((({mixed})::bigint * 7919 + (({part})::bigint % {steps}) * 104729 + 12345) % {steps})"
-        mixed = f"(({mixed} * {mixed} + {mixed} * 31 + 17) % {steps})"
-    return f"({mixed} / {steps}.0::double)"
+    joined = " || '/' || ".join([f"'{seed}'", *[f"({part})::bigint::varchar" for part in parts]])
+    return f"(('0x' || md5({joined})[1:8])::bigint / {1 << 32}.0::double)"
