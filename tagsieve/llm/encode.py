@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens outside the vocabulary whose ids a worker remembers.
 REMEMBERED = 200_000
+MASK = (1 << 64) - 1
 
 
 class PerfectHash:
@@ -38,19 +39,21 @@ class PerfectHash:
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         sizes = np.diff(ends)
-        taken = np.zeros(self.size, bool)
-        for b in np.argsort(-sizes, kind="stable"):
+        free = bytearray(b"\x01") * self.size
+        for b in np.argsort(-sizes, kind="stable").tolist():
             if sizes[b] < 2:
                 break
-            mine = hashes[order[ends[b] : ends[b + 1]]]
+            mine = hashes[order[ends[b] : ends[b + 1]]].tolist()
             seed = 1
             while True:
-                places = self.mix(mine, seed)
-                if not taken[places].any() and len(np.unique(places)) == len(places):
+                places = {self.mix_one(h, seed) for h in mine}
+                if len(places) == len(mine) and all(free[p] for p in places):
                     break
                 seed += 1
-            taken[places] = True
+            for p in places:
+                free[p] = 0
             self.seed[b] = seed
+        taken = np.frombuffer(free, np.uint8) == 0
         alone = np.flatnonzero(sizes == 1)
         self.seed[alone] = -1 - np.flatnonzero(~taken)[: len(alone)]
 
@@ -65,6 +68,12 @@ class PerfectHash:
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return ((x ^ (x >> np.uint64(32))) % np.uint64(self.size)).astype(np.int64)
 
+    def mix_one(self, h: int, seed: int) -> int:
+        """The same as ``mix``, of one hash."""
+        x = h ^ (seed * 0x9E3779B97F4A7C15 & MASK)
+        x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & MASK
+        return (x ^ (x >> 32)) % self.size
+
     def places(self, keys: list[bytes]) -> np.ndarray:
         """The place of each key; of a key that isn't in the set, any place."""
         hashes = self.hashes(keys)
