@@ -187,7 +187,7 @@ def closing_score(text: str, mark_at: int, mark: str) -> float:
     if found is None:
         return FULL_MARK
     word, low = found[0], found[0].lower()
-    if low.isdigit():
+    if low.replace(".", "").isdigit():
         before = WORD_BEFORE.search(text, max(0, mark_at - 40), mark_at)
         return ORDINAL if len(low) < 3 and before and before[1].lower() in BEFORE_ORDINAL else FULL_MARK
     if low in MAY_END:
@@ -196,7 +196,7 @@ def closing_score(text: str, mark_at: int, mark: str) -> float:
         return ABBREVIATION
     if low in CALENDAR:
         return DATE
-    if len(word.rpartition(".")[2]) == 1 and not word.isdigit() and not CJK.match(word):
+    if len(word.rpartition(".")[2]) == 1 and not CJK.match(word):
         if regex.search(r"(?i)\bт\.\s*[дп]\Z", text[max(0, mark_at - 6) : mark_at]):
             return UNSURE
         return INITIAL
