@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
 
 
 def entropy(values: Column) -> Column:
     """Natural-log entropy of an array, normalised to sum 1 first; 0 log 0 is 0. Null for no mass."""
-    total = array_sum(values)
-    terms = F.transform(values, lambda p: F.when(p > 0, -(p / total) * F.ln(p / total)).otherwise(0.0))
-    return F.when(total > 0, array_sum(terms))
+
+    def terms(total: Column) -> Column:
+        return F.when(total > 0, array_sum(F.transform(values, lambda p: F.when(p > 0, -(p / total) * F.ln(p / total)).otherwise(0.0))))
+
+    return let(array_sum(values), terms)
 
 
 def raw_entropy(values: Column) -> Column:
@@ -33,10 +42,13 @@ def top_two_gap(values: Column) -> Column:
     return F.when(F.size(values) > 1, F.abs(F.get(ordered, F.lit(0)) - F.get(ordered, F.lit(1))))
 
 
+def unit_sum(values: Column) -> Column:
+    """An array scaled to sum 1; null where its sum isn't positive."""
+    return let(values, lambda v: let(array_sum(v), lambda total: F.when(total > 0, F.transform(v, lambda x: x / total))))
+
+
 def softmax(values: Column) -> Column:
-    top = F.array_max(values)
-    powers = F.transform(values, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / array_sum(powers))
+    return unit_sum(let(F.array_max(values), lambda top: F.transform(values, lambda x: F.exp(x - top))))
 
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagsieve.functions.arrays import hash_unit
+from tagsieve.functions.arrays import hash_unit, unit_sum
 from tagsieve.operators.ranking import global_rank
 
 
@@ -121,9 +121,7 @@ def perturbed_probabilities(probs: DataFrame, row_id: str, repetitions: int, str
     """``(row_id, t, probs)``: repeated rows, each probability scaled by a hash of row, turn and class, then to sum 1."""
     turns = probs.select(row_id, "probs", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("t"))
     scaled = F.transform("probs", lambda p, c: p * (1 - F.lit(strength) * hash_unit(seed, F.col(row_id), F.col("t"), c)))
-    rows = turns.select(row_id, "t", scaled.alias("q"))
-    total = F.aggregate("q", F.lit(0.0), lambda a, x: a + x)
-    return rows.withColumn("total", total).where("total > 0").select(row_id, "t", F.transform("q", lambda x: x / F.col("total")).alias("probs"))
+    return turns.select(row_id, "t", unit_sum(scaled).alias("probs")).where("probs is not null")
 
 
 def random_probabilities(df: DataFrame, row_id: str, classes: int, seed: int = 42, repetitions: int = 0) -> DataFrame:
@@ -133,6 +131,5 @@ def random_probabilities(df: DataFrame, row_id: str, classes: int, seed: int = 4
     if repetitions:
         rows = rows.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(repetitions))))
         keys.append(F.col("t"))
-    raw = rows.withColumn("q", F.array(*[hash_unit(seed, *keys, F.lit(c)) + 1e-9 for c in range(classes)]))
-    total = F.aggregate("q", F.lit(0.0), lambda a, x: a + x)
-    return raw.withColumn("total", total).select(*rows.columns, F.transform("q", lambda x: x / F.col("total")).alias("probs"))
+    drawn = F.array(*[hash_unit(seed, *keys, F.lit(c)) + 1e-9 for c in range(classes)])
+    return rows.select(*rows.columns, unit_sum(drawn).alias("probs"))

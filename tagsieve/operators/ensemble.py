@@ -45,14 +45,15 @@ def borda_count(scores: DataFrame, row_id: str = "id") -> DataFrame:
     return ranked.groupBy(row_id).agg(F.sum("points").alias("score"))
 
 
-def answer_patterns(votes: DataFrame, row_id: str, workers: int, classes: int) -> tuple[DataFrame, DataFrame]:
+def answer_patterns(votes: DataFrame, row_id: str, workers: int) -> tuple[DataFrame, DataFrame]:
     """Rows by their pattern of votes ``(row_id, worker, label)``: ``(row_id, pattern)`` and ``(pattern, n)``.
 
     A pattern holds, for every worker, the voted class or -1. Tasks with the same pattern
     have the same estimate, so iterations only run over distinct patterns.
     """
+    # rows are read for the patterns and again for the answers, so they are kept
     slots = [F.coalesce(F.max(F.when(F.col("worker") == w, F.col("label"))), F.lit(-1)).cast("int") for w in range(workers)]
-    rows = votes.groupBy(row_id).agg(F.array(*slots).alias("pattern"))
+    rows = checkpoint(votes.groupBy(row_id).agg(F.array(*slots).alias("pattern")))
     return rows, rows.groupBy("pattern").agg(F.count("*").alias("n"))
 
 
@@ -132,7 +133,7 @@ def label_aggregation(df: DataFrame, votes: DataFrame, labels: list[str], worker
     ``votes`` has ``(row_id, worker, label)`` with workers from 0 and class numbers; ties go
     to the lowest class. Rows without votes are left out.
     """
-    rows, patterns = answer_patterns(votes, row_id, workers, len(labels))
+    rows, patterns = answer_patterns(votes, row_id, workers)
     shared = df.sparkSession.sparkContext.broadcast(dawid_skene(patterns, workers, len(labels), iterations))
 
     @F.pandas_udf("string")
@@ -173,7 +174,7 @@ def item_response_flags(df: DataFrame, predictions: DataFrame, models: int, row_
     right = F.when(F.col("prediction") == F.col(label), 1).otherwise(0)
     answers = df.select(row_id, label).where(F.col(label).isNotNull()).join(predictions, row_id)
     votes = answers.where("prediction is not null").select(row_id, F.col("model").alias("worker"), right.alias("label"))
-    rows, counted = answer_patterns(votes, row_id, models, 2)
+    rows, counted = answer_patterns(votes, row_id, models)
     if counted.limit(MAX_LOCAL_PATTERNS + 1).count() > MAX_LOCAL_PATTERNS:
         raise ValueError("too many distinct answer patterns; give fewer models")
     frame = counted.toPandas()

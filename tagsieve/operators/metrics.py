@@ -80,4 +80,4 @@ def calibrate(df: DataFrame, temperatures: DataFrame, fold: str, probs: str) ->
     joined = df.join(F.broadcast(temperatures), fold, "left")
     temperature = F.coalesce("temperature", F.lit(1.0))
     raised = F.transform(probs, lambda p: F.exp(F.ln(F.greatest(p, F.lit(1e-6))) / temperature))
-    return joined.withColumn("__raised", raised).withColumn("calibrated", F.transform("__raised", lambda x: x / arrays.array_sum(F.col("__raised")))).drop("__raised", "temperature")
+    return joined.withColumn("calibrated", arrays.unit_sum(raised)).drop("temperature")

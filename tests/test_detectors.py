@@ -142,7 +142,7 @@ def test_dawid_skene_trusts_the_better_workers(spark):
     votes = spark.createDataFrame(votes, "id long, worker int, label int")
     found = by_id(ensemble.label_aggregation(df, votes, list("abc"), 5, iterations=30), "corrected")
     assert sum(found[i] == "abc"[t] for i, t in enumerate(truth)) > 370
-    _, patterns = ensemble.answer_patterns(votes, "id", 5, 3)
+    _, patterns = ensemble.answer_patterns(votes, "id", 5)
     local, spread = (ensemble.dawid_skene(patterns, 5, 3, 5, max_local=m) for m in (1_000, 0))
     assert np.allclose(local[1], spread[1])
 
