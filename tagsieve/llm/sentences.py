@@ -62,6 +62,11 @@ NO_SPACE = -1.5
 UNBALANCED, NO_WORD, ONE_LETTER, LONG_FROM, LONG = -5.0, -6.0, -2.0, 400, -0.001
 #: A candidate of at least this score, outside any quotation, parts the program into two.
 CERTAIN = 3.0
+#: No split gains more than this by the length of its spans, and none by their balance, so
+#: candidates that score no better than its negative are never chosen and are left out.
+MOST_GAINED = -LONG * LONG_FROM
+#: The most candidates that a sentence passes over, the maximal duration of the model.
+LONGEST_SPAN = 200
 
 LINE = regex.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 ITEM = regex.compile(r"[^\S\r\n]*(?:[-*•‣◦▪●·–+]|\(?\d{1,3}[.)]|\(?[A-Za-z]\))[^\S\r\n]+(?=\S)")
@@ -284,7 +289,7 @@ def span_score(text: str, begin: int, end: int, balanced: bool) -> float:
 
 def divide(text: str) -> list[tuple[int, int]]:
     """The best sequence of sentence spans of one block, which has no space at either end."""
-    places = candidates(text)
+    places = [p for p in candidates(text) if p[2] > -MOST_GAINED]
     if not places:
         return [(0, len(text))]
     ends = [p[0] for p in places] + [len(text)]
@@ -295,7 +300,7 @@ def divide(text: str) -> list[tuple[int, int]]:
     back = [0] * (len(ends) + 1)
     floor = 0
     for j in range(1, len(ends) + 1):
-        for i in range(floor, j):
+        for i in range(max(floor, j - LONGEST_SPAN), j):
             score = best[i] + weight[j - 1] + span_score(text, starts[i], ends[j - 1], state[i] == state[j])
             if score > best[j]:
                 best[j], back[j] = score, i

@@ -67,6 +67,8 @@ def test_blank_texts():
 def test_very_long_texts_in_reasonable_time():
     assert len(split("A short sentence stands here. " * 20_000)) == 20_000
     assert len(split("no end at all " * 50_000)) == 1
+    assert len(split("all lower. no case. " * 20_000)) == 1
+    assert len(split('"Never closed. ' + "Row 1. 2 more. " * 10_000)) > 10_000
 
 
 def test_frame(spark):
