@@ -28,10 +28,14 @@ from tagsieve.plans.runtime import checkpoint
 #: Bits of one filter segment, and bits that a hash sets in its segment.
 SEGMENT_BITS = 1 << 16
 BITS_PER_HASH = 4
-#: Filter bits for every record.
+#: Filter bits for every record: about one single record in 2,000 then passes as a possible repeat.
 BITS_PER_RECORD = 8
 #: Largest filter that is broadcast at once; more records take more passes over the hash range.
 MAX_FILTER_BYTES = 64 << 20
+#: Most passes. Beyond, at 2 ** 30 records with these sizes, passing over the hashes again and
+#: again costs more than it saves: all records then count as possible repeats, and their
+#: digests, not their texts, are shuffled and grouped exactly.
+MAX_PASSES = 16
 
 SEGMENT_BYTES = SEGMENT_BITS // 8
 
@@ -188,6 +192,10 @@ def repeat_filter(hashes: DataFrame, layout: Layout, number: int) -> np.ndarray:
 def mark_possible_repeats(keyed: DataFrame, records: int, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """``keyed`` with ``maybe``: false only for rows whose hash occurs exactly once."""
     layout = Layout.of(records, max_bytes)
+    if layout.passes > MAX_PASSES:
+        return keyed.withColumn("maybe", F.lit(True))
+    if layout.passes > 1:
+        keyed = checkpoint(keyed)  # hashes and digests only: the texts are read once
     context = keyed.sparkSession.sparkContext
     parts = []
     for number in range(layout.passes):

@@ -63,7 +63,12 @@ def test_hot_group_long_texts_and_several_passes(frame):
 def test_passes_do_not_change_the_result(frame, monkeypatch):
     monkeypatch.setattr(fc, "BITS_PER_RECORD", 4_000)
     rows = [(i, f"t {i % 70}", "a") for i in range(100)]
-    assert found(frame(rows), max_filter_bytes=fc.SEGMENT_BYTES * 2)[0] == [(i - 70, i) for i in range(70, 100)]
+    expected = [(i - 70, i) for i in range(70, 100)]
+    assert fc.Layout.of(100, fc.SEGMENT_BYTES * 2).passes == 4
+    assert found(frame(rows), max_filter_bytes=fc.SEGMENT_BYTES * 2)[0] == expected
+    monkeypatch.setattr(fc, "MAX_PASSES", 3)
+    pairs, records = found(frame(rows), max_filter_bytes=fc.SEGMENT_BYTES * 2)
+    assert pairs == expected and sum(n for _, n in records) == 100
 
 
 def test_filters_never_miss_a_repeat():
