@@ -31,8 +31,9 @@ LEAK_WORDS, LEAK_CHARACTERS = 10, 20
 UNSPACED = ("zh", "ja", "th")
 #: Item characters that are indexed and broadcast at once; more items take more blocks.
 BLOCK_CHARACTERS = 2_000_000
-#: Document characters that a task treats at once.
+#: Document characters that a task treats at once, and shared q-grams and bands within them.
 BATCH_CHARACTERS = 1_000_000
+HITS_AT_ONCE, BANDS_AT_ONCE = 2_000_000, 20_000
 
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 TAGS = regex.compile(r"</?[A-Za-z][^<>]{0,300}>")
@@ -130,13 +131,18 @@ class Index:
         self.last = np.r_[self.first[1:], len(order)]
         self.owner, self.place = owner[order], place[order]
 
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(item, place in the item, place in the documents)`` of every shared q-gram."""
-        at = np.minimum(np.searchsorted(self.hashes, grams), max(0, len(self.hashes) - 1))
-        found = np.flatnonzero(self.hashes[at] == grams) if len(self.hashes) else np.zeros(0, np.int64)
+    def hits(self, grams: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(item, place in the item, place in the documents)`` of every shared q-gram, in parts of bounded size."""
+        if not len(self.hashes):
+            return
+        at = np.minimum(np.searchsorted(self.hashes, grams), len(self.hashes) - 1)
+        found = np.flatnonzero(self.hashes[at] == grams)
         first, count = self.first[at[found]], (self.last - self.first)[at[found]]
-        posting = np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        return self.owner[posting], self.place[posting], np.repeat(found, count)
+        part = np.cumsum(count) // HITS_AT_ONCE
+        for own in np.split(np.arange(len(found)), np.flatnonzero(np.diff(part)) + 1):
+            n = count[own]
+            posting = np.repeat(first[own] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            yield self.owner[posting], self.place[posting], np.repeat(found[own], n)
 
     def bands(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(item, first diagonal)`` of the bands that share enough q-grams.
@@ -144,10 +150,14 @@ class Index:
         A band spans two strides of ``edits + 1`` diagonals, and bands overlap by one, so
         that every passage with its edits lies wholly in one of them.
         """
-        item, place, at = self.hits(grams)
-        band = (at - place + self.longest) // self.stride
         wide = (len(grams) + 2 * self.longest) // self.stride + 2
-        keys, counts = np.unique(np.concatenate([item * wide + band, item * wide + np.maximum(band - 1, 0)]), return_counts=True)
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for item, place, at in self.hits(grams):
+            band = (at - place + self.longest) // self.stride
+            both = np.concatenate([keys, item * wide + band, item * wide + np.maximum(band - 1, 0)])
+            weight = np.concatenate([counts, np.ones(2 * len(item), np.int64)])
+            keys, inverse = np.unique(both, return_inverse=True)
+            counts = np.bincount(inverse, weights=weight, minlength=len(keys)).astype(np.int64)
         owner = keys // wide
         kept = counts >= self.least[owner] if len(keys) else np.zeros(0, bool)
         return owner[kept], (keys[kept] % wide) * self.stride - self.longest
@@ -182,7 +192,8 @@ class Index:
         item, diagonal = self.bands(gram_hashes(codes, self.q))
         if not len(item):
             return []
-        scores = self.align(codes, item, diagonal)
+        parts = [slice(k, k + BANDS_AT_ONCE) for k in range(0, len(item), BANDS_AT_ONCE)]
+        scores = np.concatenate([self.align(codes, item[p], diagonal[p]) for p in parts])
         kept = scores >= self.score[item]
         result: dict[tuple[int, int], tuple[int, bool]] = {}
         word_starts: dict[int, np.ndarray] = {}

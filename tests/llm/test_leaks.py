@@ -76,3 +76,11 @@ def test_very_long_document(items):
     index = leaks.Index([leaks.Item(0, leaks.words_of(texts[0]), False)])
     filler = ["filler"] * 200_000
     assert [x[3] for x in index.leaks([filler + leaks.words_of(texts[0])[2:14] + filler])] == [True]
+
+
+def test_repeated_grams_in_parts(monkeypatch):
+    monkeypatch.setattr(leaks, "HITS_AT_ONCE", 100)
+    monkeypatch.setattr(leaks, "BANDS_AT_ONCE", 3)
+    index = leaks.Index([leaks.Item(0, ["aa"] * 30, False), leaks.Item(1, ["ab"] * 30, False)])
+    found = index.leaks([["aa"] * 200, ["ab"] * 12, ["ba"] * 50, ["aa"] * 9])
+    assert {(d, i) for d, i, _, exact in found if exact} == {(0, 0), (1, 1)}
