@@ -49,12 +49,18 @@ def dropout_uncertainty(rep: DataFrame, row_id: str = "id", formulation: str = "
         return rep.groupBy(row_id).agg(F.var_pop(arrays.arg_max(F.col("probs")).cast("double")).alias("score"))
     if formulation not in ("entropy", "original"):
         raise ValueError(f"no such formulation: {formulation}")
-    by_class = rep.select(row_id, F.posexplode("probs").alias("cls", "p")).groupBy(row_id, "cls")
-    means = by_class.agg(F.avg("p").alias("m"), F.avg(F.col("p") * F.col("p")).alias("sq"))
-    if formulation == "original":
-        return means.groupBy(row_id).agg(F.sum(F.col("sq") - F.col("m") * F.col("m")).alias("score"))
-    term = F.when(F.col("m") > 0, -F.col("m") * F.ln("m")).otherwise(0.0)
-    return means.groupBy(row_id).agg(F.sum(term).alias("score"))
+    width = rep.agg(F.max(F.size("probs"))).first()[0] or 0
+    # one average a class, so that a row's turns combine before its few sums are shuffled
+    cells = [F.get("probs", F.lit(c)) for c in range(width)]
+    means = [F.avg(p).alias(f"m{c}") for c, p in enumerate(cells)]
+    squares = [F.avg(p * p).alias(f"s{c}") for c, p in enumerate(cells)] if formulation == "original" else []
+    rows = rep.groupBy(row_id).agg(*means, *squares) if width else rep.select(row_id).distinct()
+    score = F.lit(0.0)
+    for c in range(width):
+        m = F.col(f"m{c}")
+        term = F.col(f"s{c}") - m * m if squares else F.when(m > 0, -m * F.ln(m)).otherwise(0.0)
+        score = score + F.coalesce(term, F.lit(0.0))
+    return rows.select(row_id, score.alias("score"))
 
 
 def confident_learning(df: DataFrame, classes: DataFrame, row_id: str = "id", label: str = "noisy") -> DataFrame:
@@ -69,18 +75,22 @@ def confident_learning(df: DataFrame, classes: DataFrame, row_id: str = "id", la
     """
     rows = with_label_index(df.select(row_id, label, "probs"), classes, label)
     known = rows.where("idx is not null and probs is not null").select(row_id, F.col("idx").alias("s"), "probs")
-    present = known.select("s").distinct()
-    long = known.select(row_id, "s", F.get("probs", F.col("s")).alias("ps"), F.posexplode("probs").alias("j", "p"))
-    long = long.join(F.broadcast(present.select(F.col("s").alias("j"))), "j")
-    thresholds = known.groupBy("s").agg(F.avg(F.get("probs", F.col("s"))).alias("t")).select(F.col("s").alias("j"), "t")
-    above = long.join(F.broadcast(thresholds), "j").where(F.round("p", 9) >= F.round("t", 9))
-    best = above.groupBy(row_id, "s").agg(F.max_by("j", F.struct(F.col("p"), -F.col("j"))).alias("j"))
+    own = known.groupBy("s").agg(F.avg(F.get("probs", F.col("s"))).alias("t"), F.count("*").alias("n"))
+    limits = F.broadcast(own.agg(F.map_from_entries(F.collect_list(F.struct("s", F.round("t", 9).alias("t")))).alias("limits")))
+
+    def candidate(p, j):
+        limit = F.col("limits")[j.cast("int")]
+        return F.when(limit.isNotNull() & (F.round(p, 9) >= limit), F.struct(p.alias("p"), (-j).alias("j")))
+
+    top = F.array_max(F.array_compact(F.transform("probs", candidate)))
+    best = known.crossJoin(limits).select("s", (-top["j"]).alias("j")).where("j is not null")
     joint = best.groupBy("s", "j").agg(F.count("*").alias("c"))
-    labelled = known.groupBy("s").agg(F.count("*").alias("n"))
-    counted = joint.join(F.broadcast(labelled), "s").withColumn("row", F.sum("c").over(Window.partitionBy("s")))
+    counted = joint.join(F.broadcast(own.select("s", "n")), "s").withColumn("row", F.sum("c").over(Window.partitionBy("s")))
     quota = counted.where("s <> j").select("s", "j", F.floor(F.col("c") * F.col("n") / F.col("row") + 0.5).alias("quota"))
-    margins = long.join(F.broadcast(quota.where("quota > 0")), ["s", "j"]).withColumn("margin", F.round(F.col("p") - F.col("ps"), 9))
-    ranked = global_rank(margins.select(row_id, "s", "j", "margin", "quota"), [F.col("margin").desc(), F.col(row_id)], "place", ["s", "j"])
+    wanted = F.broadcast(quota.where("quota > 0"))
+    margin = F.round(F.get("probs", F.col("j")) - F.get("probs", F.col("s")), 9)
+    margins = known.join(wanted, "s").select(row_id, "s", "j", margin.alias("margin"), "quota")
+    ranked = global_rank(margins, [F.col("margin").desc(), F.col(row_id)], "place", ["s", "j"])
     issues = ranked.where("place <= quota").select(row_id).distinct().withColumn("issue", F.lit(True))
     valid = F.when(F.col("idx").isNotNull() & F.col("probs").isNotNull(), F.coalesce("issue", F.lit(False)))
     return rows.join(issues, row_id, "left").select(row_id, valid.alias("flag"))
