@@ -84,8 +84,9 @@ QUOTE_END = frozenset("\"”“»」』›》'’")
 CJK_MARK = frozenset("。．｡！？")
 THAI = regex.compile(r"\p{Thai}")
 THAI_GAP = regex.compile(r"(?<=[\p{Thai}]) +(?=[\p{Thai}\"“(«])|(?<=[\p{Thai}]) +(?=\p{Lu}[\p{Latin}.'’-]* +[\p{Latin}\d]+[.,]? +[\p{Latin}\d])")
-LAST_WORD = regex.compile(r"(?:[\p{L}\p{M}\p{N}]+(?:[.'’][\p{L}\p{M}\p{N}]+)*)\Z")
-WORD_BEFORE = regex.compile(r"([\p{L}\p{M}]+)\s+\d+\Z")
+#: The word that ends where the search ends; it is searched backwards.
+LAST_WORD = regex.compile(r"(?r)(?:[\p{L}\p{M}\p{N}]+[.'’])*[\p{L}\p{M}\p{N}]+\Z")
+WORD_BEFORE = regex.compile(r"(?r)([\p{L}\p{M}]+)\s+\d+\Z")
 FIRST = regex.compile(r"[\"'“”„«‹「『《(（\[【¿¡*_`\s]*")
 FIRST_WORD = regex.compile(r"[\p{L}\p{M}'’]+")
 LETTER = regex.compile(r"[\p{L}\p{N}]")
@@ -244,6 +245,8 @@ def candidates(text: str) -> list[tuple[int, int, float, tuple[str, ...]]]:
     states = _States(text)
     for match in MARKS.finditer(text):
         mark = match[0]
+        if mark == "." and text[match.end() : match.end() + 1].isalnum() and not JOINED.match(text, max(0, match.start() - 2)):
+            continue  # within a number, name or address
         if ";" in mark:
             near = text[max(0, match.start() - 60) : match.start()]
             if len(GREEK.findall(near)) <= len(LATIN.findall(near)) and not GREEK.match(text, max(0, match.start() - 1)):
