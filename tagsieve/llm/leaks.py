@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagsieve.llm.confusables import LOOK_ALIKE, consistent_form
+from tagsieve.llm.confusables import LOOK_ALIKE, MIXABLE, consistent_form
 
 #: Edits that an aligned passage may hold, longest q-gram, and the cost of an edit in the alignment.
 EDITS, LONGEST_Q, EDIT_COST = 2, 6, 3
@@ -62,7 +62,7 @@ def words_of(text: str | None) -> list[str]:
     if "&" in text:
         text = ENTITY.sub(lambda m: html.unescape(m[0]), text)
     folded = consistent_form(text).casefold()
-    return WORDS.findall(folded if folded.isascii() else folded.translate(FOLDED))
+    return WORDS.findall(folded.translate(FOLDED) if MIXABLE.search(folded) else folded)
 
 
 def points(text: str) -> np.ndarray:
