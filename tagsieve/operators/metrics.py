@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagsieve.functions import arrays
+from tagsieve.operators.crossval import Callback
 from tagsieve.operators.ranking import global_rank
 
 
@@ -81,3 +82,24 @@ def calibrate(df: DataFrame, temperatures: DataFrame, fold: str, probs: str) ->
     temperature = F.coalesce("temperature", F.lit(1.0))
     raised = F.transform(probs, lambda p: F.exp(F.ln(F.greatest(p, F.lit(1e-6))) / temperature))
     return joined.withColumn("calibrated", arrays.unit_sum(raised)).drop("temperature")
+
+
+class CalibrationCallback(Callback):
+    """Calibrates each fold's probabilities on its own holdout labels during a cross-validation.
+
+    ``truth`` has ``(row_id, idx)`` with the class number of the holdout label. Predictions
+    keep their columns and gain ``calibrated``; ``errors`` collects the fold's calibration
+    error before and after. Works for flat and for token predictions, by the key columns.
+    """
+
+    def __init__(self, truth: DataFrame, keys: list[str]):
+        self.truth, self.keys = truth, keys
+        self.errors: list[tuple[int, float, float]] = []
+
+    def on_after_predicting(self, fold: int, predicted: DataFrame) -> DataFrame:
+        rows = predicted.join(self.truth.select(*self.keys, "idx"), self.keys).withColumn("__fold", F.lit(fold))
+        fitted = fit_temperatures(rows, "__fold", "probs", "idx")
+        after = calibrate(rows, fitted, "__fold", "probs")
+        before, calibrated = (expected_calibration_error(after, c, "idx").first().ece for c in ("probs", "calibrated"))
+        self.errors.append((fold, before, calibrated))
+        return calibrate(predicted.withColumn("__fold", F.lit(fold)), fitted, "__fold", "probs").drop("__fold")

@@ -427,6 +427,7 @@ QUERIES = {
     "oof_max_ent_text": _oof_text(lambda n: text.max_ent(n, iterations=20)),
     "oof_bigram_hash_text": _oof_text(lambda n: text.bigram_hash(n, iterations=10, width=1 << 16)),
     "oof_boosted_trees_text": _oof_text(lambda n: text.boosted_trees(n, trees=10)),
+    "oof_dropout_text": _oof_text(lambda n: text.dropout_softmax(n, epochs=2, max_train_rows=5_000)),
     "oof_dummy_tags": _oof_tags(tagging.dummy),
     "oof_max_ent_tags": _oof_tags(lambda n: tagging.max_ent(n, iterations=15)),
     "oof_crf_tags": _oof_tags(lambda n: tagging.crf(n, epochs=2, max_train_sentences=1_000)),

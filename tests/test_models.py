@@ -127,3 +127,40 @@ def test_streams_flag_each_delivery_once(spark, tmp_path):
     assert sorted((r.id, r.flag) for r in spark.table("flags").collect()) == [(1, False), (2, True)]
     rates = detect.disagreement_rates(spark.table("flags")).collect()
     assert sorted((r.n, r.flagged) for r in rates) == [(1, 0), (1, 1)]
+
+
+def test_dropout_model_learns_and_varies_by_turn(texts):
+    predict = text.dropout_softmax(LABELS, width=1 << 12)(texts)
+    predicted = {r.id: r for r in predict(texts).collect()}
+    assert len(predicted) == 62 and sum(predicted[i].prediction == LABELS[i % 2 == 0] for i in range(60)) >= 58
+    turns = [sorted((r.id, r.t, tuple(r.probs)) for r in crossval.repeat_inference(df, predict, 3).collect()) for df in (texts, texts.repartition(5))]
+    assert turns[0] == turns[1] and len(turns[0]) == 186
+    assert len({p for i, _, p in turns[0] if i == 3}) > 1
+
+
+def test_tagger_and_embedding_adapters(tokens):
+    def tagger():
+        return lambda sentences: [[[1.0, 0.0] if w == "cat" else [0.0, 1.0] for w in words] for words in sentences]
+
+    tagged = tagging.batch_tagger(tagger, ["CAT", "ELSE"])(tokens).join(tokens, ["sent_id", "pos"])
+    assert tagged.count() == tokens.count() and tagged.where("(token = 'cat') <> (prediction = 'CAT')").count() == 0
+
+    def embedder():
+        import numpy as np
+
+        return lambda words: np.array([[len(w), 1] for w in words], np.float32)
+
+    vecs = features.embed(tokens, ["sent_id", "pos"], "token", embedder).join(tokens, ["sent_id", "pos"])
+    assert vecs.count() == tokens.count() and vecs.where("vec[0] <> length(token)").count() == 0
+
+
+def test_calibration_callback(texts, spark):
+    from tagsieve.operators import metrics
+
+    rows = texts.where("id < 60").select("id", "text", "noisy")
+    truth = rows.select("id", F.when(F.col("noisy") == "good", 1).otherwise(0).alias("idx"))
+    callback = metrics.CalibrationCallback(truth, ["id"])
+    folds = crossval.stratified_folds(rows, "id", "noisy", 2)
+    found = crossval.cross_validate(rows, folds, "id", text.dummy(LABELS), 2, (callback,))
+    assert found.count() == 60 and "calibrated" in found.columns
+    assert [e[0] for e in callback.errors] == [0, 1] and all(after <= before + 0.1 for _, before, after in callback.errors)
