@@ -130,14 +130,21 @@ class Index:
         self.hashes, self.first = np.unique(hashes[order], return_index=True)
         self.last = np.r_[self.first[1:], len(order)]
         self.owner, self.place = owner[order], place[order]
+        self.held = np.zeros(1 << 20, bool)  # low bits of the hashes, which turn most q-grams away
+        self.held[self.low(self.hashes)] = True
+
+    def low(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64(len(self.held) - 1)).astype(np.int64)
 
     def hits(self, grams: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """``(item, place in the item, place in the documents)`` of every shared q-gram, in parts of bounded size."""
         if not len(self.hashes):
             return
-        at = np.minimum(np.searchsorted(self.hashes, grams), len(self.hashes) - 1)
-        found = np.flatnonzero(self.hashes[at] == grams)
-        first, count = self.first[at[found]], (self.last - self.first)[at[found]]
+        found = np.flatnonzero(self.held[self.low(grams)])
+        at = np.minimum(np.searchsorted(self.hashes, grams[found]), len(self.hashes) - 1)
+        same = self.hashes[at] == grams[found]
+        found, at = found[same], at[same]
+        first, count = self.first[at], (self.last - self.first)[at]
         part = np.cumsum(count) // HITS_AT_ONCE
         for own in np.split(np.arange(len(found)), np.flatnonzero(np.diff(part)) + 1):
             n = count[own]
