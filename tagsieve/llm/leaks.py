@@ -18,7 +18,6 @@ from dataclasses import dataclass
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagsieve.llm.confusables import LOOK_ALIKE, MIXABLE, consistent_form
@@ -276,27 +275,26 @@ def leaked_passages(
 
             index = Index(shared.value, edits)
 
-            def found(ids: list, texts: list) -> pa.RecordBatch:
+            def found(ids: pa.Array, first: int, texts: list) -> pa.RecordBatch:
                 leaks = index.leaks(texts)
-                columns = [pa.array([ids[x[0]] for x in leaks], pa.int64()), pa.array([x[1] for x in leaks], pa.int64())]
+                columns = [ids.take(pa.array([first + x[0] for x in leaks], pa.int32())), pa.array([x[1] for x in leaks], pa.int64())]
                 columns += [pa.array([x[2] for x in leaks], pa.int32()), pa.array([x[3] for x in leaks], pa.bool_())]
                 return pa.RecordBatch.from_arrays(columns, schema.names)
 
             for batch in batches:
-                ids, texts, size = [], [], 0
-                for own, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids.append(own)
+                texts, first, size = [], 0, 0
+                for value in batch.column(1).to_pylist():
                     texts.append(words_of(value))
                     size += len(value or "")
                     if size > BATCH_CHARACTERS:
-                        yield found(ids, texts)
-                        ids, texts, size = [], [], 0
-                yield found(ids, texts)
+                        yield found(batch.column(0), first, texts)
+                        texts, first, size = [], first + len(texts), 0
+                yield found(batch.column(0), first, texts)
 
         return run
 
     result = None
     for block in item_blocks(items, block_characters):
-        part = documents.select(F.col(row_id).cast("long"), text).mapInArrow(search(context.broadcast(block)), schema)
+        part = documents.select(row_id, text).mapInArrow(search(context.broadcast(block)), schema)
         result = part if result is None else result.unionByName(part)
     return documents.sparkSession.createDataFrame([], schema) if result is None else result

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagsieve.plans.runtime import shuffle_width
 
@@ -99,8 +100,11 @@ def term_counts(df: DataFrame, fields: dict[str, Column], record: str, max_terms
 
     ``fields`` names the counted expressions. Null is no term and isn't counted; the empty
     string is one. Repeated rows count each time; a null ``record`` counts as one record.
-    An empty table has no terms. Other columns of ``df`` are not read.
+    An empty table has no terms. Other columns of ``df`` are not read. ``record`` must be
+    an integer column.
     """
+    if not isinstance(df.schema[record].dataType, T.IntegralType):
+        raise ValueError(f"{record} isn't an integer column")
     own = F.coalesce(F.col(record).cast("long"), F.lit(NULL_RECORD)).alias("record")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("term")) for k, v in fields.items()])).alias("t")
     rows = df.select(own, each).select("t.field", "t.term", "record").where("term is not null")
