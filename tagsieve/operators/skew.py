@@ -54,8 +54,10 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join in which the rows of heavy keys of ``left`` are not shuffled by key.
 
-    ``how`` is ``inner`` or ``left``. ``heavy`` may give the heavy keys (any bounded frame
-    with the column ``key``); else they are found at ``share``. With ``right_unique`` the
+    ``how`` is ``inner`` or ``left``. ``heavy`` may give the heavy keys (a frame of at most
+    some thousand rows with the column ``key``); else they are found at ``share``. Their
+    64-bit hashes, a few bytes each, come to the driver and stand in both filters as
+    constants; a key that shares a hash only joins the broadcast side. With ``right_unique`` the
     heavy side of ``right`` has at most one row a key and is broadcast; otherwise it is
     counted first and, beyond ``max_broadcast_rows``, salted instead. Null keys match
     nothing: dropped by ``inner``, kept with nulls by ``left``. Columns of ``right`` that
@@ -66,11 +68,13 @@ def skew_join(
     clash = (set(left.columns) & set(right.columns)) - {key}
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
-    keys = (candidate_keys(left.select(key), key, share) if heavy is None else heavy.select(key)).distinct()
-    flagged = left.join(F.broadcast(keys.withColumn("__heavy", F.lit(True))), key, "left")
-    hot, cold = flagged.where("__heavy").drop("__heavy"), flagged.where("__heavy is null").drop("__heavy")
-    right_hot = right.join(F.broadcast(keys), key, "left_semi")
-    right_cold = right.join(F.broadcast(keys), key, "left_anti")
+    keys = candidate_keys(left.select(key), key, share) if heavy is None else heavy.select(key)
+    marks = [r[0] for r in keys.where(F.col(key).isNotNull()).select(F.xxhash64(key)).distinct().collect()]
+    if not marks:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.when(F.col(key).isNotNull(), F.xxhash64(key).isin(marks)), F.lit(False))
+    hot, cold = left.where(is_hot), left.where(~is_hot)
+    right_hot, right_cold = right.where(is_hot), right.where(~is_hot)
     if right_unique or right_hot.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
         joined_hot = hot.join(F.broadcast(right_hot), key, how)
     else:
