@@ -8,11 +8,12 @@ for heavy keys, since a handful of forms may hold most rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagsieve.functions.arrays import min_max
 from tagsieve.operators.skew import skew_join
+from tagsieve.plans.runtime import checkpoint
 
 HEAVY_SHARE = 0.01
 
@@ -42,21 +43,34 @@ def form_stats(df: DataFrame, row_id: str, form: str, label: str) -> DataFrame:
     )
 
 
-def with_form_stats(df: DataFrame, row_id: str, form: str, label: str) -> DataFrame:
+def with_form_stats(df: DataFrame, row_id: str, form: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the statistics of their form, and the statistics, which are computed and kept once.
+
+    Exact counts name the heavy forms here, so no sketch is needed.
+    """
     rows = df.select(row_id, form, label)
-    return skew_join(rows, form_stats(rows, row_id, form, label), form, "left", HEAVY_SHARE, right_unique=True)
+    stats = checkpoint(form_stats(rows, row_id, form, label))
+    total = F.broadcast(stats.agg(F.sum("n").alias("total")))
+    heavy = stats.crossJoin(total).where(F.col("n") >= HEAVY_SHARE * F.col("total"))
+    return skew_join(rows, stats, form, "left", heavy=heavy, right_unique=True), stats
 
 
 def majority_per_form(df: DataFrame, row_id: str, form: str, label: str) -> DataFrame:
     """``(row_id, flag, corrected)``: rows whose label isn't the most frequent of their form."""
-    stats = with_form_stats(df, row_id, form, label)
-    return stats.select(row_id, (F.col(label) != F.col("majority")).alias("flag"), F.col("majority").alias("corrected"))
+    rows, _ = with_form_stats(df, row_id, form, label)
+    return rows.select(row_id, (F.col(label) != F.col("majority")).alias("flag"), F.col("majority").alias("corrected"))
 
 
-def _scaled(raw: DataFrame, row_id: str, score) -> DataFrame:
-    span = F.broadcast(raw.agg(F.min("raw").alias("low"), F.max("raw").alias("high")))
-    scaled = min_max(F.col("raw"), F.col("low"), F.col("high"))
-    return raw.crossJoin(span).select(row_id, score(scaled).alias("score"))
+def _scaled(rows: DataFrame, stats: DataFrame, row_id: str, label: str, plain: float, odd: Column, score) -> DataFrame:
+    """Min-max scaled raw scores: ``plain`` for rows of the majority or only label, ``odd`` for others.
+
+    Every form has a row of its majority, and one of several labels a row of another, so
+    the least and largest raw score follow from the statistics alone.
+    """
+    several = F.when(F.col("k") > 1, odd)
+    ends = stats.agg(F.least(F.min(several), F.lit(plain)).alias("low"), F.greatest(F.max(several), F.lit(plain)).alias("high"))
+    raw = F.when(F.col(label).isNull() | F.col("k").isNull(), None).when((F.col("k") < 2) | (F.col(label) == F.col("majority")), plain).otherwise(odd)
+    return rows.crossJoin(F.broadcast(ends)).select(row_id, score(min_max(raw, F.col("low"), F.col("high"))).alias("score"))
 
 
 def label_entropy(df: DataFrame, row_id: str, form: str, label: str, majority_zero: bool = False) -> DataFrame:
@@ -66,16 +80,13 @@ def label_entropy(df: DataFrame, row_id: str, form: str, label: str, majority_ze
     original method does, so they may score highest; ``majority_zero`` gives them raw 0 and
     the scaled entropy itself as the score instead, the documented intent.
     """
-    stats = with_form_stats(df, row_id, form, label)
-    plain = (F.col("k") < 2) | (F.col(label) == F.col("majority"))
-    raw = F.when(plain, 0.0 if majority_zero else 1.0).when(F.col(label).isNotNull(), F.col("bits"))
-    rows = stats.select(row_id, F.when(F.col(label).isNotNull(), raw).alias("raw"))
-    return _scaled(rows, row_id, (lambda x: x) if majority_zero else (lambda x: 1 - x))
+    rows, stats = with_form_stats(df, row_id, form, label)
+    score = (lambda x: x) if majority_zero else (lambda x: 1 - x)
+    return _scaled(rows, stats, row_id, label, 0.0 if majority_zero else 1.0, F.col("bits"), score)
 
 
 def weighted_discrepancy(df: DataFrame, row_id: str, form: str, label: str) -> DataFrame:
     """``(row_id, score)``: min-max scaled ``(most - least) / k * n`` of the form, 0 for its majority label."""
-    stats = with_form_stats(df, row_id, form, label)
-    plain = (F.col("k") < 2) | (F.col(label) == F.col("majority"))
-    raw = F.when(plain, 0.0).otherwise((F.col("most") - F.col("least")) / F.col("k") * F.col("n"))
-    return _scaled(stats.select(row_id, F.when(F.col(label).isNotNull(), raw).alias("raw")), row_id, lambda x: x)
+    rows, stats = with_form_stats(df, row_id, form, label)
+    odd = (F.col("most") - F.col("least")) / F.col("k") * F.col("n")
+    return _scaled(rows, stats, row_id, label, 0.0, odd, lambda x: x)
