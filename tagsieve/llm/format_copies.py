@@ -194,8 +194,6 @@ def mark_possible_repeats(keyed: DataFrame, records: int, max_bytes: int = MAX_F
     layout = Layout.of(records, max_bytes)
     if layout.passes > MAX_PASSES:
         return keyed.withColumn("maybe", F.lit(True))
-    if layout.passes > 1:
-        keyed = checkpoint(keyed)  # hashes and digests only: the texts are read once
     context = keyed.sparkSession.sparkContext
     parts = []
     for number in range(layout.passes):
@@ -237,8 +235,9 @@ class FormatCopies:
     ):
         self.row_id = row_id
         self.rows = df.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"), *([] if label is None else [F.col(label).alias("label")]))
-        keyed = canonical(self.rows, "row_id", "text", None if label is None else "label", field_names)
-        marked = mark_possible_repeats(keyed, self.rows.count(), max_filter_bytes)
+        # hashes and digests, some fifty bytes a record, are kept, so that each text is taken apart once
+        keyed = checkpoint(canonical(self.rows, "row_id", "text", None if label is None else "label", field_names))
+        marked = mark_possible_repeats(keyed, keyed.count(), max_filter_bytes)
         self.singles = marked.where(~F.col("maybe")).select("row_id")
         self.possible = checkpoint(marked.where("maybe").select("row_id", "digest"))
         grouped = self.possible.groupBy("digest").agg(F.min("row_id").alias("keep_id"), F.count("*").alias("copies"))
