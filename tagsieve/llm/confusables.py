@@ -123,14 +123,16 @@ def inspect(text: str) -> tuple[str, dict[str, bool], int]:
     flags = dict.fromkeys(FLAGS, False)
     if text.isascii():
         return text, flags, 0
+    form, whole = text, 0
     flags["invisible"] = INVISIBLE.search(text) is not None
-    flags["space"] = ODD_SPACE.search(text) is not None
-    plain_spaces = ODD_SPACE.sub(" ", text)
-    composed = unicodedata.normalize("NFC", plain_spaces)
-    flags["parts"] = composed != plain_spaces
-    flags["compatibility"] = unicodedata.normalize("NFKC", plain_spaces) != composed
-    form = unicodedata.normalize("NFKC", INVISIBLE.sub("", plain_spaces)) if any(flags.values()) else composed
-    whole = 0
+    # of the odd spaces only one is its own compatibility form
+    if flags["invisible"] or not unicodedata.is_normalized("NFKC", text) or "\u1680" in text:
+        flags["space"] = ODD_SPACE.search(text) is not None
+        plain_spaces = ODD_SPACE.sub(" ", text) if flags["space"] else text
+        composed = unicodedata.normalize("NFC", plain_spaces)
+        flags["parts"] = composed != plain_spaces
+        flags["compatibility"] = unicodedata.normalize("NFKC", plain_spaces) != composed
+        form = unicodedata.normalize("NFKC", INVISIBLE.sub("", plain_spaces))
     if MIXABLE.search(text) or MIXABLE.search(form):
         flags["mixed"] = any(readings(w)[0] == "mixed" for w in WORD.findall(text))
         context: list[str | None] = []
