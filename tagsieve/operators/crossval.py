@@ -118,10 +118,14 @@ def repeat_inference(df: DataFrame, predict: Callable[[DataFrame, Column], DataF
 
 
 def perturbed_probabilities(probs: DataFrame, row_id: str, repetitions: int, strength: float = 0.5, seed: int = 23) -> DataFrame:
-    """``(row_id, t, probs)``: repeated rows, each probability scaled by a hash of row, turn and class, then to sum 1."""
-    turns = probs.select(row_id, "probs", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("t"))
+    """``(row_id, t, probs)``: repeated rows, each probability scaled by a hash of row, turn and class, then to sum 1.
+
+    Rows without a positive probability are left out.
+    """
+    usable = probs.where(F.exists("probs", lambda p: p > 0))
+    turns = usable.select(row_id, "probs", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("t"))
     scaled = F.transform("probs", lambda p, c: p * (1 - F.lit(strength) * hash_unit(seed, F.col(row_id), F.col("t"), c)))
-    return turns.select(row_id, "t", unit_sum(scaled).alias("probs")).where("probs is not null")
+    return turns.select(row_id, "t", unit_sum(scaled).alias("probs"))
 
 
 def random_probabilities(df: DataFrame, row_id: str, classes: int, seed: int = 42, repetitions: int = 0) -> DataFrame:

@@ -39,17 +39,18 @@ def prediction_margin(probs: DataFrame, row_id: str = "id") -> DataFrame:
     return probs.select(row_id, (1 - arrays.top_two_gap(F.col("probs"))).alias("score"))
 
 
-def dropout_uncertainty(rep: DataFrame, row_id: str = "id", formulation: str = "entropy") -> DataFrame:
+def dropout_uncertainty(rep: DataFrame, row_id: str = "id", formulation: str = "entropy", classes: int | None = None) -> DataFrame:
     """``(row_id, score)`` from repeated probability rows ``(row_id, t, probs)``.
 
     ``entropy``: the entropy of the mean row, not rescaled. ``original``: the mean squared
     norm less the squared norm of the mean. ``variance``: the variance of the best class.
+    ``classes`` is the length of the rows, which else is looked up first.
     """
     if formulation == "variance":
         return rep.groupBy(row_id).agg(F.var_pop(arrays.arg_max(F.col("probs")).cast("double")).alias("score"))
     if formulation not in ("entropy", "original"):
         raise ValueError(f"no such formulation: {formulation}")
-    width = rep.agg(F.max(F.size("probs"))).first()[0] or 0
+    width = classes or rep.agg(F.max(F.size("probs"))).first()[0] or 0
     # one average a class, so that a row's turns combine before its few sums are shuffled
     cells = [F.get("probs", F.lit(c)) for c in range(width)]
     means = [F.avg(p).alias(f"m{c}") for c, p in enumerate(cells)]

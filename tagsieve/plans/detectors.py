@@ -49,6 +49,10 @@ def _repeated(spark: SparkSession, sf: str) -> DataFrame:
     return crossval.perturbed_probabilities(table(spark, sf, "probs"), "id", TURNS)
 
 
+def _classes(spark: SparkSession, sf: str) -> int:
+    return table(spark, sf, "label_set").count()
+
+
 def _tagged(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens with ``noisy_tag`` and ``gold_tag``: BIO tags of the runs of the span types."""
     tokens = _tokens(spark, sf)
@@ -120,11 +124,11 @@ def confident_learning(spark, sf):
 
 
 def dropout_uncertainty(spark, sf):
-    return rounded(probability.dropout_uncertainty(_repeated(spark, sf)))
+    return rounded(probability.dropout_uncertainty(_repeated(spark, sf), classes=_classes(spark, sf)))
 
 
 def dropout_original(spark, sf):
-    return rounded(probability.dropout_uncertainty(_repeated(spark, sf), formulation="original"))
+    return rounded(probability.dropout_uncertainty(_repeated(spark, sf), formulation="original", classes=_classes(spark, sf)))
 
 
 def dropout_variance(spark, sf):
