@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 #: Letters that look alike, as Latin, Cyrillic, Greek; a dot where a script has none.
 LOOK_ALIKE = """
-AАΑ BВΒ CСϹ EЕΕ GԌ. HНΗ IІΙ JЈͿ KКΚ MМΜ N.Ν OОΟ PРΡ QԚ. SЅ. TТΤ VѴ. WԜ. XХΧ YУΥ Z.Ζ
-aаα cсϲ dԁ. eе. hһ. iіι jјϳ kкκ oоο pрρ qԛ. sѕ. u.υ v.ν wԝ. xхχ yуγ
+AАΑ BВΒ CС. EЕΕ GԌ. HНΗ IІΙ JЈͿ KКΚ MМΜ N.Ν OОΟ PРΡ QԚ. SЅ. TТΤ VѴ. WԜ. XХΧ YУΥ Z.Ζ
+aаα cс. dԁ. eе. hһ. iіι jјϳ kкκ oоο pрρ qԛ. sѕ. u.υ v.ν wԝ. xхχ yуγ
 """.split()
 #: Further pairs of a Latin letter and one that looks like it.
 ALSO_LIKE = "vѵ YҮ yү"
