@@ -83,11 +83,12 @@ JOINED = regex.compile(r"\p{Ll}{2}[.!?][\"”»)]?\p{Lu}\p{Ll}")
 QUOTE_END = frozenset("\"”“»」』›》'’")
 CJK_MARK = frozenset("。．｡！？")
 THAI = regex.compile(r"\p{Thai}")
-THAI_GAP = regex.compile(r"(?<=[\p{Thai}]) +(?=[\p{Thai}\"“(«])|(?<=[\p{Thai}]) +(?=\p{Lu}[\p{Latin}.'’-]* +[\p{Latin}\d]+[.,]? +[\p{Latin}\d])")
+THAI_GAP = regex.compile(r"(?<=\p{Thai})\p{Zs}+(?=[\p{Thai}\"“(«])|(?<=\p{Thai})\p{Zs}+(?=\p{Lu}[\p{Latin}.'’-]* +[\p{Latin}\d]+[.,]? +[\p{Latin}\d])")
 #: The word that ends where the search ends; it is searched backwards.
-LAST_WORD = regex.compile(r"(?r)(?:[\p{L}\p{M}\p{N}]+[.'’])*[\p{L}\p{M}\p{N}]+\Z")
+LAST_WORD = regex.compile(r"(?r)(?:[\p{L}\p{M}\p{N}\p{Cf}]+[.'’])*[\p{L}\p{M}\p{N}\p{Cf}]+\Z")
+UNSEEN = regex.compile(r"\p{Cf}+")
 WORD_BEFORE = regex.compile(r"(?r)([\p{L}\p{M}]+)\s+\d+\Z")
-FIRST = regex.compile(r"[\"'“”„«‹「『《(（\[【¿¡*_`\s]*")
+FIRST = regex.compile(r"[\"'“”„«‹「『《(（\[【¿¡*_`\s\p{Cf}]*")
 FIRST_WORD = regex.compile(r"[\p{L}\p{M}'’]+")
 LETTER = regex.compile(r"[\p{L}\p{N}]")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
@@ -179,6 +180,8 @@ def _after_closers(text: str, at: int, open_: tuple[str, ...]) -> int:
             pass
         elif mark in ")]）】" and not open_:
             pass
+        elif UNSEEN.match(mark):
+            pass
         else:
             break
         at += 1
@@ -192,7 +195,8 @@ def closing_score(text: str, mark_at: int, mark: str) -> float:
     found = LAST_WORD.search(text, max(0, mark_at - 40), mark_at)
     if found is None:
         return FULL_MARK
-    word, low = found[0], found[0].lower()
+    word = UNSEEN.sub("", found[0])
+    low = word.lower()
     if low.replace(".", "").isdigit():
         before = WORD_BEFORE.search(text, max(0, mark_at - 40), mark_at)
         return ORDINAL if len(low) < 3 and before and before[1].lower() in BEFORE_ORDINAL else FULL_MARK
