@@ -153,9 +153,12 @@ def _label_names(spark, sf) -> list[str]:
     return [r.label for r in table(spark, sf, "label_set").orderBy("idx").collect()]
 
 
-def label_aggregation(spark, sf):
-    votes = _repeated(spark, sf).select("id", F.col("t").alias("worker"), arrays.arg_max(F.col("probs")).alias("label"))
-    return ensemble.label_aggregation(table(spark, sf, "instances"), votes, _label_names(spark, sf), TURNS)
+def _label_aggregation(iterations: int):
+    def query(spark, sf):
+        votes = _repeated(spark, sf).select("id", F.col("t").alias("worker"), arrays.arg_max(F.col("probs")).alias("label"))
+        return ensemble.label_aggregation(table(spark, sf, "instances"), votes, _label_names(spark, sf), TURNS, iterations=iterations)
+
+    return query
 
 
 def item_response(spark, sf):
@@ -388,7 +391,8 @@ QUERIES = {
     "dropout_uncertainty": dropout_uncertainty,
     "dropout_original": dropout_original,
     "dropout_variance": dropout_variance,
-    "label_aggregation": label_aggregation,
+    "label_aggregation": _label_aggregation(100),
+    "label_aggregation_two_rounds": _label_aggregation(2),
     "majority_voting": majority_voting,
     "borda_count": borda_count,
     "item_response": item_response,
@@ -535,6 +539,25 @@ _ECE = """, binned as (select least(floor(list_max({p}) * 10), 9) as bin, list_m
 select round(sum(n * gap) / sum(n), 6) as ece from (select bin, count(*) as n, abs(avg(hit) - avg(conf)) as gap from binned group by 1)"""
 
 
+def _dawid_skene_sql(iterations: int) -> str:
+    """The estimates unrolled: shares of the votes, then prior, confusion and estimate in turn."""
+    steps = [
+        f"votes as (select id, t as worker, {_ARGMAX} as label from rep)",
+        "e0 as (select id, idx as cls, avg((v.label = idx)::int) as q from votes v, label_set group by 1, 2)",
+    ]
+    for n in range(iterations + 1):
+        steps += [
+            f"p{n} as (select cls, sum(q) / (select sum(q) from e{n}) as p from e{n} group by 1)",
+            f"m{n} as (select worker, cls, label, sum(q) as s from votes join e{n} using (id) group by 1, 2, 3)",
+            f"c{n} as (select worker, cls, label, s / nullif(sum(s) over (partition by worker, cls), 0) as c from m{n})",
+            f"l{n} as (select id, cls, any_value(ln(greatest(p, 1e-10))) + sum(ln(greatest(coalesce(c, 0), 1e-10))) as l "
+            f"from votes v cross join p{n} left join c{n} using (worker, cls, label) group by 1, 2)",
+            f"e{n + 1} as (select id, cls, exp(l - top) / sum(exp(l - top)) over (partition by id) as q from (select *, max(l) over (partition by id) as top from l{n}))",
+        ]
+    best = f"b as (select id, cls from e{iterations + 1} qualify row_number() over (partition by id order by round(q, 12) desc, cls) = 1)"
+    return f"with {_REP}, {', '.join(steps)}, {best} select i.id, noisy <> s.label as flag, s.label as corrected from instances i join b using (id) join label_set s on s.idx = b.cls"
+
+
 def _noise_sql(p: float, flipped: bool) -> str:
     draw = f"floor({hash_unit_sql(43, 'id')} * (c - 1)) + 1 + idx" if flipped else f"floor({hash_unit_sql(43, 'id')} * c)"
     return f"""with k as (select count(*) as c from label_set), r as (
@@ -650,6 +673,7 @@ select vec_id, label::varchar <> corrected as flag, corrected from embeddings jo
 dens as (select n.id, 1 / (avg(greatest(sqrt(n.d), kd.kd)) + 1e-10) as density from near n join kd on kd.id = n.other group by 1),
 lof as (select n.id, avg(o.density) / any_value(d.density) as lof from near n join dens o on o.id = n.other join dens d on d.id = n.id group by 1)
 select vec_id, round(coalesce(lof, 1.0), 6) as score from embeddings left join lof on id = vec_id""",
+    "label_aggregation_two_rounds": _dawid_skene_sql(2),
     "datamap_confidence": f"with {_REP}, {_LABELLED} select id, round(1 - avg(rep.probs[s + 1]), 6) as score from rep join labelled using (id) group by 1",
     "sentences_nested": "select sent_id, to_json(list(token order by pos))::varchar as tokens, count(*)::int as size from tokens group by 1",
     "tokens_flat": "select sent_id, (row_number() over (partition by sent_id order by pos) - 1)::int as pos, token, noisy, gold from tokens",

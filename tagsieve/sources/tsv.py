@@ -214,14 +214,20 @@ def failed_records(parsed: DataFrame, row_id: str = "line_id") -> DataFrame:
     return parsed.where("reason is not null").select(row_id, "reason", "error_field", "error_at")
 
 
-def load_text_classification_tsv(spark: SparkSession, path: str, label_set: DataFrame) -> DataFrame:
+def load_text_classification_tsv(spark: SparkSession, path: str, label_set: DataFrame, multiline: bool = True) -> DataFrame:
     """Records of TSV files without header: ``(file_name, begin_at, texts, gold, noisy, reason, ...)``.
 
-    Each file is parsed as a whole by one task, as a quoted field may span lines, so files
-    should stay within a task's memory; a large corpus is many files. An empty file has no
-    records.
+    With ``multiline`` each file is parsed as a whole by one task, as a quoted field may
+    span lines, so files should stay within a task's memory; a large corpus is many files.
+    Without it every line is a record, files of any size are split among tasks, and a quoted
+    field that goes on in the next line fails with ``quoting``; ``begin_at`` is then null.
+    An empty file has no records.
     """
     labels = label_values(label_set)
+    if not multiline:
+        lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file_name"), "value")
+        parsed = parse_records(lines, label_set, "file_name", "value")
+        return parsed.select("file_name", F.lit(None).cast("long").alias("begin_at"), *PARSED.names)
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_name"), "value")
     schema = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("begin_at", T.LongType()), *PARSED])
 

@@ -84,6 +84,15 @@ def test_written_files_read_back(spark, tmp_path):
     assert sorted(map(tuple, back.select("texts", "gold", "noisy").collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_files_by_line(spark, tmp_path):
+    (tmp_path / "f.tsv").write_bytes(b't\ta\tb\r\n"open\ta\tb\n\nu\tb\tb')
+    labels = spark.createDataFrame([(0, "a"), (1, "b")], "idx int, label string")
+    rows = tsv.load_text_classification_tsv(spark, str(tmp_path / "f.tsv"), labels, multiline=False).collect()
+    assert sorted((r.texts or "", r.reason or "") for r in rows) == [("", "columns"), ("", "quoting"), ("t", ""), ("u", "")]
+    whole = tsv.load_text_classification_tsv(spark, str(tmp_path / "f.tsv"), labels).collect()
+    assert sorted((r.texts or "", r.reason or "") for r in whole) == [("", "quoting"), ("t", ""), ("u", "")]
+
+
 def test_unbounded_label_sets_are_refused(spark):
     with pytest.raises(ValueError):
         tsv.label_values(spark.range(20).selectExpr("cast(id as string) as label"), limit=10)
