@@ -558,6 +558,75 @@ def _dawid_skene_sql(iterations: int) -> str:
     return f"with {_REP}, {', '.join(steps)}, {best} select i.id, noisy <> s.label as flag, s.label as corrected from instances i join b using (id) join label_set s on s.idx = b.cls"
 
 
+_TRAIN_START = [
+    "x as (select vec_id as id, unnest(range(len(embedding) + 1)) as dim, unnest(list_append(list_transform(embedding, lambda v: v::double), 1.0)) as v from embeddings)",
+    "y as (select vec_id as id, label::varchar as y from embeddings)",
+    "w0 as (select dim, y as cls, 0.0::double as w from (select distinct dim from x), (select distinct y from y))",
+]
+
+
+def _predict_sql(n: int) -> list[str]:
+    """Probabilities ``p`` and rows ``s`` with loss and correctness by the weights of epoch n."""
+    return [
+        f"z{n} as (select id, cls, sum(v * w) as z from x join w{n} using (dim) group by 1, 2)",
+        f"p{n} as (select id, cls, exp(z - top) / sum(exp(z - top)) over (partition by id) as p from (select *, max(z) over (partition by id) as top from z{n}))",
+        f"s{n} as (select id, any_value(y) as y, round(-ln(greatest(max(p) filter (cls = y), 1e-12)), 9) as loss, "
+        f"arg_min(cls, (-round(p, 9), cls)) = any_value(y) as hit from p{n} join y using (id) group by 1)",
+    ]
+
+
+def _step_sql(n: int, chosen: str, rate: float = 4.0) -> list[str]:
+    """Weights of epoch n + 1 after a step on the chosen ids."""
+    return [
+        f"u{n} as ({chosen})",
+        f"g{n} as (select dim, cls, sum(v * (p - (cls = y)::int)) / (select count(*) from u{n}) as g from p{n} join u{n} using (id) join y using (id) join x using (id) group by 1, 2)",
+        f"w{n + 1} as (select dim, cls, w - {rate} * coalesce(g, 0) as w from w{n} left join g{n} using (dim, cls))",
+    ]
+
+
+def _training_sql(epochs: int) -> str:
+    """Softmax regression by full-batch steps, unrolled, and one less the mean probability of the label."""
+    steps = [*_TRAIN_START, *_predict_sql(0)]
+    for n in range(epochs):
+        steps += [*_step_sql(n, "select id from y"), *_predict_sql(n + 1)]
+    log = " union all ".join(f"select id, p from p{n} join y using (id) where cls = y" for n in range(1, epochs + 1))
+    return f"with {', '.join(steps)} select id, round(1 - avg(p), 6) as score from ({log}) group by 1"
+
+
+def _scored_sql(steps: list[str], parts: list[str], last: int) -> str:
+    total = f"t as (select id, sum(part) as total from ({' union all '.join(parts)}) group by 1)"
+    return f"with {', '.join(steps)}, {total} select id as vec_id, round(case when coalesce(total, 0) = 0 then loss else total end, 6) as score from s{last} left join t using (id)"
+
+
+def _curriculum_sql(epochs: int) -> str:
+    steps, parts = [*_TRAIN_START, *_predict_sql(0)], []
+    for n in range(1, epochs + 1):
+        chosen = "select id from y" if n == 1 else f"select id from r{n - 1} where easy or hard"
+        quota = f"floor((select count(*) from y) * {n} / {epochs}.0)"
+        steps += [
+            *_step_sql(n - 1, chosen),
+            *_predict_sql(n),
+            f"a{n} as (select coalesce(avg(loss) filter (hit), '-inf'::double) as mean from s{n})",
+            f"h{n} as (select id from s{n}, a{n} where loss > mean qualify row_number() over (order by loss, id) <= {quota})",
+            f"r{n} as (select id, loss, loss <= mean as easy, id in (select id from h{n}) as hard from s{n}, a{n})",
+        ]
+        parts.append(f"select id, loss + 1.0 / (select count(*) from h{n}) as part from r{n} where hard")
+    return _scored_sql(steps, parts, epochs)
+
+
+def _leitner_sql(epochs: int, queues: int = 5) -> str:
+    steps, parts = [*_TRAIN_START, *_predict_sql(0), "q0 as (select id, 0 as queue from y)"], []
+    for n in range(epochs):
+        trained = f"{n} % (1 << queue) = 0"
+        steps += [
+            *_step_sql(n, f"select id from q{n} where {trained}"),
+            *_predict_sql(n + 1),
+            f"q{n + 1} as (select id, case when {trained} then case when hit then least(queue + 1, {queues - 1}) else 0 end else queue end as queue from q{n} join s{n + 1} using (id))",
+        ]
+        parts.append(f"select id, loss + 1.0 / (select count(*) from q{n + 1} where queue = 0) as part from q{n + 1} join s{n + 1} using (id) where queue = 0")
+    return _scored_sql(steps, parts, epochs)
+
+
 def _noise_sql(p: float, flipped: bool) -> str:
     draw = f"floor({hash_unit_sql(43, 'id')} * (c - 1)) + 1 + idx" if flipped else f"floor({hash_unit_sql(43, 'id')} * c)"
     return f"""with k as (select count(*) as c from label_set), r as (
@@ -675,6 +744,9 @@ lof as (select n.id, avg(o.density) / any_value(d.density) as lof from near n jo
 select vec_id, round(coalesce(lof, 1.0), 6) as score from embeddings left join lof on id = vec_id""",
     "label_aggregation_two_rounds": _dawid_skene_sql(2),
     "datamap_confidence": f"with {_REP}, {_LABELLED} select id, round(1 - avg(rep.probs[s + 1]), 6) as score from rep join labelled using (id) group by 1",
+    "datamap_trained": _training_sql(6),
+    "curriculum_spotter": _curriculum_sql(4),
+    "leitner_spotter": _leitner_sql(5),
     "sentences_nested": "select sent_id, to_json(list(token order by pos))::varchar as tokens, count(*)::int as size from tokens group by 1",
     "tokens_flat": "select sent_id, (row_number() over (partition by sent_id order by pos) - 1)::int as pos, token, noisy, gold from tokens",
     "bio_spans": f"with {_BIO} select * from bio",
@@ -713,6 +785,14 @@ select round(avg(hit / place) filter (e), 6) as average_precision, round(count(*
     select g, list_transform({_LOGS}, lambda x: exp(x / temperature)) as q from gold_rows join temps using (fold)
 ), cal as (select g, list_transform(q, lambda x: x / list_sum(q)) as c from raised)"""
     + _ECE.format(p="c", t="cal"),
+    "oof_dummy_text": f"""
+with d as (select id, idx, label, {hash_unit_sql(42, "id", "idx")} + 1e-9 as q from instances, label_set)
+select id, label as prediction, round(q / sum(q) over (partition by id), 6) as p from d qualify row_number() over (partition by id order by q desc, idx) = 1""",
+    "oof_dummy_tags": f"""
+with l as (select gold, row_number() over (order by gold) - 1 as idx from (select distinct gold from tokens where gold is not null)),
+d as (select sent_id, pos, idx, l.gold as label, {hash_unit_sql(42, "sent_id", "pos", "idx")} + 1e-9 as q from tokens, l)
+select sent_id, pos, label as prediction, round(q / sum(q) over (partition by sent_id, pos), 6) as p from d
+qualify row_number() over (partition by sent_id, pos order by q desc, idx) = 1""",
     "tf_idf": f"""
 with terms as (select id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN_][\\pL\\pN_]+')) as term from instances),
 counts as (select id, term, count(*) as tf from terms where term not in ({", ".join(f"'{w}'" for w in STOP_WORDS)}) group by 1, 2),
