@@ -38,7 +38,8 @@ def heavy_keys(df: DataFrame, key: str, share: float, tracked: int = TRACKED) ->
     candidates = F.broadcast(candidate_keys(df.select(key), key, share, tracked))
     counts = df.select(key).join(candidates, key, "left_semi").groupBy(key).agg(F.count("*").alias("n"))
     total = df.agg(F.count("*").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("n") >= F.lit(share) * F.col("total"))
+    # a quotient that equals the share is rounded as the share is; a product may not be
+    return counts.crossJoin(F.broadcast(total)).where(F.col("n") / F.col("total") >= F.lit(share))
 
 
 def skew_join(

@@ -30,6 +30,12 @@ def test_threshold_counts_null_rows_in_the_total(spark):
     assert rows_of(skew.heavy_keys(df, "key", 0.03)) == []
 
 
+def test_a_key_of_exactly_the_share_is_heavy(spark):
+    for total, n in ((350, 7), (50, 1), (1_150, 23), (2_900, 58)):
+        df = spark.range(total).select(F.when(F.col("id") < n, "at").otherwise(F.concat(F.lit("k"), F.col("id") % (total - n))).alias("key"))
+        assert ("at", n, total) in rows_of(skew.heavy_keys(df, "key", 0.02))
+
+
 def test_empty_and_null_tables_have_no_heavy_keys(spark):
     assert skew.heavy_keys(spark.createDataFrame([], "key string"), "key", 0.1).count() == 0
     assert skew.heavy_keys(spark.createDataFrame([(None,)], "key string"), "key", 0.1).count() == 0
