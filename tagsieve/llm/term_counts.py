@@ -29,13 +29,13 @@ class LastSeen:
     """Counters of terms over rows that come ordered by record."""
 
     def __init__(self) -> None:
-        self.place: dict[tuple[str, str], int] = {}
+        self.place: dict[tuple[int, str], int] = {}
         self.occurrences = np.zeros(1024, np.int64)
         self.records = np.zeros(1024, np.int64)
         self.last = np.zeros(1024, np.int64)
         self.known = np.zeros(1024, bool)
 
-    def add(self, terms: list[tuple[str, str]], codes: np.ndarray, records: np.ndarray) -> None:
+    def add(self, terms: list[tuple[int, str]], codes: np.ndarray, records: np.ndarray) -> None:
         """``terms`` are distinct; row i is ``terms[codes[i]]`` in ``records[i]``, which ascend."""
         places = np.array([self.place.setdefault(t, len(self.place)) for t in terms], np.int64)
         while len(self.place) > len(self.last):
@@ -54,7 +54,7 @@ class LastSeen:
         self.last[at] = record[tail]
         self.known[at] = True
 
-    def drain(self, current: int | None) -> tuple[list[tuple[str, str]], np.ndarray, np.ndarray]:
+    def drain(self, current: int | None) -> tuple[list[tuple[int, str]], np.ndarray, np.ndarray]:
         """Hand on all counts; terms of the record ``current`` stay known as seen in it."""
         n = len(self.place)
         terms = list(self.place)
@@ -73,7 +73,7 @@ def _counters(max_terms: int):
 
     def out(drained: tuple) -> pa.RecordBatch:
         terms, occurrences, records = drained
-        columns = [pa.array([t[0] for t in terms], pa.string()), pa.array([t[1] for t in terms], pa.string()), pa.array(occurrences), pa.array(records)]
+        columns = [pa.array([t[0] for t in terms], pa.int8()), pa.array([t[1] for t in terms], pa.string()), pa.array(occurrences), pa.array(records)]
         return pa.RecordBatch.from_arrays(columns, ["field", "term", "occurrences", "records"])
 
     def count(batches: Iterator) -> Iterator:
@@ -81,13 +81,13 @@ def _counters(max_terms: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            both = [x.dictionary_encode() for x in batch.columns[:2]]
-            wide = len(both[1].dictionary)
-            pair = both[0].indices.to_numpy().astype(np.int64) * wide + both[1].indices.to_numpy()
+            terms = batch.column(1).dictionary_encode()
+            wide = len(terms.dictionary)
+            pair = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) * wide + terms.indices.to_numpy()
             distinct, codes = np.unique(pair, return_inverse=True)
-            fields, values = (x.dictionary.to_pylist() for x in both)
+            values = terms.dictionary.to_pylist()
             records = batch.column(2).to_numpy(zero_copy_only=False)
-            counters.add([(fields[p // wide], values[p % wide]) for p in distinct.tolist()], codes, records)
+            counters.add([(p // wide, values[p % wide]) for p in distinct.tolist()], codes, records)
             if len(counters.place) > max_terms:
                 yield out(counters.drain(int(records[-1])))
         yield out(counters.drain(None))
@@ -106,13 +106,15 @@ def term_counts(df: DataFrame, fields: dict[str, Column], record: str, max_terms
     if not isinstance(df.schema[record].dataType, T.IntegralType):
         raise ValueError(f"{record} isn't an integer column")
     own = F.coalesce(F.col(record).cast("long"), F.lit(NULL_RECORD)).alias("record")
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("term")) for k, v in fields.items()])).alias("t")
+    # fields travel as their number, terms as they are
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast("byte").alias("field"), v.alias("term")) for k, v in enumerate(fields.values())])).alias("t")
     rows = df.select(own, each).select("t.field", "t.term", "record").where("term is not null")
     width = shuffle_width(df.sparkSession)
     bucket = F.pmod(F.xxhash64("record"), F.lit(width))
     ordered = rows.repartition(width, F.col("field"), F.col("term"), bucket).sortWithinPartitions("record")
-    partial = ordered.mapInArrow(_counters(max_terms), "field string, term string, occurrences long, records long")
-    return partial.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    partial = ordered.mapInArrow(_counters(max_terms), "field byte, term string, occurrences long, records long")
+    summed = partial.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    return summed.withColumn("field", F.get(F.array(*[F.lit(name) for name in fields]), F.col("field")))
 
 
 def mark_terms(counts: DataFrame, df: DataFrame, record: str, least: int = 3, most: float = 0.5) -> DataFrame:

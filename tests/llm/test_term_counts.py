@@ -33,7 +33,7 @@ def test_drained_counters_stay_exact():
     counters, totals = tc.LastSeen(), defaultdict(lambda: np.zeros(2, int))
     for r, t in zip(np.array_split(records, 90), np.array_split(terms, 90)):
         distinct, codes = np.unique(t, return_inverse=True)
-        counters.add([("f", str(x)) for x in distinct], codes, r)
+        counters.add([(0, str(x)) for x in distinct], codes, r)
         for (_, term), n, k in zip(*counters.drain(int(r[-1]))):
             totals[term] += (n, k)
     expected = brute([(r, str(t)) for r, t in zip(records.tolist(), terms.tolist())])
