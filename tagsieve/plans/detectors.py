@@ -183,7 +183,7 @@ def _mean_distance(metric: str):
 
 def projection_ensemble(spark, sf):
     rows = _embeddings(spark, sf)
-    flags, _ = vectors.projection_ensemble(rows, rows, dims=(16, 32), seeds=(1, 2))
+    flags, _ = vectors.projection_ensemble(rows, rows)
     return flags
 
 
@@ -264,16 +264,12 @@ def datamap_confidence(spark, sf):
     return rounded(dynamics.datamap_confidence(_log(spark, sf)))
 
 
-def datamap_trained(spark, sf):
-    return rounded(dynamics.datamap_confidence(dynamics.train_log(_embeddings(spark, sf), epochs=6)))
+def _datamap_trained(**epochs):
+    return lambda spark, sf: rounded(dynamics.datamap_confidence(dynamics.train_log(_embeddings(spark, sf), **epochs)))
 
 
-def curriculum_spotter(spark, sf):
-    return rounded(dynamics.curriculum_spotter(_embeddings(spark, sf), epochs=4))
-
-
-def leitner_spotter(spark, sf):
-    return rounded(dynamics.leitner_spotter(_embeddings(spark, sf), epochs=5))
+def _spotter(spotter, **epochs):
+    return lambda spark, sf: rounded(spotter(_embeddings(spark, sf), **epochs))
 
 
 def stratified_folds(spark, sf):
@@ -404,9 +400,12 @@ QUERIES = {
     "mean_distance_dot": _mean_distance("dot"),
     "mean_distance_lof": _mean_distance("lof"),
     "datamap_confidence": datamap_confidence,
-    "datamap_trained": datamap_trained,
-    "curriculum_spotter": curriculum_spotter,
-    "leitner_spotter": leitner_spotter,
+    "datamap_trained": _datamap_trained(),
+    "datamap_trained_six_epochs": _datamap_trained(epochs=6),
+    "curriculum_spotter": _spotter(dynamics.curriculum_spotter),
+    "curriculum_spotter_four_epochs": _spotter(dynamics.curriculum_spotter, epochs=4),
+    "leitner_spotter": _spotter(dynamics.leitner_spotter),
+    "leitner_spotter_five_epochs": _spotter(dynamics.leitner_spotter, epochs=5),
     "sentences_nested": sentences_nested,
     "tokens_flat": tokens_flat,
     "bio_spans": bio_spans,
@@ -744,9 +743,9 @@ lof as (select n.id, avg(o.density) / any_value(d.density) as lof from near n jo
 select vec_id, round(coalesce(lof, 1.0), 6) as score from embeddings left join lof on id = vec_id""",
     "label_aggregation_two_rounds": _dawid_skene_sql(2),
     "datamap_confidence": f"with {_REP}, {_LABELLED} select id, round(1 - avg(rep.probs[s + 1]), 6) as score from rep join labelled using (id) group by 1",
-    "datamap_trained": _training_sql(6),
-    "curriculum_spotter": _curriculum_sql(4),
-    "leitner_spotter": _leitner_sql(5),
+    "datamap_trained_six_epochs": _training_sql(6),
+    "curriculum_spotter_four_epochs": _curriculum_sql(4),
+    "leitner_spotter_five_epochs": _leitner_sql(5),
     "sentences_nested": "select sent_id, to_json(list(token order by pos))::varchar as tokens, count(*)::int as size from tokens group by 1",
     "tokens_flat": "select sent_id, (row_number() over (partition by sent_id order by pos) - 1)::int as pos, token, noisy, gold from tokens",
     "bio_spans": f"with {_BIO} select * from bio",
