@@ -16,6 +16,8 @@ from tagsieve.plans.runtime import table
 
 #: Models of ``preds``, turns of repeated inference, neighbours and folds of the queries.
 MODELS, TURNS, K, FOLDS = 3, 10, 10, 5
+#: Folds of the fitted models.
+FIT_FOLDS = 10
 #: Label types that make spans out of runs of equally labelled tokens.
 SPAN_TYPES = ("NOUN", "PROPN", "NUM")
 STOP_WORDS = ["the", "of", "and", "in", "to", "was", "is", "for", "on", "with", "no", "at", "by", "or"]
@@ -347,7 +349,7 @@ def token_features(spark, sf):
     return rows.select("sent_id", "pos", "own.*", F.col("before.suffix_2").alias("before_suffix"), F.col("after.is_upper").alias("after_upper"))
 
 
-def _oof_text(model, folds=3):
+def _oof_text(model, folds=FIT_FOLDS):
     def query(spark, sf):
         rows = table(spark, sf, "instances").select("id", "text", "noisy")
         names = _label_names(spark, sf)
@@ -357,7 +359,7 @@ def _oof_text(model, folds=3):
     return query
 
 
-def _oof_tags(model, folds=2):
+def _oof_tags(model, folds=FIT_FOLDS):
     def query(spark, sf):
         rows = table(spark, sf, "tokens").select("sent_id", "pos", "token", "noisy")
         gold = table(spark, sf, "tokens").where("gold is not null").select("gold").distinct()
@@ -430,14 +432,14 @@ QUERIES = {
     "calibrated_error": calibrated_error,
     "tf_idf": tf_idf,
     "token_features": token_features,
-    "oof_dummy_text": _oof_text(text.dummy),
-    "oof_max_ent_text": _oof_text(lambda n: text.max_ent(n, iterations=20)),
-    "oof_bigram_hash_text": _oof_text(lambda n: text.bigram_hash(n, iterations=10, width=1 << 16)),
-    "oof_boosted_trees_text": _oof_text(lambda n: text.boosted_trees(n, trees=10)),
-    "oof_dropout_text": _oof_text(lambda n: text.dropout_softmax(n, epochs=2, max_train_rows=5_000)),
-    "oof_dummy_tags": _oof_tags(tagging.dummy),
-    "oof_max_ent_tags": _oof_tags(lambda n: tagging.max_ent(n, iterations=15)),
-    "oof_crf_tags": _oof_tags(lambda n: tagging.crf(n, epochs=2, max_train_sentences=1_000)),
+    "oof_dummy_text": _oof_text(text.dummy, folds=3),
+    "oof_max_ent_text": _oof_text(text.max_ent),
+    "oof_bigram_hash_text": _oof_text(text.bigram_hash),
+    "oof_boosted_trees_text": _oof_text(text.boosted_trees),
+    "oof_dropout_text": _oof_text(text.dropout_softmax),
+    "oof_dummy_tags": _oof_tags(tagging.dummy, folds=2),
+    "oof_max_ent_tags": _oof_tags(tagging.max_ent),
+    "oof_crf_tags": _oof_tags(tagging.crf),
 }
 
 _LATEST = """latest as (

@@ -1,11 +1,12 @@
 """The registered queries run their operators whole."""
 
+import inspect
 import os
 
 import pytest
 
 import __spark_entry__
-from tagsieve.operators import dynamics, vectors
+from tagsieve.operators import crossval, dynamics, vectors
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -32,3 +33,30 @@ def test_projection_query_has_all_models(spark, monkeypatch):
     monkeypatch.setattr(vectors, "projection_ensemble", kept)
     __spark_entry__.queries()["projection_ensemble"](spark, SMALL)
     assert votes[0].select("model").distinct().count() == 17
+
+
+SETTINGS = {
+    "oof_max_ent_text": lambda own: own["estimator"].getMaxIter() == 100,
+    "oof_bigram_hash_text": lambda own: own["estimator"].getMaxIter() == 50 and own["stages"][-1].getNumFeatures() == 200_000,
+    "oof_boosted_trees_text": lambda own: own["estimator"].getNumTrees() == 30,
+    "oof_dropout_text": lambda own: own["epochs"] == 3 and own["max_train_rows"] == 50_000,
+    "oof_max_ent_tags": lambda own: own["iterations"] == 50,
+    "oof_crf_tags": lambda own: own["epochs"] == 3 and own["max_train_sentences"] == 5_000,
+}
+
+
+class Caught(Exception):
+    pass
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
+@pytest.mark.parametrize("name", SETTINGS)
+def test_fitted_models_have_their_defaults_and_ten_folds(spark, monkeypatch, name):
+    def caught(df, folds, row_id, fit, k):
+        raise Caught(k, inspect.getclosurevars(fit).nonlocals)
+
+    monkeypatch.setattr(crossval, "cross_validate", caught)
+    with pytest.raises(Caught) as found:
+        __spark_entry__.queries()[name](spark, SMALL)
+    folds, own = found.value.args
+    assert folds == 10 and SETTINGS[name](own)
