@@ -60,13 +60,9 @@ FULL_MARK, BARE_LINE, ABBREVIATION, INITIAL, ORDINAL, DATE, UNSURE = 2.0, 0.0, -
 CAPITAL, KNOWN_OPENER, UNCASED, LOWER, QUOTED_LOWER, DIGIT, DASH, SPOKEN = 2.0, 0.5, 1.0, -5.0, -4.0, 0.0, -6.0, -8.0
 NO_SPACE = -1.5
 UNBALANCED, NO_WORD, ONE_LETTER, LONG_FROM, LONG = -5.0, -6.0, -2.0, 400, -0.001
-#: A candidate of at least this score, outside any quotation, parts the program into two.
-CERTAIN = 3.0
 #: No split gains more than this by the length of its spans, and none by their balance, so
 #: candidates that score no better than its negative are never chosen and are left out.
 MOST_GAINED = -LONG * LONG_FROM
-#: The most candidates that a sentence passes over, the maximal duration of the model.
-LONGEST_SPAN = 200
 
 LINE = regex.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 ITEM = regex.compile(r"[^\S\r\n]*(?:[-*•‣◦▪●·–+]|\(?\d{1,3}[.)]|\(?[A-Za-z]\))[^\S\r\n]+(?=\S)")
@@ -305,14 +301,15 @@ def divide(text: str) -> list[tuple[int, int]]:
     state = [()] + [p[3] for p in places] + [()]
     best = [0.0] + [float("-inf")] * len(ends)
     back = [0] * (len(ends) + 1)
-    floor = 0
+    high = [0.0]  # the best score of any place so far; spans that can't beat what is found, and all longer ones, are passed over
     for j in range(1, len(ends) + 1):
-        for i in range(max(floor, j - LONGEST_SPAN), j):
+        for i in range(j - 1, -1, -1):
+            if high[i] + weight[j - 1] + LONG * max(0, ends[j - 1] - starts[i] - LONG_FROM) < best[j] - 1e-9:
+                break
             score = best[i] + weight[j - 1] + span_score(text, starts[i], ends[j - 1], state[i] == state[j])
-            if score > best[j]:
+            if score >= best[j]:
                 best[j], back[j] = score, i
-        if weight[j - 1] >= CERTAIN and not state[j] and not state[floor]:
-            floor = j
+        high.append(max(high[-1], best[j]))
     spans, j = [], len(ends)
     while j:
         spans.append((starts[back[j]], ends[j - 1]))

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from tagsieve.llm.sentences import sentence_spans, sentences
+from tagsieve.llm.sentences import MOST_GAINED, candidates, divide, sentence_spans, sentences, span_score
 
 
 def split(text):
@@ -75,3 +77,29 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, "One. Two.", 0), (1, "One. Two.", 0), (2, None, 0), (3, "  ", 0)], "doc_id long, text string, begin_at int")
     assert sorted(map(tuple, sentences(df, with_text=True).collect())) == [(1, 0, 4, "One."), (1, 0, 4, "One."), (1, 5, 9, "Two."), (1, 5, 9, "Two.")]
     assert sentences(df.limit(0)).count() == 0
+
+
+def searched_whole(text):
+    """The best spans of a block by trying every span."""
+    places = [p for p in candidates(text) if p[2] > -MOST_GAINED]
+    starts, ends = [0] + [p[1] for p in places], [p[0] for p in places] + [len(text)]
+    state, weight = [()] + [p[3] for p in places] + [()], [p[2] for p in places] + [0.0]
+    best = [(0.0, [])]
+    for j in range(1, len(ends) + 1):
+        tried = [(best[i][0] + weight[j - 1] + span_score(text, starts[i], ends[j - 1], state[i] == state[j]), -i) for i in range(j)]
+        score, i = max(tried)
+        best.append((score, [*best[-i][1], (starts[-i], ends[j - 1])]))
+    return best[-1][1]
+
+
+def test_detached_marks_are_no_sentences():
+    assert split("Wait . . . Then he left.") == ["Wait . . .", "Then he left."]
+    assert split("He left ? ! Then it rained.") == ["He left ? !", "Then it rained."]
+
+
+def test_program_is_searched_whole():
+    rng = random.Random(4)
+    pieces = ["Wait", "then", "he left", "I", "Ok", ".", "?", "!", "...", " . ", '"', "(", ")", "Dr.", "3.", "x" * 450]
+    texts = [" ".join(rng.choices(pieces, k=rng.randint(3, 60))).strip() for _ in range(150)]
+    for text in [*texts, 'He said "' + "No! " * 250 + '" and left. Then it rained.']:
+        assert divide(text) == searched_whole(text), text
