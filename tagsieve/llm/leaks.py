@@ -35,7 +35,10 @@ BATCH_CHARACTERS = 1_000_000
 HITS_AT_ONCE, BANDS_AT_ONCE = 2_000_000, 20_000
 
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-TAGS = regex.compile(r"</?[A-Za-z][^<>]{0,300}>")
+#: Tags; a longer one must have attributes only, one of them with a value, so that text between two stray brackets stays.
+TAGS = regex.compile(
+    r"""</?[A-Za-z][^<>]{0,300}>|<[A-Za-z][\w:.-]*+(?=[^<>]*=(?:\s*["']|[^\s<>]))(?:\s++[A-Za-z_:@][\w:.-]*+(?:\s*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>]++))?+)*+\s*+/?>"""
+)
 ENTITY = regex.compile(r"&(?:#\d{1,7}|#x[0-9A-Fa-f]{1,6}|[A-Za-z]{2,10});")
 
 

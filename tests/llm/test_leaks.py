@@ -84,3 +84,10 @@ def test_repeated_grams_in_parts(monkeypatch):
     index = leaks.Index([leaks.Item(0, ["aa"] * 30, False), leaks.Item(1, ["ab"] * 30, False)])
     found = index.leaks([["aa"] * 200, ["ab"] * 12, ["ba"] * 50, ["aa"] * 9])
     assert {(d, i) for d, i, _, exact in found if exact} == {(0, 0), (1, 1)}
+
+
+def test_long_tags_are_taken_out_and_text_between_brackets_is_not():
+    long = " ".join(WORDS * 4)
+    for attributes in (f'href="x" hidden title="{long}"', f"id=a title = '{long}' /", f"href={long.replace(' ', '/')}"):
+        assert leaks.words_of(f"amber <a {attributes}>birch</a> cedar") == ["amber", "birch", "cedar"]
+    assert leaks.words_of(f"a <b and {long}, c> d") == ["a", "b", "and", *long.split(), "c", "d"]
