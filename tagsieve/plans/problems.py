@@ -58,12 +58,19 @@ def p5_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tsv.valid_records(_parsed(spark, sf_dir))
 
 
+def p5_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the whole files of ``raw_lines``, parsed on from anchors after broken ones."""
+    parsed = tsv.parse_lines_by_file(table(spark, sf_dir, "raw_lines"), table(spark, sf_dir, "label_set"))
+    return parsed.select("file_name", "begin_at", "texts", "gold", "noisy", "reason")
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_span_majority": p3_span_majority,
     "p3_key_results": p3_key_results,
     "p5_found": p5_found,
     "p5_valid": p5_valid,
+    "p5_recovered": p5_recovered,
 }
 
 #: One field of a record as a regular expression, and the record without its final carriage return.

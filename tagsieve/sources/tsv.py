@@ -229,6 +229,23 @@ def load_text_classification_tsv(spark: SparkSession, path: str, label_set: Data
         parsed = parse_records(lines, label_set, "file_name", "value")
         return parsed.select("file_name", F.lit(None).cast("long").alias("begin_at"), *PARSED.names)
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_name"), "value")
+    return _parse_files(files, labels)
+
+
+def parse_lines_by_file(lines: DataFrame, label_set: DataFrame) -> DataFrame:
+    """Records of the files whose lines ``(file_name, line_no, line)`` are rows, parsed as the loader parses files.
+
+    Lines are put together in the order of ``line_no``, a null one as an empty line. A broken
+    record costs its own lines up to the next anchor, and a quoted field may span lines.
+    Each file is held by one task.
+    """
+    line = F.struct("line_no", F.coalesce("line", F.lit("")).alias("line"))
+    ordered = lines.groupBy("file_name").agg(F.array_sort(F.collect_list(line)).alias("rows"))
+    files = ordered.select("file_name", F.array_join(F.col("rows.line"), "\n").alias("value"))
+    return _parse_files(files, label_values(label_set))
+
+
+def _parse_files(files: DataFrame, labels: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("begin_at", T.LongType()), *PARSED])
 
     def parse(frames):

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+import __spark_entry__
 from tagsieve.sources import tsv
 
 LABELS = ["a", "b"]
@@ -96,3 +97,13 @@ def test_files_by_line(spark, tmp_path):
 def test_unbounded_label_sets_are_refused(spark):
     with pytest.raises(ValueError):
         tsv.label_values(spark.range(20).selectExpr("cast(id as string) as label"), limit=10)
+
+
+def test_query_recovers_within_files(spark, tmp_path):
+    lines = ["t\ta\tb", '"open\ta\tb', "lost", "u\tb\tb", '"two', 'lines"\ta\ta', None, "v\ta"]
+    rows = [(k, name, k, x) for name in ("f", "g") for k, x in enumerate(lines)]
+    spark.createDataFrame(rows[::-1], "line_id long, file_name string, line_no int, line string").write.parquet(str(tmp_path / "raw_lines.parquet"))
+    spark.createDataFrame([(0, "a"), (1, "b")], "idx int, label string").write.parquet(str(tmp_path / "label_set.parquet"))
+    found = __spark_entry__.queries()["p5_recovered"](spark, str(tmp_path)).orderBy("file_name", "begin_at").collect()
+    whole = [("t", None), (None, "quoting"), ("u", None), ("two\nlines", None), (None, "columns"), (None, "columns")]
+    assert [(r.file_name, r.texts, r.reason) for r in found] == [(name, *x) for name in ("f", "g") for x in whole]
