@@ -33,6 +33,13 @@ def p3_span_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("span_id", "form", "majority", "n", (F.col("noisy") != F.col("majority")).alias("differs"))
 
 
+def p3_token_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token with the majority label of its form and whether its own label differs."""
+    tokens = _forms(spark, sf_dir, "tokens").withColumn("tid", F.col("sent_id") * 100_000 + F.col("pos"))
+    rows = skew.majority_by_key(tokens, "form", "noisy", "tid", HEAVY_SHARE)
+    return rows.select("tid", "form", "majority", "n", (F.col("noisy") != F.col("majority")).alias("differs"))
+
+
 def p3_key_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per form of both tables: rows, rows whose label is wrong, distinct labels."""
     parts = []
@@ -67,6 +74,7 @@ def p5_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_span_majority": p3_span_majority,
+    "p3_token_majority": p3_token_majority,
     "p3_key_results": p3_key_results,
     "p5_found": p5_found,
     "p5_valid": p5_valid,

@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from tagsieve.operators import skew
 
 
@@ -90,3 +91,21 @@ def test_very_long_keys(spark):
     long = "x" * 200_000
     df = spark.createDataFrame([(long,)] * 3 + [("b",)] * 3, "key string")
     assert {r.n for r in skew.heavy_keys(df, "key", 0.4).collect()} == {3}
+
+
+def test_token_query_joins_the_heavy_keys_apart(spark, tmp_path):
+    words = ["The"] * 90 + ["the"] * 30 + ["cat", "dog", "Cat", None]
+    rows = [(k // 10, k % 10, w, "ab"[k % 3 == 0] if k % 7 else None) for k, w in enumerate(words)]
+    spark.createDataFrame(rows, "sent_id long, pos int, token string, noisy string").write.parquet(str(tmp_path / "tokens.parquet"))
+    found = __spark_entry__.queries()["p3_token_majority"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "strategy=broadcast" in plan
+    labels = Counter((w.lower(), y) for _, _, w, y in rows if w and y)
+    known = {w: max((y for v, y in labels if v == w), key=lambda y: labels[w, y]) for w, _ in labels}
+    want = []
+    for s, p, w, y in rows:
+        form = w and w.lower()
+        best = known.get(form)
+        n = sum(c for (v, _), c in labels.items() if v == form) or None
+        want.append((s * 100_000 + p, form, best, n, None if y is None or best is None else y != best))
+    assert rows_of(found) == sorted(want, key=repr)
