@@ -19,19 +19,19 @@ def token_rows(sentences, *labels):
 
 @pytest.fixture
 def forms(spark):
-    rows = [(1, "obama", "PER"), (2, "harvard", "LOC"), (3, "harvard", "LOC"), (4, "harvard", "MISC"), (5, "boston", "LOC")]
+    rows = [(1, "delta", "SEA"), (2, "oak", "TREE"), (3, "delta", "RIVER"), (4, "delta", "RIVER"), (5, "oak", "TREE"), (6, "larch", "TREE")]
     return spark.createDataFrame(rows, "id long, form string, noisy string")
 
 
 def test_majority_label(spark):
-    df = spark.createDataFrame([(1, "pos"), (2, "pos"), (3, "pos"), (4, "neg"), (5, None)], "id long, noisy string")
+    df = spark.createDataFrame([(1, "spam"), (2, "ham"), (3, None), (4, "ham"), (5, "eggs"), (6, "spam"), (7, "ham")], "id long, noisy string")
     found = labels.majority_label(df, "id", "noisy")
-    assert by_id(found, "flag") == {1: False, 2: False, 3: False, 4: True, 5: None}
-    assert set(by_id(found, "corrected").values()) == {"pos"}
+    assert by_id(found, "flag") == {1: True, 2: False, 3: None, 4: False, 5: True, 6: True, 7: False}
+    assert set(by_id(found, "corrected").values()) == {"ham"}
 
 
 def test_majority_per_form(forms):
-    assert by_id(labels.majority_per_form(forms, "id", "form", "noisy"), "flag") == {1: False, 2: False, 3: False, 4: True, 5: False}
+    assert by_id(labels.majority_per_form(forms, "id", "form", "noisy"), "flag") == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False}
 
 
 def test_ties_go_to_the_first_seen(spark):
@@ -58,7 +58,7 @@ def test_constant_scores(spark):
     assert by_id(labels.weighted_discrepancy(df, "id", "form", "noisy")) == {1: 0.0, 2: 0.0}
 
 
-PROBS = [(1, [0.1, 0.85, 0.05]), (2, [0.6, 0.3, 0.1]), (3, [0.39, 0.61, 0.0])]
+PROBS = [(1, [0.125, 0.125, 0.75]), (2, [0.5, 0.25, 0.25]), (3, [0.0, 1.0, 0.0])]
 
 
 @pytest.fixture
@@ -73,10 +73,11 @@ def classes(spark):
 
 def test_entropy_margin_and_uncertainty(spark, probs, classes):
     found = by_id(probability.classification_entropy(probs))
-    assert [found[i] for i in (1, 2, 3)] == pytest.approx([0.51818621, 0.89794572, 0.66874809])
-    assert by_id(probability.prediction_margin(probs)) == pytest.approx({1: 0.25, 2: 0.7, 3: 0.78})
+    assert found == pytest.approx({i: -sum(x * math.log(x) for x in row if x) for i, row in PROBS})
+    assert found[2] == pytest.approx(1.5 * math.log(2)) and found[3] == 0
+    assert by_id(probability.prediction_margin(probs)) == pytest.approx({1: 0.375, 2: 0.75, 3: 0.0})
     labelled = probs.join(spark.createDataFrame([(1, "B"), (2, "C"), (3, "?")], "id long, noisy string"), "id")
-    assert by_id(probability.classification_uncertainty(labelled, classes)) == pytest.approx({1: 0.15, 2: 0.9, 3: None})
+    assert by_id(probability.classification_uncertainty(labelled, classes)) == pytest.approx({1: 0.875, 2: 0.75, 3: None})
 
 
 def test_entropy_rescales(spark):
@@ -109,17 +110,25 @@ def test_confident_learning_finds_swapped_labels(spark, classes):
 
 
 def test_ensemble_vote(spark):
-    df = spark.createDataFrame(list(enumerate("ABBA")), "id long, noisy string")
-    votes = [(i, m, p) for m, model in enumerate(("AABA", "AAAB", "BBBB")) for i, p in enumerate(model)]
+    rng = random.Random(11)
+    df = spark.createDataFrame([(i, rng.choice("XYZ")) for i in range(40)], "id long, noisy string")
+    votes = [(i, m, rng.choice("XYZ")) for i in range(40) for m in range(4)]
+    expected = {}
+    for i in range(40):
+        own = [p for j, _, p in votes if j == i]
+        expected[i] = min(set(own), key=lambda p: (-own.count(p), p))
     found = ensemble.majority_voting_ensemble(df, spark.createDataFrame(votes, "id long, model int, prediction string"))
-    assert by_id(found, "flag") == {0: False, 1: True, 2: False, 3: True}
+    assert by_id(found, "corrected") == expected
+    assert by_id(found, "flag") == {r.id: r.noisy != expected[r.id] for r in df.collect()}
 
 
 def test_borda(spark):
-    scorers = [[4, 3, 2, 1], [4, 3, 2, 1], [1, 4, 3, 2]]
-    rows = [(str(s), i, float(x)) for s, xs in enumerate(scorers) for i, x in enumerate(xs)]
+    rng = random.Random(12)
+    scorers = [[rng.randrange(5) / 4 for _ in range(9)] for _ in range(3)]
+    rows = [(str(s), i, x) for s, xs in enumerate(scorers) for i, x in enumerate(xs)]
     df = spark.createDataFrame(rows, "scorer string, id long, score double").repartition(6)
-    assert by_id(ensemble.borda_count(df)) == {0: 9, 1: 10, 2: 7, 3: 4}
+    places = [{i: n for n, (_, i) in enumerate(sorted(zip(xs, range(9))), 1)} for xs in scorers]
+    assert by_id(ensemble.borda_count(df)) == {i: sum(p[i] for p in places) for i in range(9)}
 
 
 def test_global_rank_equals_a_sort(spark):
@@ -201,55 +210,79 @@ def test_vector_detectors_on_empty_tables(spark):
     assert vectors.knn_entropy(df).count() == vectors.knn_flagger(df).count() == vectors.mean_distance(df).count() == 0
 
 
-SENTENCES = ["I love cats very much .".split(), "I cherish cats very much .".split(), "The cats I like are very much different in their appearance .".split()]
-TAGS = ["PRON VERB NOUN ADV ADV .".split()] * 2 + ["DET NOUN PRON VERB VERB ADV ADJ ADJ PREP PRON NOUN .".split()]
+SENTENCES = ["they dock in Oslo at noon".split(), "ships dock in Oslo at noon today".split(), "ships dock in Oslo at dawn".split(), "Old boats dock in Bergen at noon".split()]
+TAGS = ["P V E N E N".split(), "N V E N E N T".split(), "N V E V E N".split(), "A N V E N E N".split()]
+
+
+def n_gram_flags(sentences, tags):
+    """``{(sentence, position): correction}`` by listing every n-gram of two or more tokens."""
+    found = {}
+    for s, (words, own) in enumerate(zip(sentences, tags)):
+        for b in range(len(words)):
+            for e in range(b + 2, len(words) + 1):
+                left = words[b - 1] if b else ("edge", s)
+                right = words[e] if e < len(words) else ("edge", s)
+                found.setdefault(tuple(words[b:e]), []).append((s, b, tuple(own[b:e]), left, right))
+    fixes = {}
+    for gram, places in found.items():
+        seen = [p[2] for p in places]
+        if min(len({p[k] for p in places}) for k in (2, 3, 4)) < 2:
+            continue
+        best = max(set(seen), key=lambda t: (seen.count(t), -seen.index(t)))
+        for s, b, own, _, _ in places:
+            for k, (x, y) in enumerate(zip(own, best)):
+                if x != y:
+                    fixes.setdefault((s, b + k), []).append((-len(places), "\u0001".join(gram), y))
+    return {place: max(options)[2] for place, options in fixes.items()}
 
 
 def test_variation_n_grams(spark):
     tokens = spark.createDataFrame(token_rows(SENTENCES, TAGS), "sent_id long, pos int, token string, noisy string")
     found = sequences.variation_n_grams(tokens.withColumn("form", F.lower("token")), "form", "noisy")
-    assert sorted((r.sent_id, r.pos, r.corrected) for r in found.collect() if r.flag) == [(2, 6, "ADV")]
-    assert found.count() == 24
+    # "dock in oslo at" stands in three contexts, and only the third tags "oslo" as V
+    assert {(r.sent_id, r.pos): r.corrected for r in found.collect() if r.flag} == {(2, 3): "N"}
+    assert found.count() == 26
     assert sequences.variation_n_grams(tokens.limit(0), "token", "noisy").count() == 0
 
 
-BANK = ["from my bank account to her", "from my bank account to him", "with my bank account to provide", "use my bank account to send", "out of my bank account to my"]
-BANK_TAGS = ["O O B-S I-S O O", "O O B-T I-T O O", "O O B-S I-S O O", "O O B-S I-S O O", "O O O B-T I-T O O"]
-FACTS = ["Obama is an alumni of Harvard", "Harvard is a university", "Harvard is in Boston", "Obama is a former president", "Obama is a law scholar", "Harvard is a good university"]
-FACT_TAGS = ["B-PER O O O O B-LOC", "B-LOC O O O", "B-MISC O O B-LOC", "B-ORG O O O O", "B-PER O O O O", "B-LOC O O O O"]
+def test_variation_n_grams_equal_a_list_of_all(spark):
+    rng = random.Random(21)
+    for words, size in (("ab", 6), ("abc", 12), ("abcdef", 30)):
+        sentences = [[rng.choice(words) for _ in range(rng.randint(1, size))] for _ in range(12)]
+        sentences += [list(sentences[0]), [*sentences[1], "z"], ["y", *sentences[1]]]
+        tags = [[rng.choice("MMMN") for _ in s] for s in sentences]
+        tokens = spark.createDataFrame(token_rows(sentences, tags), "sent_id long, pos int, token string, noisy string")
+        found = {(r.sent_id, r.pos): r.corrected for r in sequences.variation_n_grams(tokens, "token", "noisy").collect() if r.flag}
+        assert found == n_gram_flags(sentences, tags)
 
 
-@pytest.mark.parametrize(
-    "texts,tags,flags,corrected",
-    [
-        (BANK, BANK_TAGS, [0, 1, 0, 0, 1], ["S"] * 5),
-        (FACTS, FACT_TAGS, [0, 0, 0, 1, 0, 1, 0, 0], ["PER", "LOC", "LOC", "LOC", "LOC", "PER", "PER", "LOC"]),
-    ],
-)
-def test_variation_n_grams_span(spark, texts, tags, flags, corrected):
+def test_variation_n_grams_span(spark):
+    texts = ["we met Ada Byron in Turin", "you met Ada Byron in Rome", "he met Ada Byron in Turin", "Turin is old", "Turin is wet", "Turin is old"]
+    tags = ["O O B-HUM I-HUM O B-TOWN", "O O B-HUM I-HUM O B-TOWN", "O O B-ORG I-ORG O B-LAND", "B-TOWN O O", "B-LAND O O", "B-TOWN O O"]
     rows = token_rows([t.split() for t in texts], [t.split() for t in tags])
     tokens = spark.createDataFrame(rows, "sent_id long, pos int, token string, tag string").withColumn("form", F.lower("token"))
     found = sequences.variation_n_grams_span(tokens, spans.bio_spans(tokens, "tag"), "form").orderBy("sent_id", "start_pos").collect()
-    assert [int(r.flag) for r in found] == flags
-    assert [r.corrected for r in found] == corrected
+    # contexts: "met ada byron in" (HUM twice, ORG once), "in turin" (a tie, TOWN first), "in rome", "turin is" (TOWN twice, LAND once)
+    assert [int(r.flag) for r in found] == [0, 0, 0, 0, 1, 1, 0, 1, 0]
+    assert [r.corrected for r in found] == ["HUM", "TOWN", "HUM", "TOWN", "HUM", "TOWN", "TOWN", "TOWN", "TOWN"]
 
 
-@pytest.mark.parametrize(
-    "hay,needle,expected",
-    [(list("ilcvm."), list("vm"), [(3, 5)]), (list("012345012345"), list("123"), [(1, 4), (7, 10)]), (list("123"), list("123"), [(0, 3)]), (list("aaa"), list("aa"), [(0, 2), (1, 3)]), (list("a"), list("ab"), [])],
-)
-def test_sublists(spark, hay, needle, expected):
-    df = spark.createDataFrame([(hay, needle)], "h array<string>, n array<string>")
-    assert [tuple(x) for x in df.select(sequences.occurrences(F.col("h"), F.col("n")).alias("x")).first().x] == expected
+@pytest.mark.parametrize("alphabet,size", [("a", 2), ("ab", 2), ("ab", 3), ("abc", 1), ("abc", 4)])
+def test_sublists(spark, alphabet, size):
+    rng = random.Random(size)
+    pairs = [([rng.choice(alphabet) for _ in range(rng.randint(0, 12))], [rng.choice(alphabet) for _ in range(size)]) for _ in range(20)]
+    df = spark.createDataFrame([(k, h, n) for k, (h, n) in enumerate(pairs)], "id int, h array<string>, n array<string>")
+    found = {r.id: [tuple(x) for x in r.x] for r in df.select("id", sequences.occurrences(F.col("h"), F.col("n")).alias("x")).collect()}
+    assert found == {k: [(b, b + size) for b in range(len(h)) if h[b : b + size] == n] for k, (h, n) in enumerate(pairs)}
 
 
 def test_ragged_round_trip(spark):
     tokens = spark.createDataFrame(token_rows(SENTENCES, TAGS), "sent_id long, pos int, token string, noisy string")
     back = sequences.flatten(sequences.unflatten(tokens.repartition(5), ["token", "noisy"]), ["token", "noisy"])
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, tokens.collect()))
-    assert sequences.first_sentences(tokens, 2).count() == 12
+    assert sequences.first_sentences(tokens, 2).count() == 13
     with pytest.raises(IndexError):
-        sequences.first_sentences(tokens, 4)
+        sequences.first_sentences(tokens, 5)
 
 
 def test_bio_repair(spark):
@@ -259,8 +292,8 @@ def test_bio_repair(spark):
     assert found == [(1, 0, 2, "A"), (1, 2, 3, "B"), (1, 3, 4, "B"), (1, 5, 6, "A"), (1, 7, 8, "A"), (2, 1, 2, "C")]
 
 
-def test_span_matching_goldens():
-    assert spans.best_matching([(0, 2), (4, 5), (8, 10)], [(0, 2), (3, 5), (5, 6), (7, 9)]) == {0: 0, 1: 1, 2: 3}
+def test_span_matching_takes_the_larger_overlap():
+    assert spans.best_matching([(0, 4), (6, 7)], [(0, 1), (2, 5), (5, 6)]) == {0: 1}
     assert spans.best_matching([], [(0, 1)]) == {}
 
 
@@ -288,12 +321,12 @@ def test_span_matching_equals_exhaustive_search():
 
 
 def test_span_alignment(spark):
-    words = [["Harry", "Potter", "and", "He"], ["the", "USA", "left"]]
-    gold = [["B-PER", "I-PER", "O", "O"], ["O", "B-ORG", "O"]]
-    noisy = [["B-PER", "O", "O", "B-ORG"], ["O", "B-LOC", "O"]]
+    words = [["Lake", "Garda", "is", "deep"], ["old", "Lima", "slept"]]
+    gold = [["B-SEA", "I-SEA", "O", "O"], ["O", "B-TOWN", "O"]]
+    noisy = [["O", "B-SEA", "O", "B-TOWN"], ["O", "B-LAND", "I-LAND"]]
     df = spark.createDataFrame(token_rows(words, gold, noisy), "sent_id long, pos int, token string, gold string, noisy string")
     rows = spans.align_span_data(df, "token", "gold", "noisy").orderBy("sent_id", "start_pos").collect()
-    assert [(r.surface_form, r.gold, r.noisy, r.gold_end) for r in rows] == [("Harry Potter", "PER", "PER", 2), ("He", spans.NO_ALIGNMENT, "ORG", None), ("USA", "ORG", "LOC", 2)]
+    assert [(r.surface_form, r.gold, r.noisy, r.gold_end) for r in rows] == [("Lake Garda", "SEA", "SEA", 2), ("deep", spans.NO_ALIGNMENT, "TOWN", None), ("Lima", "TOWN", "LAND", 2)]
 
 
 def test_span_results(spark):
