@@ -4,16 +4,26 @@ Blank lines, list items and marked headings part a text into blocks. Within a bl
 place where a sentence could end is a candidate, and a semi-Markov dynamic program picks the
 sequence of whole spans between candidates with the highest total score. A span's score
 joins the word and mark that close it, the words that open it, whether its quotations and
-brackets are balanced, and its length. No language label is read: the script and the words
-themselves decide.
+brackets are balanced, and its length. A quotation that is part of a larger sentence, as
+what stands before or after it goes on, holds no candidates, however long it is. No language
+label is read: the script and the words themselves decide.
+
+Which short words are abbreviations is learnt from the whole corpus, besides fixed lists: an
+abbreviation nearly always has its point, often goes on with a small letter or a number, and
+doesn't end paragraphs as the last words of sentences do.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Words whose final point is part of an abbreviation that a name, number or
@@ -25,7 +35,7 @@ NEVER_FINAL = frozenset(
     geb gen ges gez gov hon hr hrn incl ing inkl kap lic lieut lt maj max mgr min mio mlle mm
     mme mr mrs ms mt mtro nos nr núm num obs op pag pág pags pp pres prof prov ps publ ref reg
     rep resp rev sec sect sen sgt sig sog sr sra srta st ste str tab tel trad univ vgl vol vols
-    vs zzt env cit éd pers rel subst sup ver vid al ital dto cía
+    vs zzt env cit éd pers rel subst sup ver vid al ital dto cía supt cmdr drs av avda ul pl os l'on
     гл гр др им кв корп мин напр обл оз пер пл пос проф рис род руб см ср ст стр табл тел тыс ул
     акад доц млн млрд п.п
     βλ εικ κα κος σελ αρ τηλ κεφ δρ καθ πρβλ
@@ -33,7 +43,11 @@ NEVER_FINAL = frozenset(
     """.split()
 )
 # Abbreviations that may also end a sentence.
-MAY_END = frozenset("etc usw usf inc ltd co corp bros jr a.m p.m am pm ff u.s u.k e.u d.c b.c a.d κλπ κ.λπ κ.ά т.д т.п пр uds ud vd vds cie".split())
+MAY_END = frozenset("etc usw usf inc ltd co corp bros jr a.m p.m am pm ff b.c a.d κλπ κ.λπ κ.ά т.д т.п пр uds ud vd vds cie".split())
+# Abbreviations that end a sentence only before a word that often opens one.
+BEFORE_NAMES = frozenset("u.s u.k e.u d.c u.n u.s.a".split())
+# Abbreviations that may end a sentence after a number only.
+AFTER_NUMBER = frozenset("г гг в вв".split())
 # Short names of months and days, which a day or a time follows.
 CALENDAR = frozenset("jan feb mar apr jun jul aug sep sept oct nov dec mon tue tues wed thu thur thurs fri sat sun ene abr ago dic janv févr avr juil déc okt dez янв февр апр авг сент окт нояб дек".split())
 # Words after which a number with a point is an ordinal.
@@ -56,7 +70,7 @@ SPEAKER_HINDI = regex.compile(r"(?:[\p{L}\p{M}.]+\s+){1,3}ने\s+(?:पूछ
 SPEAKER_OTHER = regex.compile(r"(?:سأل|سألت|قال|قالت|كتب|كتبت|أجاب|أجابت|أضاف|أضافت|ردّ?|ردت)(?![\p{L}\p{M}])|(?:と|って|という|との|とか|な[んの]て|然后|就|便|却|并|而|的|地|说|問|问|道|答|喊|写)")
 
 #: Points of the score: for each span end, span start, span as a whole.
-FULL_MARK, BARE_LINE, ABBREVIATION, INITIAL, ORDINAL, DATE, UNSURE = 2.0, 0.0, -6.0, -3.0, -4.0, -3.0, 0.0
+FULL_MARK, ABBREVIATION, INITIAL, ORDINAL, DATE, UNSURE, NAMED = 2.0, -6.0, -3.0, -4.0, -3.0, 0.0, -2.2
 CAPITAL, KNOWN_OPENER, UNCASED, LOWER, QUOTED_LOWER, DIGIT, DASH, SPOKEN = 2.0, 0.5, 1.0, -5.0, -4.0, 0.0, -6.0, -8.0
 NO_SPACE = -1.5
 UNBALANCED, NO_WORD, ONE_LETTER, LONG_FROM, LONG = -5.0, -6.0, -2.0, 400, -0.001
@@ -83,8 +97,13 @@ THAI_GAP = regex.compile(r"(?<=\p{Thai})\p{Zs}+(?=[\p{Thai}\"“(«])|(?<=\p{Tha
 #: The word that ends where the search ends; it is searched backwards.
 LAST_WORD = regex.compile(r"(?r)(?:[\p{L}\p{M}\p{N}\p{Cf}]+[.'’])*[\p{L}\p{M}\p{N}\p{Cf}]+\Z")
 UNSEEN = regex.compile(r"\p{Cf}+")
+#: A word of consonants only that isn't all capitals.
+NO_VOWEL = regex.compile(r"(?=.+\p{Ll})(?:\p{Lu}?[b-df-hj-np-tv-xz]{2,}|\p{Lu}?[бвгджзйклмнпрстфхцчшщ]{2,})")
+NUMBER_BEFORE = regex.compile(r"(?r)\d\s*[\p{L}\p{M}]+\Z")
 WORD_BEFORE = regex.compile(r"(?r)([\p{L}\p{M}]+)\s+\d+\Z")
 FIRST = regex.compile(r"[\"'“”„«‹「『《(（\[【¿¡*_`\s\p{Cf}]*")
+#: What may stand between a closing mark and the end of its sentence.
+CLOSING = regex.compile(r"[.!?…。．｡！？।॥؟۔;\"'”’“»›」』)）\]】*_`\p{Cf}]*\s*\Z|[.!?…。．｡！？।॥؟۔;\"'”’“»›」』)）\]】*_`\p{Cf}]*")
 FIRST_WORD = regex.compile(r"[\p{L}\p{M}'’]+")
 LETTER = regex.compile(r"[\p{L}\p{N}]")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
@@ -131,32 +150,51 @@ def _item(line: str, number: int, fresh: bool) -> bool:
     return own is None or fresh or int(own[1]) in (1, number + 1)
 
 
-def nesting(text: str) -> list[tuple[int, tuple[str, ...]]]:
-    """``(position after a quotation mark or bracket, those open there)``, in order."""
+def _turns(text: str, at: int) -> int:
+    """1 if the straight quotation mark at ``at`` opens by the space around it, -1 if it closes, 0 if unclear."""
+    before, after = text[at - 1 : at], text[at + 1 : at + 2]
+    left = not before or before.isspace() or before in OPEN_CLOSE or before in "-–—"
+    right = not after or after.isspace() or after in ".,;:!?…" or after in CLOSERS
+    return (left and not right) - (right and not left)
+
+
+def nesting(text: str) -> tuple[list[tuple[int, tuple[str, ...]]], list[tuple[int, int]]]:
+    """``(position after a quotation mark or bracket, those open there)``, in order, and the closed pairs as half-open spans."""
     states: list[tuple[int, tuple[str, ...]]] = [(0, ())]
+    pairs: list[tuple[int, int]] = []
     open_: tuple[str, ...] = ()
+    begun: list[int] = []
     for match in BRACKET.finditer(text):
         mark = match[0]
+        opener = len(open_)  # the place of the mark that this one closes, if any
         if mark == '"':
-            open_ = open_[: open_.index('"')] if '"' in open_ else (*open_, mark)
+            turn = _turns(text, match.start())
+            if '"' in open_:
+                opener = open_.index('"')
+                if turn > 0:  # the mark before was never closed
+                    open_, begun = open_[:opener], begun[:opener]
+            elif turn < 0:
+                continue
         elif open_ and mark in OPEN_CLOSE.get(open_[-1], ""):
-            open_ = open_[:-1]
+            opener -= 1
         elif mark in CLOSERS:
-            opener = next((k for k in range(len(open_) - 1, -1, -1) if mark in OPEN_CLOSE.get(open_[k], "")), None)
-            if opener is None:
+            opener = next((k for k in range(len(open_) - 1, -1, -1) if mark in OPEN_CLOSE.get(open_[k], "")), -1)
+            if opener < 0:
                 continue
-            open_ = open_[:opener]
+        if opener < len(open_):
+            pairs.append((begun[opener], match.end()))
+            open_, begun = open_[:opener], begun[:opener]
         else:
-            open_ = (*open_, mark)
+            open_, begun = (*open_, mark), [*begun, match.start()]
         states.append((match.end(), open_))
-    return states
+    return states, pairs
 
 
 class _States:
     """What is open at a position, for positions asked in ascending order."""
 
-    def __init__(self, text: str):
-        self.states, self.k = nesting(text), 0
+    def __init__(self, states: list[tuple[int, tuple[str, ...]]]):
+        self.states, self.k = states, 0
 
     def at(self, position: int) -> tuple[str, ...]:
         while self.k + 1 < len(self.states) and self.states[self.k + 1][0] <= position:
@@ -184,7 +222,15 @@ def _after_closers(text: str, at: int, open_: tuple[str, ...]) -> int:
     return at
 
 
-def closing_score(text: str, mark_at: int, mark: str) -> float:
+@dataclass(frozen=True)
+class Lexicon:
+    """Words that a corpus shows to be abbreviations, and those that it shows to be ordinary words."""
+
+    abbreviations: frozenset[str] = frozenset()
+    ordinary: frozenset[str] = frozenset()
+
+
+def closing_score(text: str, mark_at: int, mark: str, lexicon: Lexicon = Lexicon()) -> float:
     """How well the word before a mark, and the mark, close a sentence."""
     if mark[0] != "." or len(mark) > 1:
         return UNSURE if set(mark) <= set(".…") else FULL_MARK
@@ -198,14 +244,20 @@ def closing_score(text: str, mark_at: int, mark: str) -> float:
         return ORDINAL if len(low) < 3 and before and before[1].lower() in BEFORE_ORDINAL else FULL_MARK
     if low in MAY_END:
         return UNSURE
-    if low in NEVER_FINAL:
+    if low in BEFORE_NAMES:
+        return NAMED
+    if low in AFTER_NUMBER and NUMBER_BEFORE.search(text, max(0, mark_at - 40), mark_at):
+        return UNSURE
+    if low in lexicon.abbreviations or low in NEVER_FINAL and low not in lexicon.ordinary:
         return ABBREVIATION
-    if low in CALENDAR:
+    if low in CALENDAR and low not in lexicon.ordinary:
         return DATE
     if len(word.rpartition(".")[2]) == 1 and not CJK.match(word):
         if regex.search(r"(?i)\bт\.\s*[дп]\Z", text[max(0, mark_at - 6) : mark_at]):
             return UNSURE
         return INITIAL
+    if NO_VOWEL.fullmatch(word) and low not in lexicon.ordinary and not NUMBER_BEFORE.search(text, max(0, mark_at - 40), mark_at):
+        return ABBREVIATION
     return FULL_MARK
 
 
@@ -239,10 +291,14 @@ def _number_word(text: str, mark_at: int, start: int) -> bool:
     return word is not None and word[0].lower() in ("no", "p", "pt", "art", "ch", "n") and text[start : start + 1].isdigit()
 
 
-def candidates(text: str) -> list[tuple[int, int, float, tuple[str, ...]]]:
+Candidate = tuple[int, int, float, tuple[str, ...]]
+
+
+def candidates(text: str, lexicon: Lexicon = Lexicon()) -> list[Candidate]:
     """``(end, next start, score, open quotations)`` of every place where a sentence may end."""
     found = []
-    states = _States(text)
+    states_of, pairs = nesting(text)
+    states = _States(states_of)
     for match in MARKS.finditer(text):
         mark = match[0]
         if mark == "." and text[match.end() : match.end() + 1].isalnum() and not JOINED.match(text, max(0, match.start() - 2)):
@@ -266,13 +322,45 @@ def candidates(text: str) -> list[tuple[int, int, float, tuple[str, ...]]]:
         if _number_word(text, match.start(), start):
             continue
         quoted = mark[-1] if QUOTE_END & set(text[match.end() : end]) else ""
-        score = closing_score(text, match.start(), mark) + opening_score(text, start, quoted) + (NO_SPACE if joined else 0)
+        score = closing_score(text, match.start(), mark, lexicon) + opening_score(text, start, quoted) + (NO_SPACE if joined else 0)
         found.append((end, start, score))
     if THAI.search(text):
         found += [(m.start(), m.end(), FULL_MARK + UNCASED) for m in THAI_GAP.finditer(text)]
         found = sorted({f[0]: f for f in found}.values())
-    ordered = _States(text)
-    return [(end, start, score, ordered.at(end)) for end, start, score in found]
+    ordered = _States(states_of)
+    return outside_of_larger_sentences(text, [(end, start, score, ordered.at(end)) for end, start, score in found], pairs)
+
+
+def outside_of_larger_sentences(text: str, places: list[Candidate], pairs: list[tuple[int, int]]) -> list[Candidate]:
+    """The candidates that don't stand in a quotation or bracket which is part of a larger sentence.
+
+    It is part of one if no sentence can begin at its opening mark or none can end at its
+    closing mark. Its inner candidates gain nothing then, whatever their number and scores.
+    """
+    if not pairs or not places:
+        return places
+    likely = [p for p in places if p[2] > 0]
+    begins = [0] + [p[1] for p in likely]
+    ends = [p[0] for p in likely] + [len(text)]
+    within: list[tuple[int, int]] = []
+    for begin, end in pairs:
+        k = bisect_right(begins, begin) - 1
+        opens = FIRST.match(text, begins[k]).end() > begin
+        k = bisect_left(ends, end)
+        closes = CLOSING.match(text, end).end() >= ends[k]
+        if not (opens and closes):
+            within.append((begin, end))
+    if not within:
+        return places
+    within.sort()
+    furthest = list(accumulate((end for _, end in within), max))
+    opened = [begin for begin, _ in within]
+
+    def inside(at: int) -> bool:
+        k = bisect_left(opened, at) - 1
+        return k >= 0 and furthest[k] > at
+
+    return [p for p in places if not inside(p[0])]
 
 
 def span_score(text: str, begin: int, end: int, balanced: bool) -> float:
@@ -290,15 +378,29 @@ def span_score(text: str, begin: int, end: int, balanced: bool) -> float:
     return score
 
 
-def divide(text: str) -> list[tuple[int, int]]:
+def divide(text: str, lexicon: Lexicon = Lexicon()) -> list[tuple[int, int]]:
     """The best sequence of sentence spans of one block, which has no space at either end."""
-    places = [p for p in candidates(text) if p[2] > -MOST_GAINED]
+    places = [p for p in candidates(text, lexicon) if p[2] > -MOST_GAINED]
     if not places:
         return [(0, len(text))]
     ends = [p[0] for p in places] + [len(text)]
     starts = [0] + [p[1] for p in places]
     weight = [p[2] for p in places] + [0.0]
     state = [()] + [p[3] for p in places] + [()]
+    return _plain(text, starts, ends, weight, state) or best_spans(text, starts, ends, weight, state)
+
+
+def _plain(text: str, starts: list[int], ends: list[int], weight: list[float], state: list[tuple[str, ...]]) -> list[tuple[int, int]] | None:
+    """The best spans where all places of a positive score part spans that cost nothing: no choice is better then."""
+    if any(state):
+        return None
+    chosen = [k for k in range(len(weight) - 1) if weight[k] > 0]
+    spans = list(zip([0, *(starts[k + 1] for k in chosen)], [*(ends[k] for k in chosen), ends[-1]]))
+    return None if any(span_score(text, b, e, True) for b, e in spans) else spans
+
+
+def best_spans(text: str, starts: list[int], ends: list[int], weight: list[float], state: list[tuple[str, ...]]) -> list[tuple[int, int]]:
+    """The semi-Markov dynamic program over whole spans between the places."""
     best = [0.0] + [float("-inf")] * len(ends)
     back = [0] * (len(ends) + 1)
     high = [0.0]  # the best score of any place so far; spans that can't beat what is found, and all longer ones, are passed over
@@ -317,7 +419,7 @@ def divide(text: str) -> list[tuple[int, int]]:
     return spans[::-1]
 
 
-def sentence_spans(text: str | None) -> list[tuple[int, int]]:
+def sentence_spans(text: str | None, lexicon: Lexicon = Lexicon()) -> list[tuple[int, int]]:
     """Half-open spans, in code points, of the sentences of a text; none of a blank one."""
     spans: list[tuple[int, int]] = []
     for begin, end, whole in blocks(text or ""):
@@ -327,7 +429,7 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
             end -= 1
         if begin == end:
             continue
-        found = [(0, end - begin)] if whole else divide(text[begin:end])
+        found = [(0, end - begin)] if whole else divide(text[begin:end], lexicon)
         spans += [(begin + b, begin + e) for b, e in found if e > b]
     return spans
 

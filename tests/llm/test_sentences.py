@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tagsieve.llm.sentences import MOST_GAINED, candidates, divide, sentence_spans, sentences, span_score
+from tagsieve.llm.sentences import MOST_GAINED, best_spans, candidates, divide, sentence_spans, sentences, span_score
 
 
 def split(text):
@@ -97,6 +97,48 @@ def test_detached_marks_are_no_sentences():
     assert split("He left ? ! Then it rained.") == ["He left ? !", "Then it rained."]
 
 
+@pytest.mark.parametrize("marks", ["“”", '""', "«»", "()", "„“", "「」"])
+@pytest.mark.parametrize("size", [1, 2, 4, 40, 400])
+def test_a_quotation_within_a_sentence_does_not_end_it(marks, size):
+    inner = " ".join(["One day came.", "Two days went."][k % 2] for k in range(size))
+    text = f"He said, {marks[0]}{inner}{marks[1]} and then he left the room. It rained."
+    assert split(text) == [text[: -len(" It rained.")], "It rained."]
+    assert split(f"{marks[0]}{inner[:-1]},{marks[1]} he said. It rained.")[1:] == ["It rained."]
+
+
+def test_a_long_quotation_of_its_own_is_divided():
+    assert len(split("It rained. “" + " ".join(["Then the day came."] * 30) + "” It snowed.")) == 32
+
+
+def test_marks_of_inches_and_lost_quotation_marks_hide_nothing():
+    assert split('The 5" tube. It broke. The 6" tube. Done.') == ['The 5" tube.', "It broke.", 'The 6" tube.', "Done."]
+    assert split('He said "no. It rained all day. Then it snowed. "Yes," he said.')[-1] == '"Yes," he said.'
+
+
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["The U.S. Army arrived.", "They came from the U.S.", "He saw Cmdr. Jones and Supt. Brown."],
+        ["To było na ul. Długa.", "Ze av. Brasil.", "De heer drs. Jansen kwam."],
+        ["Это было в 2000 г.", "Он ушёл в г. Зарельск."],
+        ["It ran 5 km.", "Then it stopped.", "It speaks HTTP.", "It works."],
+    ],
+)
+def test_abbreviations(parts):
+    assert split(" ".join(parts)) == parts
+
+
+def test_plain_blocks_need_no_program():
+    rng = random.Random(9)
+    pieces = ["It is late", "then", "he left them", "No", "Row 5", ".", ".", "!", "...", "Dr.", "x" * 450]
+    for _ in range(300):
+        text = " ".join(rng.choices(pieces, k=rng.randint(3, 40))).strip()
+        places = [p for p in candidates(text) if p[2] > -MOST_GAINED]
+        if places:
+            args = [0] + [p[1] for p in places], [p[0] for p in places] + [len(text)], [p[2] for p in places] + [0.0], [()] * (len(places) + 2)
+            assert divide(text) == best_spans(text, *args), text
+
+
 def test_program_is_searched_whole():
     rng = random.Random(4)
     pieces = ["Wait", "then", "he left", "I", "Ok", ".", "?", "!", "...", " . ", '"', "(", ")", "Dr.", "3.", "x" * 450]
