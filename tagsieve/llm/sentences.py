@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagsieve.plans.runtime import checkpoint
+
 # Words whose final point is part of an abbreviation that a name, number or
 # further word follows.
 NEVER_FINAL = frozenset(
@@ -78,6 +80,17 @@ UNBALANCED, NO_WORD, ONE_LETTER, LONG_FROM, LONG = -5.0, -6.0, -2.0, 400, -0.001
 #: candidates that score no better than its negative are never chosen and are left out.
 MOST_GAINED = -LONG * LONG_FROM
 
+#: Letters of the longest word that is learnt, the least pointed places of one, the share of its
+#: places that have a point, and the most words that are learnt.
+LONGEST_LEARNT, LEAST_SEEN, HAS_POINT, MOST_LEARNT = 5, 20, 0.95, 100_000
+#: Distinct words that a task counts before it hands them on.
+MOST_KEPT = 1_000_000
+#: Stands for a blank line, or the end of a text, between words.
+PARAGRAPH_END = " \ue000 "
+#: Stands for a capitalised word that often opens a sentence.
+OPENS = "\ue001"
+BLANK_LINE = regex.compile(r"\n[^\S\n]*\n")
+
 LINE = regex.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 ITEM = regex.compile(r"[^\S\r\n]*(?:[-*•‣◦▪●·–+]|\(?\d{1,3}[.)]|\(?[A-Za-z]\))[^\S\r\n]+(?=\S)")
 NUMBERED = regex.compile(r"\s*\(?(\d{1,3})[.)]")
@@ -248,10 +261,10 @@ def closing_score(text: str, mark_at: int, mark: str, lexicon: Lexicon = Lexicon
         return NAMED
     if low in AFTER_NUMBER and NUMBER_BEFORE.search(text, max(0, mark_at - 40), mark_at):
         return UNSURE
-    if low in lexicon.abbreviations or low in NEVER_FINAL and low not in lexicon.ordinary:
-        return ABBREVIATION
     if low in CALENDAR and low not in lexicon.ordinary:
         return DATE
+    if low in lexicon.abbreviations or low in NEVER_FINAL and low not in lexicon.ordinary:
+        return ABBREVIATION
     if len(word.rpartition(".")[2]) == 1 and not CJK.match(word):
         if regex.search(r"(?i)\bт\.\s*[дп]\Z", text[max(0, mark_at - 6) : mark_at]):
             return UNSURE
@@ -434,13 +447,87 @@ def sentence_spans(text: str | None, lexicon: Lexicon = Lexicon()) -> list[tuple
     return spans
 
 
-def sentences(df: DataFrame, row_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+class _WordCounts:
+    """Short words of a partition: how often without a point, and what followed their points."""
+
+    def __init__(self) -> None:
+        self.tokens: Counter[str] = Counter()
+        self.pointed: Counter[tuple[str, str]] = Counter()
+
+    def add(self, text: str) -> None:
+        words = (BLANK_LINE.sub(PARAGRAPH_END, text) if "\n" in text else text).split()
+        self.tokens.update([w for w in words if len(w) <= LONGEST_LEARNT + 3])
+        self.pointed.update([(w, OPENS if after.lower() in OPENERS and after[0].isupper() else after[0]) for w, after in zip(words, [*words[1:], PARAGRAPH_END.strip()]) if w[-1] == "." and len(w) <= LONGEST_LEARNT + 3])
+
+    def rows(self) -> dict[str, list[int]]:
+        """``[plain, goes on, number, capital, end, opener]`` by word."""
+        found: dict[str, list[int]] = {}
+        for token, n in self.tokens.items():
+            word = token.strip("\"'“”„«»‘’()[]*_,;:!?…")
+            if word.isalpha() and 1 < len(word) <= LONGEST_LEARNT:
+                found.setdefault(word.lower(), [0] * 6)[0] += n
+        for (token, after), n in self.pointed.items():
+            word = token[:-1].lstrip("\"'“”„«»‘’([*_")
+            if word.isalpha() and 1 < len(word) <= LONGEST_LEARNT:
+                kind = 5 if after == OPENS else 4 if after in PARAGRAPH_END else 1 if after.islower() or after in ",;:)" else 2 if after.isdigit() else 3
+                found.setdefault(word.lower(), [0] * 6)[kind] += n
+        return found
+
+
+def learnt_words(df: DataFrame, text: str = "text") -> Lexicon:
+    """The short words that the whole of ``df`` shows to be abbreviations, or ordinary words.
+
+    An abbreviation has its point in ``HAS_POINT`` of its places, stands at the end of a
+    paragraph in hardly any and goes on with a small letter or a number in some, or has been
+    seen often and hardly ever before a word that opens sentences. A listed abbreviation is ordinary here if it mostly has no point, and ends
+    paragraphs as other words do. Words with a point in less than one of ``MOST_LEARNT``
+    pointed places teach nothing, so that at most so many are ever broadcast. Null and empty
+    texts count for nothing, and an empty table teaches nothing.
+    """
+    names = ["plain", "inside", "number", "capital", "end_n", "opener"]
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def out(counts: _WordCounts) -> pa.RecordBatch:
+            rows = counts.rows()
+            columns = [pa.array(list(rows), pa.string()), *(pa.array([r[k] for r in rows.values()], pa.int64()) for k in range(6))]
+            return pa.RecordBatch.from_arrays(columns, ["word", *names])
+
+        counts = _WordCounts()
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                if value:
+                    counts.add(value)
+            if len(counts.tokens) > MOST_KEPT:
+                yield out(counts)
+                counts = _WordCounts()
+        yield out(counts)
+
+    partial = df.select(text).mapInArrow(count, "word string, " + ", ".join(f"{n} long" for n in names))
+    words = partial.groupBy("word").agg(*[F.sum(n).alias(n) for n in names]).withColumn("pointed", sum((F.col(n) for n in names[2:]), F.col("inside")))
+    kept = checkpoint(words.where("pointed > 0"))
+    total = kept.agg(F.coalesce(F.sum("pointed"), F.lit(0)).alias("total")).first().total
+    seen = kept.where(F.col("pointed") >= max(LEAST_SEEN, total / MOST_LEARNT))
+    p = F.col("pointed")
+    goes_on = F.col("inside") + F.col("number") >= 0.2 * p
+    named = (p >= 5 * LEAST_SEEN) & (F.col("opener") * 20 <= p)
+    short = (p >= HAS_POINT * (p + F.col("plain"))) & (F.col("end_n") * 50 <= p) & (goes_on | named)
+    plain = (F.col("plain") >= p) & (F.col("end_n") * 20 >= p) & (F.col("inside") * 20 <= p)
+    listed = F.col("word").isin(sorted(w for w in NEVER_FINAL | CALENDAR if len(w) <= LONGEST_LEARNT))
+    found = seen.select("word", short.alias("short"), (plain & listed).alias("plain")).where("short or plain").collect()
+    return Lexicon(frozenset(r.word for r in found if r.short), frozenset(r.word for r in found if r.plain))
+
+
+def sentences(df: DataFrame, row_id: str = "doc_id", text: str = "text", with_text: bool = False, lexicon: Lexicon | None = None) -> DataFrame:
     """``(row_id, begin_at, end_at)`` of every sentence, with its ``sentence`` on demand.
 
     Null, empty and blank texts have no rows. Offsets are half open, in code points from 0.
     Each row of ``df`` is divided on its own, whatever its length, so repeated rows give
-    their sentences each; other columns are neither read nor returned.
+    their sentences each; other columns are neither read nor returned. ``lexicon`` has the
+    words learnt from a corpus, and is learnt from ``df`` if it isn't given.
     """
+    shared = df.sparkSession.sparkContext.broadcast(learnt_words(df, text) if lexicon is None else lexicon)
     fields = [df.schema[row_id], T.StructField("begin_at", T.IntegerType()), T.StructField("end_at", T.IntegerType())]
     if with_text:
         fields.append(T.StructField("sentence", T.StringType()))
@@ -449,10 +536,11 @@ def sentences(df: DataFrame, row_id: str = "doc_id", text: str = "text", with_te
     def split(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        own = shared.value
         for batch in batches:
             for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
                 texts = part.column(1).to_pylist()
-                found = [sentence_spans(t) for t in texts]
+                found = [sentence_spans(t, own) for t in texts]
                 rows = pa.array([k for k, spans in enumerate(found) for _ in spans], pa.int32())
                 columns = [part.column(0).take(rows)]
                 columns += [pa.array([s[k] for spans in found for s in spans], pa.int32()) for k in (0, 1)]

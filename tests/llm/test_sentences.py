@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tagsieve.llm.sentences import MOST_GAINED, best_spans, candidates, divide, sentence_spans, sentences, span_score
+from tagsieve.llm.sentences import MOST_GAINED, Lexicon, best_spans, candidates, divide, learnt_words, sentence_spans, sentences, span_score
 
 
 def split(text):
@@ -145,3 +145,21 @@ def test_program_is_searched_whole():
     texts = [" ".join(rng.choices(pieces, k=rng.randint(3, 60))).strip() for _ in range(150)]
     for text in [*texts, 'He said "' + "No! " * 250 + '" and left. Then it rained.']:
         assert divide(text) == searched_whole(text), text
+
+
+def test_words_are_learnt_from_the_corpus(spark):
+    rng = random.Random(3)
+    names, rows = ["Abel", "Bora", "Cem"], []
+    for k in range(300):
+        sect = rng.choice(["the work of art. It stood there.", "art in the hall was seen.", "new art, old art and art of all times"])
+        rows.append((k, f"We met qlo. {rng.choice(names)} at the door zub. 5 that day. He said yup. They saw {sect}\n\nIt was yup."))
+    df = spark.createDataFrame([*rows, (-1, None), (-2, ""), (-3, "  ")], "doc_id long, text string")
+    found = learnt_words(df)
+    assert found == learnt_words(df.repartition(7)) == Lexicon(frozenset({"qlo", "zub"}), frozenset())
+    assert learnt_words(df.limit(0)) == Lexicon()
+    text = "We met qlo. Abel there. It was yup. They left."
+    assert len(sentence_spans(text)) == 4 and len(sentence_spans(text, found)) == 3
+    at_end = spark.createDataFrame([(k, "He saw old art here and art there.\n\nHe loves art. So do art lovers.\n\nHe saw art.") for k in range(40)], df.schema)
+    learnt = learnt_words(at_end)
+    assert learnt.ordinary == {"art"} and [len(sentence_spans("He loves art. So do we.", x)) for x in (Lexicon(), learnt)] == [1, 2]
+    assert sentences(df.where("doc_id >= 0")).count() == sentences(df).count()
