@@ -112,6 +112,7 @@ LAST_WORD = regex.compile(r"(?r)(?:[\p{L}\p{M}\p{N}\p{Cf}]+[.'’])*[\p{L}\p{M}\
 UNSEEN = regex.compile(r"\p{Cf}+")
 #: A word of consonants only that isn't all capitals.
 NO_VOWEL = regex.compile(r"(?=.+\p{Ll})(?:\p{Lu}?[b-df-hj-np-tv-xz]{2,}|\p{Lu}?[бвгджзйклмнпрстфхцчшщ]{2,})")
+AND_SO_ON = regex.compile(r"(?i)\bт\.\s*[дп]\Z")
 NUMBER_BEFORE = regex.compile(r"(?r)\d\s*[\p{L}\p{M}]+\Z")
 WORD_BEFORE = regex.compile(r"(?r)([\p{L}\p{M}]+)\s+\d+\Z")
 FIRST = regex.compile(r"[\"'“”„«‹「『《(（\[【¿¡*_`\s\p{Cf}]*")
@@ -250,7 +251,7 @@ def closing_score(text: str, mark_at: int, mark: str, lexicon: Lexicon = Lexicon
     found = LAST_WORD.search(text, max(0, mark_at - 40), mark_at)
     if found is None:
         return FULL_MARK
-    word = UNSEEN.sub("", found[0])
+    word = found[0] if found[0].isascii() else UNSEEN.sub("", found[0])
     low = word.lower()
     if low.replace(".", "").isdigit():
         before = WORD_BEFORE.search(text, max(0, mark_at - 40), mark_at)
@@ -266,7 +267,7 @@ def closing_score(text: str, mark_at: int, mark: str, lexicon: Lexicon = Lexicon
     if low in lexicon.abbreviations or low in NEVER_FINAL and low not in lexicon.ordinary:
         return ABBREVIATION
     if len(word.rpartition(".")[2]) == 1 and not CJK.match(word):
-        if regex.search(r"(?i)\bт\.\s*[дп]\Z", text[max(0, mark_at - 6) : mark_at]):
+        if low in "дп" and AND_SO_ON.search(text[max(0, mark_at - 6) : mark_at]):
             return UNSURE
         return INITIAL
     if NO_VOWEL.fullmatch(word) and low not in lexicon.ordinary and not NUMBER_BEFORE.search(text, max(0, mark_at - 40), mark_at):
@@ -300,8 +301,10 @@ def opening_score(text: str, at: int, quoted: str) -> float:
 
 def _number_word(text: str, mark_at: int, start: int) -> bool:
     """``No.`` stands for a number before digits, and is a word of its own elsewhere."""
+    if not text[start : start + 1].isdigit():
+        return False
     word = LAST_WORD.search(text, max(0, mark_at - 8), mark_at)
-    return word is not None and word[0].lower() in ("no", "p", "pt", "art", "ch", "n") and text[start : start + 1].isdigit()
+    return word is not None and word[0].lower() in ("no", "p", "pt", "art", "ch", "n")
 
 
 Candidate = tuple[int, int, float, tuple[str, ...]]
@@ -309,37 +312,42 @@ Candidate = tuple[int, int, float, tuple[str, ...]]
 
 def candidates(text: str, lexicon: Lexicon = Lexicon()) -> list[Candidate]:
     """``(end, next start, score, open quotations)`` of every place where a sentence may end."""
-    found = []
+    found, size = [], len(text)
     states_of, pairs = nesting(text)
     states = _States(states_of)
     for match in MARKS.finditer(text):
         mark = match[0]
-        if mark == "." and text[match.end() : match.end() + 1].isalnum() and not JOINED.match(text, max(0, match.start() - 2)):
+        begin, end = match.span()
+        joined = end < size and not text[end].isspace() and JOINED.match(text, max(0, begin - 2)) is not None
+        if mark == "." and not joined and text[end : end + 1].isalnum():
             continue  # within a number, name or address
         if ";" in mark:
-            near = text[max(0, match.start() - 60) : match.start()]
-            if len(GREEK.findall(near)) <= len(LATIN.findall(near)) and not GREEK.match(text, max(0, match.start() - 1)):
+            near = text[max(0, begin - 60) : begin]
+            if len(GREEK.findall(near)) <= len(LATIN.findall(near)) and not GREEK.match(text, max(0, begin - 1)):
                 continue
-        end = _after_closers(text, match.end(), states.at(match.start()))
+        after = end
+        end = _after_closers(text, after, states.at(begin) if pairs or states_of[1:] else ())
         start = end
-        while start < len(text) and text[start].isspace():
+        while start < size and text[start].isspace():
             start += 1
-        if start >= len(text):
+        if start >= size:
             continue
         tight = start == end
-        joined = tight and JOINED.match(text, max(0, match.start() - 2)) is not None
+        joined = joined and tight
         if tight and not joined and not (CJK_MARK & set(mark)) and mark[-1] not in "।॥؟۔":
             continue
         if tight and text[start] in "，、；：,;:)）]】。.!?！？…":
             continue
-        if _number_word(text, match.start(), start):
+        if _number_word(text, begin, start):
             continue
-        quoted = mark[-1] if QUOTE_END & set(text[match.end() : end]) else ""
-        score = closing_score(text, match.start(), mark, lexicon) + opening_score(text, start, quoted) + (NO_SPACE if joined else 0)
+        quoted = mark[-1] if end > after and QUOTE_END & set(text[after:end]) else ""
+        score = closing_score(text, begin, mark, lexicon) + opening_score(text, start, quoted) + (NO_SPACE if joined else 0)
         found.append((end, start, score))
     if THAI.search(text):
         found += [(m.start(), m.end(), FULL_MARK + UNCASED) for m in THAI_GAP.finditer(text)]
         found = sorted({f[0]: f for f in found}.values())
+    if not states_of[1:]:
+        return [(*place, ()) for place in found]
     ordered = _States(states_of)
     return outside_of_larger_sentences(text, [(end, start, score, ordered.at(end)) for end, start, score in found], pairs)
 
