@@ -12,6 +12,7 @@ words (of characters in scripts without spaces), is then checked exactly in thes
 from __future__ import annotations
 
 import html
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +29,9 @@ EDITS, LONGEST_Q, EDIT_COST = 2, 6, 3
 LEAK_WORDS, LEAK_CHARACTERS = 10, 20
 #: Languages written without spaces.
 UNSPACED = ("zh", "ja", "th")
-#: Item characters that are indexed and broadcast at once; more items take more blocks.
+#: Item characters that are indexed and broadcast as a block, and blocks that one reading of the documents serves.
 BLOCK_CHARACTERS = 2_000_000
+BLOCKS_AT_ONCE = 4
 #: Document characters that a task treats at once, and shared q-grams and bands within them.
 BATCH_CHARACTERS = 1_000_000
 HITS_AT_ONCE, BANDS_AT_ONCE = 2_000_000, 20_000
@@ -120,10 +122,10 @@ class Index:
         self.least = np.maximum(1, shortest + 1 - self.q * (edits + 1))
         self.score = np.maximum(1, shortest - edits * (1 + EDIT_COST))
         codes = [points(i.text) for i in self.items]
-        self.longest = max(map(len, codes), default=0)
-        self.matrix = np.ones((len(codes), self.longest), np.uint32)
-        for row, own in zip(self.matrix, codes):
-            row[: len(own)] = own
+        self.sizes = np.array([len(c) for c in codes], np.int64)
+        self.begins = np.r_[0, np.cumsum(self.sizes)]
+        self.codes = np.concatenate([*codes, np.ones(1, np.uint32)])
+        self.longest = int(self.sizes.max(initial=0))
         grams = [gram_hashes(c, self.q) for c in codes]
         hashes = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -153,69 +155,85 @@ class Index:
             posting = np.repeat(first[own] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
             yield self.owner[posting], self.place[posting], np.repeat(found[own], n)
 
-    def bands(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(item, first diagonal)`` of the bands that share enough q-grams.
+    def bands(self, grams: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(item, document, first diagonal)`` of the bands that share enough q-grams.
 
         A band spans two strides of ``edits + 1`` diagonals, and bands overlap by one, so
-        that every passage with its edits lies wholly in one of them.
+        that every passage with its edits lies wholly in one of them. ``starts`` has the
+        place at which each document begins, and one more.
         """
-        wide = (len(grams) + 2 * self.longest) // self.stride + 2
+        ahead = self.longest // self.stride + 2  # bands of diagonals on which the item begins before the document
+        room = np.r_[0, np.cumsum(np.diff(starts) // self.stride + ahead + 2)]
+        wide = int(room[-1]) + 1
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for item, place, at in self.hits(grams):
-            band = (at - place + self.longest) // self.stride
-            both = np.concatenate([keys, item * wide + band, item * wide + np.maximum(band - 1, 0)])
+            document = np.searchsorted(starts, at, "right") - 1
+            band = (at - starts[document] - place) // self.stride + ahead
+            key = item * wide + room[document] + band
+            both = np.concatenate([keys, key, key - 1])
             weight = np.concatenate([counts, np.ones(2 * len(item), np.int64)])
             keys, inverse = np.unique(both, return_inverse=True)
             counts = np.bincount(inverse, weights=weight, minlength=len(keys)).astype(np.int64)
-        owner = keys // wide
+        owner, at = keys // wide, keys % wide
         kept = counts >= self.least[owner] if len(keys) else np.zeros(0, bool)
-        return owner[kept], (keys[kept] % wide) * self.stride - self.longest
+        owner, at = owner[kept], at[kept]
+        document = np.searchsorted(room, at, "right") - 1
+        return owner, document, (at - room[document] - ahead) * self.stride
 
-    def align(self, codes: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-        """The best local alignment score of each band, all bands advancing together."""
+    def align(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        """The best local alignment score of each band with its document, which has ``size`` characters from ``begin``.
+
+        Only the part of an item that its band shares with the document is aligned, and
+        bands of parts of about the same length advance together.
+        """
         width = 2 * self.stride + 2 * self.edits
-        margin = self.longest + width
-        padded = np.concatenate([np.zeros(margin, np.uint32), codes, np.zeros(margin + width, np.uint32)])
-        begin = diagonal - self.edits + margin
-        across = np.arange(width)
-        score = np.zeros((len(item), width), np.int32)
+        first = np.maximum(0, self.edits - diagonal - width + 1)
+        steps = np.maximum(0, np.minimum(self.sizes[item], size - diagonal + self.edits) - first)
         best = np.zeros(len(item), np.int32)
-        for i in range(self.longest):
-            equal = padded[begin[:, None] + i + across] == self.matrix[item, i][:, None]
-            new = score + np.where(equal, 1, -EDIT_COST).astype(np.int32)
-            new[:, :-1] = np.maximum(new[:, :-1], score[:, 1:] - EDIT_COST)
-            for _ in range(self.edits):
-                new[:, 1:] = np.maximum(new[:, 1:], new[:, :-1] - EDIT_COST)
-            score = np.maximum(new, 0)
-            best = np.maximum(best, score.max(axis=1))
+        across = np.arange(width)
+        for length in np.unique(np.frexp(steps)[1]).tolist():
+            own = np.flatnonzero(np.frexp(steps)[1] == length)
+            place = self.begins[item[own]] + first[own]
+            end = self.begins[item[own]] + self.sizes[item[own]]
+            at = (diagonal[own] - self.edits + first[own])[:, None] + across
+            low, high = begin[own][:, None], size[own][:, None]
+            score = np.zeros((len(own), width), np.int32)
+            most = np.zeros(len(own), np.int32)
+            for i in range(int(steps[own].max())):
+                inside = (at + i >= 0) & (at + i < high) & (place + i < end)[:, None]
+                equal = inside & (codes[np.where(inside, low + at + i, 0)] == self.codes[np.minimum(place + i, len(self.codes) - 1)][:, None])
+                new = score + np.where(equal, 1, -EDIT_COST).astype(np.int32)
+                new[:, :-1] = np.maximum(new[:, :-1], score[:, 1:] - EDIT_COST)
+                for _ in range(self.edits):
+                    new[:, 1:] = np.maximum(new[:, 1:], new[:, :-1] - EDIT_COST)
+                score = np.maximum(new, 0)
+                most = np.maximum(most, score.max(axis=1))
+            best[own] = most
         return best
 
     def leaks(self, documents: list[list[str]]) -> list[tuple[int, int, int, bool]]:
         """``(document, item, score, exact)`` of every document and item with a kept region."""
+        texts = ["".join(words) for words in documents]
+        return self.found(documents, texts, *joined(texts))
+
+    def found(self, documents: list[list[str]], texts: list[str], codes: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, bool]]:
+        """``leaks`` of documents that are put together already."""
         if not self.items:
             return []
-        texts = ["".join(words) for words in documents]
-        gap = self.longest + 4 * self.stride + 4 * self.edits
-        starts = np.cumsum([0] + [len(t) + gap for t in texts])
-        codes = np.concatenate([x for t in texts for x in (points(t), np.zeros(gap, np.uint32))] or [np.zeros(0, np.uint32)])
-        item, diagonal = self.bands(gram_hashes(codes, self.q))
+        item, document, diagonal = self.bands(gram_hashes(codes, self.q), starts)
         if not len(item):
             return []
+        sizes = np.array([len(t) for t in texts], np.int64)
         parts = [slice(k, k + BANDS_AT_ONCE) for k in range(0, len(item), BANDS_AT_ONCE)]
-        scores = np.concatenate([self.align(codes, item[p], diagonal[p]) for p in parts])
+        scores = np.concatenate([self.align(codes, starts[document[p]], sizes[document[p]], item[p], diagonal[p]) for p in parts])
         kept = scores >= self.score[item]
         result: dict[tuple[int, int], tuple[int, bool]] = {}
         word_starts: dict[int, np.ndarray] = {}
-        for k, d, s in zip(item[kept].tolist(), diagonal[kept].tolist(), scores[kept].tolist()):
-            lower, upper = d - self.edits, d + self.longest + 2 * self.stride + self.edits
-            document = int(np.searchsorted(starts, max(0, lower) + self.longest // 2, "right")) - 1
-            for doc in {max(0, document - 1), document, min(document + 1, len(texts) - 1)}:
-                begin, end = lower - int(starts[doc]), upper - int(starts[doc])
-                if end <= 0 or begin >= len(texts[doc]):
-                    continue
-                old = result.get((doc, k), (0, False))
-                exact = old[1] or self.exact(documents[doc], texts[doc], word_starts, doc, k, begin, end)
-                result[doc, k] = max(old[0], s), exact
+        for k, doc, d, s in zip(item[kept].tolist(), document[kept].tolist(), diagonal[kept].tolist(), scores[kept].tolist()):
+            begin, end = d - self.edits, d + int(self.sizes[k]) + 2 * self.stride + self.edits
+            old = result.get((doc, k), (0, False))
+            exact = old[1] or self.exact(documents[doc], texts[doc], word_starts, doc, k, begin, end)
+            result[doc, k] = max(old[0], s), exact
         return [(doc, self.items[k].item_id, s, exact) for (doc, k), (s, exact) in result.items()]
 
     def exact(self, words: list[str], text: str, word_starts: dict, doc: int, k: int, begin: int, end: int) -> bool:
@@ -231,6 +249,25 @@ class Index:
         return any(tuple(region[x : x + LEAK_WORDS]) in wanted for x in range(len(region) - LEAK_WORDS + 1))
 
 
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all texts with a gap after each that no q-gram of an item holds, and where each text begins."""
+    starts = np.r_[0, np.cumsum([len(t) + LONGEST_Q for t in texts])].astype(np.int64)
+    return points("\0" .join(t + "\0" * (LONGEST_Q - 1) for t in texts) + "\0" * bool(texts)), starts
+
+
+#: The indexes of blocks that this worker has built, by the token of their search and number.
+_BUILT: dict[tuple[str, int], Index] = {}
+
+
+def built_index(token: str, number: int, items: list[Item], edits: int) -> Index:
+    """The index of a block, built once a worker and kept until those of other blocks need its place."""
+    if (token, number) not in _BUILT:
+        while len(_BUILT) >= BLOCKS_AT_ONCE:
+            del _BUILT[next(iter(_BUILT))]
+        _BUILT[token, number] = Index(items, edits)
+    return _BUILT[token, number]
+
+
 def item_blocks(items: DataFrame, block_characters: int) -> Iterator[list[Item]]:
     """The items in blocks of at most so many characters (one longer item is a block of its own)."""
     block, size = [], 0
@@ -260,7 +297,8 @@ def leaked_passages(
     scripts without spaces, of ``LEAK_CHARACTERS`` equal characters. Items shorter than
     that can't leak. Documents and items with null or empty texts have no pairs; repeated
     documents have pairs each, and an empty table on either side gives none. ``items`` is
-    a query set, read in blocks that are each broadcast; documents are never shuffled.
+    a query set, read in blocks that are each broadcast; documents are never shuffled, and
+    are read once for every ``BLOCKS_AT_ONCE`` blocks.
     """
     context = documents.sparkSession.sparkContext
     schema = T.StructType(
@@ -272,32 +310,40 @@ def leaked_passages(
         ]
     )
 
-    def search(shared):
+    def search(token: str, shared: list):
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            index = Index(shared.value, edits)
-
-            def found(ids: pa.Array, first: int, texts: list) -> pa.RecordBatch:
-                leaks = index.leaks(texts)
+            def found(ids: pa.Array, first: int, documents: list) -> pa.RecordBatch:
+                texts = ["".join(words) for words in documents]
+                codes, starts = joined(texts)
+                leaks = [x for k, block in enumerate(shared) for x in built_index(token, k, block.value, edits).found(documents, texts, codes, starts)]
                 columns = [ids.take(pa.array([first + x[0] for x in leaks], pa.int32())), pa.array([x[1] for x in leaks], pa.int64())]
                 columns += [pa.array([x[2] for x in leaks], pa.int32()), pa.array([x[3] for x in leaks], pa.bool_())]
                 return pa.RecordBatch.from_arrays(columns, schema.names)
 
             for batch in batches:
-                texts, first, size = [], 0, 0
+                documents, first, size = [], 0, 0
                 for value in batch.column(1).to_pylist():
-                    texts.append(words_of(value))
+                    documents.append(words_of(value))
                     size += len(value or "")
                     if size > BATCH_CHARACTERS:
-                        yield found(batch.column(0), first, texts)
-                        texts, first, size = [], first + len(texts), 0
-                yield found(batch.column(0), first, texts)
+                        yield found(batch.column(0), first, documents)
+                        documents, first, size = [], first + len(documents), 0
+                yield found(batch.column(0), first, documents)
 
         return run
 
-    result = None
+    result, shared = None, []
+
+    def searched() -> DataFrame:
+        part = documents.select(row_id, text).mapInArrow(search(uuid.uuid4().hex, list(shared)), schema)
+        return part if result is None else result.unionByName(part)
+
     for block in item_blocks(items, block_characters):
-        part = documents.select(row_id, text).mapInArrow(search(context.broadcast(block)), schema)
-        result = part if result is None else result.unionByName(part)
+        shared.append(context.broadcast(block))
+        if len(shared) == BLOCKS_AT_ONCE:
+            result, shared = searched(), []
+    if shared:
+        result = searched()
     return documents.sparkSession.createDataFrame([], schema) if result is None else result
