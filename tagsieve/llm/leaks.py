@@ -34,7 +34,9 @@ BLOCK_CHARACTERS = 2_000_000
 BLOCKS_AT_ONCE = 4
 #: Document characters that a task treats at once, and shared q-grams and bands within them.
 BATCH_CHARACTERS = 1_000_000
-HITS_AT_ONCE, BANDS_AT_ONCE = 2_000_000, 20_000
+HITS_AT_ONCE, BANDS_AT_ONCE, AT_ONCE = 2_000_000, 20_000, 1 << 15
+#: Characters of all aligned parts that a task compares at once, or the one part that is longer.
+CELLS_AT_ONCE = 1 << 21
 
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 #: Tags; a longer one must have attributes only, one of them with a value, so that text between two stray brackets stays.
@@ -78,11 +80,19 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     n = len(codes) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    result = np.zeros(n, np.uint64)
-    for k in range(q):
-        result = result * np.uint64(0x100000001B3) + codes[k : k + n].astype(np.uint64)
-        result ^= result >> np.uint64(29)
-    return result
+    wide = codes.astype(np.uint64)  # of 21 bits each, so that three fit in one number
+    if q < 3:
+        packed = wide[:n] if q == 1 else (wide[:n] << np.uint64(21)) | wide[1 : n + 1]
+        return mixed(packed * np.uint64(0x9E3779B97F4A7C15))
+    triple = (wide[:-2] << np.uint64(42)) | (wide[1:-1] << np.uint64(21)) | wide[2:]
+    result = triple[:n] * np.uint64(0x9E3779B97F4A7C15)
+    if q > 3:
+        result = mixed(result) + triple[q - 3 : q - 3 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mixed(result)
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    return hashes ^ (hashes >> np.uint64(29))
 
 
 @dataclass(frozen=True)
@@ -140,13 +150,22 @@ class Index:
     def low(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes & np.uint64(len(self.held) - 1)).astype(np.int64)
 
-    def hits(self, grams: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def seen(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and place of the documents' q-grams that may be an item's, taken in parts that a processor's cache holds."""
+        hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(codes), AT_ONCE):
+            grams = gram_hashes(codes[at : at + AT_ONCE + self.q - 1], self.q)
+            own = np.flatnonzero(self.held[self.low(grams)])
+            hashes.append(grams[own])
+            places.append(own + at)
+        return np.concatenate(hashes), np.concatenate(places)
+
+    def hits(self, grams: np.ndarray, found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """``(item, place in the item, place in the documents)`` of every shared q-gram, in parts of bounded size."""
         if not len(self.hashes):
             return
-        found = np.flatnonzero(self.held[self.low(grams)])
-        at = np.minimum(np.searchsorted(self.hashes, grams[found]), len(self.hashes) - 1)
-        same = self.hashes[at] == grams[found]
+        at = np.minimum(np.searchsorted(self.hashes, grams), len(self.hashes) - 1)
+        same = self.hashes[at] == grams
         found, at = found[same], at[same]
         first, count = self.first[at], (self.last - self.first)[at]
         part = np.cumsum(count) // HITS_AT_ONCE
@@ -155,7 +174,7 @@ class Index:
             posting = np.repeat(first[own] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
             yield self.owner[posting], self.place[posting], np.repeat(found[own], n)
 
-    def bands(self, grams: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def bands(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(item, document, first diagonal)`` of the bands that share enough q-grams.
 
         A band spans two strides of ``edits + 1`` diagonals, and bands overlap by one, so
@@ -166,14 +185,15 @@ class Index:
         room = np.r_[0, np.cumsum(np.diff(starts) // self.stride + ahead + 2)]
         wide = int(room[-1]) + 1
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for item, place, at in self.hits(grams):
+        for item, place, at in self.hits(*self.seen(codes)):
             document = np.searchsorted(starts, at, "right") - 1
             band = (at - starts[document] - place) // self.stride + ahead
-            key = item * wide + room[document] + band
-            both = np.concatenate([keys, key, key - 1])
-            weight = np.concatenate([counts, np.ones(2 * len(item), np.int64)])
-            keys, inverse = np.unique(both, return_inverse=True)
-            counts = np.bincount(inverse, weights=weight, minlength=len(keys)).astype(np.int64)
+            own, n = counted(item * wide + room[document] + band)
+            keys, counts = (own, n) if not len(keys) else counted(np.concatenate([keys, own]), np.concatenate([counts, n]))
+        if len(keys):  # each stride counts for the band that it begins and for the one that it ends
+            after = np.r_[np.where(keys[1:] == keys[:-1] + 1, counts[1:], 0), 0]
+            first = np.r_[True, keys[1:] != keys[:-1] + 1]
+            keys, counts = np.concatenate([keys, keys[first] - 1]), np.concatenate([counts + after, counts[first]])
         owner, at = keys // wide, keys % wide
         kept = counts >= self.least[owner] if len(keys) else np.zeros(0, bool)
         owner, at = owner[kept], at[kept]
@@ -190,27 +210,33 @@ class Index:
         first = np.maximum(0, self.edits - diagonal - width + 1)
         steps = np.maximum(0, np.minimum(self.sizes[item], size - diagonal + self.edits) - first)
         best = np.zeros(len(item), np.int32)
-        across = np.arange(width)
-        for length in np.unique(np.frexp(steps)[1]).tolist():
-            own = np.flatnonzero(np.frexp(steps)[1] == length)
-            place = self.begins[item[own]] + first[own]
-            end = self.begins[item[own]] + self.sizes[item[own]]
-            at = (diagonal[own] - self.edits + first[own])[:, None] + across
-            low, high = begin[own][:, None], size[own][:, None]
-            score = np.zeros((len(own), width), np.int32)
-            most = np.zeros(len(own), np.int32)
-            for i in range(int(steps[own].max())):
-                inside = (at + i >= 0) & (at + i < high) & (place + i < end)[:, None]
-                equal = inside & (codes[np.where(inside, low + at + i, 0)] == self.codes[np.minimum(place + i, len(self.codes) - 1)][:, None])
-                new = score + np.where(equal, 1, -EDIT_COST).astype(np.int32)
-                new[:, :-1] = np.maximum(new[:, :-1], score[:, 1:] - EDIT_COST)
-                for _ in range(self.edits):
-                    new[:, 1:] = np.maximum(new[:, 1:], new[:, :-1] - EDIT_COST)
-                score = np.maximum(new, 0)
-                most = np.maximum(most, score.max(axis=1))
-            best[own] = most
+        classes = np.frexp(steps)[1]
+        for length in np.unique(classes).tolist():
+            own = np.flatnonzero(classes == length)
+            for part in np.array_split(own, -(-len(own) << max(length, 4)) // CELLS_AT_ONCE + 1):
+                if len(part):
+                    best[part] = self.align_alike(codes, begin[part], size[part], item[part], diagonal[part], first[part], int(steps[part].max()), width)
         return best
 
+    def align_alike(self, codes, begin, size, item, diagonal, first, steps: int, width: int) -> np.ndarray:
+        """``align`` for bands whose parts are at most ``steps`` long, all advancing together."""
+        place = first[:, None] + np.arange(steps)
+        wanted = np.where(place < self.sizes[item][:, None], self.codes[np.minimum(self.begins[item][:, None] + place, len(self.codes) - 1)], 1)
+        at = (diagonal - self.edits + first)[:, None] + np.arange(steps + width - 1)
+        region = np.where((at >= 0) & (at < size[:, None]), codes[np.clip(begin[:, None] + at, 0, len(codes) - 1)], 0)
+        # one row a diagonal and one a step, so that a step works on whole rows
+        region, wanted = np.ascontiguousarray(region.T), np.ascontiguousarray(wanted.T)
+        score = np.zeros((width, len(item)), np.int16 if steps < 1 << 13 else np.int32)
+        best = np.zeros(len(item), score.dtype)
+        for i in range(steps):
+            new = score + np.where(region[i : i + width] == wanted[i], score.dtype.type(1), score.dtype.type(-EDIT_COST))
+            np.maximum(new[:-1], score[1:] - score.dtype.type(EDIT_COST), out=new[:-1])
+            for _ in range(self.edits):
+                np.maximum(new[1:], new[:-1] - score.dtype.type(EDIT_COST), out=new[1:])
+            score = np.maximum(new, 0, out=new)
+            np.maximum(best, score.max(axis=0), out=best)
+        return best.astype(np.int32)
+
     def leaks(self, documents: list[list[str]]) -> list[tuple[int, int, int, bool]]:
         """``(document, item, score, exact)`` of every document and item with a kept region."""
         texts = ["".join(words) for words in documents]
@@ -220,7 +246,7 @@ class Index:
         """``leaks`` of documents that are put together already."""
         if not self.items:
             return []
-        item, document, diagonal = self.bands(gram_hashes(codes, self.q), starts)
+        item, document, diagonal = self.bands(codes, starts)
         if not len(item):
             return []
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -249,6 +275,18 @@ class Index:
         return any(tuple(region[x : x + LEAK_WORDS]) in wanted for x in range(len(region) - LEAK_WORDS + 1))
 
 
+def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and how often each occurs, or the sum of its weights."""
+    if weights is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, weights = keys[order], weights[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    sums = np.diff(np.r_[first, len(keys)]) if weights is None else np.add.reduceat(weights, first) if len(first) else weights
+    return keys[first], sums
+
+
 def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The characters of all texts with a gap after each that no q-gram of an item holds, and where each text begins."""
     starts = np.r_[0, np.cumsum([len(t) + LONGEST_Q for t in texts])].astype(np.int64)
