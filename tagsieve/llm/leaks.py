@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tagsieve.llm.confusables import LOOK_ALIKE, MIXABLE, consistent_form
+from tagsieve.llm.confusables import LOOK_ALIKE, MIXABLE, LookAlikes, look_alikes
 
 #: Edits that an aligned passage may hold, longest q-gram, and the cost of an edit in the alignment.
 EDITS, LONGEST_Q, EDIT_COST = 2, 6, 3
@@ -59,7 +59,7 @@ def _folded() -> dict[int, str]:
 FOLDED = _folded()
 
 
-def words_of(text: str | None) -> list[str]:
+def words_of(text: str | None, alike: LookAlikes) -> list[str]:
     """The words of a text as they are compared."""
     if not text:
         return []
@@ -67,8 +67,11 @@ def words_of(text: str | None) -> list[str]:
         text = TAGS.sub(" ", text)
     if "&" in text:
         text = ENTITY.sub(lambda m: html.unescape(m[0]), text)
-    folded = consistent_form(text).casefold()
-    return WORDS.findall(folded.translate(FOLDED) if MIXABLE.search(folded) else folded)
+    words = WORDS.findall(alike.consistent_form(text).casefold())
+    if text.isascii() or not MIXABLE.search(text):
+        return words
+    folded = {w: w.translate(FOLDED) for w in set(words)}
+    return [folded[w] for w in words]
 
 
 def points(text: str) -> np.ndarray:
@@ -306,11 +309,11 @@ def built_index(token: str, number: int, items: list[Item], edits: int) -> Index
     return _BUILT[token, number]
 
 
-def item_blocks(items: DataFrame, block_characters: int) -> Iterator[list[Item]]:
+def item_blocks(items: DataFrame, block_characters: int, alike: LookAlikes) -> Iterator[list[Item]]:
     """The items in blocks of at most so many characters (one longer item is a block of its own)."""
     block, size = [], 0
     for item_id, lang, text in items.select("item_id", "lang", "text").where("text is not null").toLocalIterator():
-        item = Item(item_id, words_of(text), (lang or "").lower()[:2] in UNSPACED)
+        item = Item(item_id, words_of(text, alike), (lang or "").lower()[:2] in UNSPACED)
         if block and size + len(item.text) > block_characters:
             yield block
             block, size = [], 0
@@ -339,6 +342,8 @@ def leaked_passages(
     are read once for every ``BLOCKS_AT_ONCE`` blocks.
     """
     context = documents.sparkSession.sparkContext
+    alike = look_alikes(documents.sparkSession)
+    letters = context.broadcast(alike)
     schema = T.StructType(
         [
             documents.schema[row_id],
@@ -363,7 +368,7 @@ def leaked_passages(
             for batch in batches:
                 documents, first, size = [], 0, 0
                 for value in batch.column(1).to_pylist():
-                    documents.append(words_of(value))
+                    documents.append(words_of(value, letters.value))
                     size += len(value or "")
                     if size > BATCH_CHARACTERS:
                         yield found(batch.column(0), first, documents)
@@ -378,7 +383,7 @@ def leaked_passages(
         part = documents.select(row_id, text).mapInArrow(search(uuid.uuid4().hex, list(shared)), schema)
         return part if result is None else result.unionByName(part)
 
-    for block in item_blocks(items, block_characters):
+    for block in item_blocks(items, block_characters, alike):
         shared.append(context.broadcast(block))
         if len(shared) == BLOCKS_AT_ONCE:
             result, shared = searched(), []

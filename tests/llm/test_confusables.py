@@ -1,10 +1,10 @@
 import pytest
 
-from tagsieve.llm.confusables import consistent_form, consistent_forms, inspect, readings, resolved_scripts
+from tagsieve.llm.confusables import consistent_forms
 
 
-def flags(text):
-    return {k for k, v in inspect(text)[1].items() if v}
+def flags(alike, text):
+    return {k for k, v in alike.inspect(text)[1].items() if v}
 
 
 @pytest.mark.parametrize(
@@ -35,27 +35,50 @@ def flags(text):
         ("", "", set()),
     ],
 )
-def test_forms(text, form, kinds):
-    assert consistent_form(text) == form
-    assert flags(text) == kinds
-    assert consistent_form(form) == form
+def test_forms(alike, text, form, kinds):
+    assert alike.consistent_form(text) == form
+    assert flags(alike, text) == kinds
+    assert alike.consistent_form(form) == form
 
 
-def test_script_sets():
-    assert resolved_scripts("abc") == {"Latin"}
-    assert resolved_scripts("aб") == frozenset()
-    assert "Jpan" in resolved_scripts("漢カひ")
-    assert readings("оно")[0] == "single" and readings("сор")[0] == "whole"
+def test_script_sets(alike):
+    assert alike.resolved_scripts("abc") == {"Latin"}
+    assert alike.resolved_scripts("aб") == frozenset()
+    assert "Jpan" in alike.resolved_scripts("漢カひ")
+    assert alike.scripts_of("ー") >= {"Hiragana", "Katakana"} and "Jpan" in alike.resolved_scripts("スーパー")
+    assert alike.readings("ёж")[0] == "single" and alike.readings("сор")[0] == "whole"
 
 
-def test_whole_script_confusables_are_counted_not_changed():
-    form, kinds, whole = inspect("сор 1")
-    assert form == "сор 1" and not any(kinds.values()) and whole == 1
+@pytest.mark.parametrize(
+    "text,form",
+    [("հello", "hello"), ("օne", "one"), ("ցoogle", "google"), ("Ꭺpple", "Apple"), ("Ᏼerlin", "Berlin"), ("Ρaris", "Paris"), ("աind", "wind"), ("ⲟld", "old"), ("pⲟtⲁtⲟ", None)],
+)
+def test_scripts_beyond_three(alike, text, form):
+    found, kinds, _, _ = alike.inspect(text)
+    assert form is None or found == form and kinds["mixed"]
+
+
+def test_whole_script_confusables_keep_their_form_and_share_a_key(alike):
+    form, kinds, whole, key = alike.inspect("сор 1")
+    assert form == "сор 1" and not any(kinds.values()) and (whole, key) == (1, "cop 1")
+    for text in ("сосо", "coco", "cоcо", "сосо\u200b"):
+        assert alike.inspect(text)[3] == "coco"
+    assert alike.inspect("Москва")[3] == "Москва" and alike.inspect("Νέα")[0] == "Νέα"
+    assert alike.readings("аррӏе")[0] == alike.readings("сосо")[0] == "whole"
+
+
+def test_context_decides_between_feasible_scripts(alike):
+    assert alike.consistent_form("Привет сoр") == "Привет сор"
+    assert alike.consistent_form("the cаp") == "the cap"
 
 
-def test_context_decides_between_feasible_scripts():
-    assert consistent_form("Привет сoр") == "Привет сор"
-    assert consistent_form("the cаp") == "the cap"
+def test_all_pairs_look_alike_both_ways(alike):
+    assert len(alike.like) > 500
+    scripts = {s for own in alike.like.values() for s in own}
+    assert {"Armenian", "Hebrew", "Arabic", "Georgian"} <= scripts and {"Cherokee", "Coptic"} <= {s for c in alike.like for s in alike.scripts_of(c)}
+    for letter, own in alike.like.items():
+        for script, other in own.items():
+            assert script in alike.scripts_of(other) and script not in alike.scripts_of(letter)
 
 
 def test_frame(spark):

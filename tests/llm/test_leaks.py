@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -71,11 +72,11 @@ def test_equal_to_brute_force_on_random_mixtures():
     assert expected
 
 
-def test_very_long_document(items):
+def test_very_long_document(items, alike):
     texts, _ = items
-    index = leaks.Index([leaks.Item(0, leaks.words_of(texts[0]), False)])
+    index = leaks.Index([leaks.Item(0, leaks.words_of(texts[0], alike), False)])
     filler = ["filler"] * 200_000
-    assert [x[3] for x in index.leaks([filler + leaks.words_of(texts[0])[2:14] + filler])] == [True]
+    assert [x[3] for x in index.leaks([filler + leaks.words_of(texts[0], alike)[2:14] + filler])] == [True]
 
 
 def test_repeated_grams_in_parts(monkeypatch):
@@ -86,8 +87,73 @@ def test_repeated_grams_in_parts(monkeypatch):
     assert {(d, i) for d, i, _, exact in found if exact} == {(0, 0), (1, 1)}
 
 
-def test_long_tags_are_taken_out_and_text_between_brackets_is_not():
+def test_long_tags_are_taken_out_and_text_between_brackets_is_not(alike):
     long = " ".join(WORDS * 4)
     for attributes in (f'href="x" hidden title="{long}"', f"id=a title = '{long}' /", f"href={long.replace(' ', '/')}"):
-        assert leaks.words_of(f"amber <a {attributes}>birch</a> cedar") == ["amber", "birch", "cedar"]
-    assert leaks.words_of(f"a <b and {long}, c> d") == ["a", "b", "and", *long.split(), "c", "d"]
+        assert leaks.words_of(f"amber <a {attributes}>birch</a> cedar", alike) == ["amber", "birch", "cedar"]
+    assert leaks.words_of(f"a <b and {long}, c> d", alike) == ["a", "b", "and", *long.split(), "c", "d"]
+
+
+def test_a_long_item_costs_others_nothing():
+    rng = random.Random(5)
+    short = [leaks.Item(k, rng.choices(WORDS, k=18), False) for k in range(300)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    long = leaks.Item(900, ["".join(rng.choices(letters, k=6)) for _ in range(50_000)], False)
+    docs = [rng.choices(WORDS, k=20) + item.words[2:15] for item in short[:40]]
+
+    def seconds(items):
+        index = leaks.Index(items)
+        began = time.process_time()
+        found = index.leaks(docs)
+        return time.process_time() - began, found
+
+    alone, found = min(seconds(short) for _ in range(3))
+    beside, also = min(seconds([*short, long]) for _ in range(3))
+    assert sorted(also) == sorted(found) and beside < 2 * alone + 0.2
+    index = leaks.Index([*short, long])
+    assert [(i, e) for _, i, _, e in index.leaks([long.words[40_000:40_012], long.words[-11:], long.words[:9]])] == [(900, True), (900, True), (900, False)]
+
+
+def edited(rng, text, edits):
+    text = list(text)
+    for at in sorted(rng.sample(range(5, len(text) - 5), edits), reverse=True):
+        kind = rng.randrange(3)
+        text[at : at + (kind != 0)] = [rng.choice("xyz")] if kind != 1 else []
+    return "".join(text)
+
+
+def longest_alike(text, item, edits):
+    """The best local alignment score by the whole matrix, one row at a time."""
+    best, row = 0, [0] * (len(item) + 1)
+    for c in text:
+        new = [0]
+        for j, d in enumerate(item, 1):
+            new.append(max(0, row[j - 1] + (1 if c == d else -leaks.EDIT_COST), row[j] - leaks.EDIT_COST, new[j - 1] - leaks.EDIT_COST))
+            best = max(best, new[j])
+        row = new
+    return best
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_recall_of_passages_with_edits(edits):
+    """Every document whose best alignment reaches an item's score is found; the whole matrix is the brute force."""
+    rng = random.Random(edits)
+    items = [leaks.Item(k, rng.choices(WORDS, k=16), False) for k in range(12)]
+    index = leaks.Index(items)
+    docs = []
+    for k in range(36):
+        source = "".join(items[k % 12].words[2:14])
+        docs.append(["".join(rng.choices(WORDS, k=4)), edited(rng, source, edits), "".join(rng.choices(WORDS, k=4))])
+    found = {(d, i) for d, i, _, _ in index.leaks(docs)}
+    wanted = {(d, i.item_id) for d, words in enumerate(docs) for k, i in enumerate(index.items) if longest_alike("".join(words), i.text, edits) >= index.score[k]}
+    planted = {(d, d % 12) for d in range(36)}
+    assert planted & wanted <= found and len(planted & wanted) >= 30
+    assert len(wanted & found) >= 0.9 * len(wanted)
+
+
+def test_blocks_share_one_reading(spark, items):
+    texts, frame = items
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    several = leaks.leaked_passages(df, frame, block_characters=150)
+    assert str(several._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == -(-13 // leaks.BLOCKS_AT_ONCE)
+    assert {(r.doc_id, r.item_id) for r in several.collect() if r.exact} == {(k, k) for k in range(12)}

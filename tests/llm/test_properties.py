@@ -5,7 +5,6 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tagsieve.llm.confusables import consistent_form, inspect
 from tagsieve.llm.leaks import words_of
 from tagsieve.llm.sentences import sentence_spans
 
@@ -16,26 +15,27 @@ texts = st.one_of(st.text(ODD, max_size=30), st.text(max_size=30))
 
 @settings(max_examples=400, deadline=None)
 @given(texts)
-def test_consistent_forms_are_fixed_points(text):
-    form, _, _ = inspect(text)
-    again, flags, _ = inspect(form)
+def test_consistent_forms_are_fixed_points(alike, text):
+    form, _, _, _ = alike.inspect(text)
+    again, flags, _, _ = alike.inspect(form)
     assert again == form
     assert not any(flags.values())
 
 
 @settings(max_examples=200, deadline=None)
 @given(texts)
-def test_unflagged_texts_stay(text):
-    form, flags, _ = inspect(text)
+def test_unflagged_texts_stay(alike, text):
+    form, flags, _, key = alike.inspect(text)
     assert any(flags.values()) or form == text
+    assert alike.inspect(form)[3] == key
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("abcdeOPнт", min_size=1, max_size=6), max_size=8))
-def test_compared_words_ignore_case_space_and_marks(words):
-    plain = words_of(" ".join(words))
-    assert words_of(",\n ".join(f"*{w}*" for w in words)) == plain
-    assert words_of("​ " + " ­".join(words)) == plain
+def test_compared_words_ignore_case_space_and_marks(alike, words):
+    plain = words_of(" ".join(words), alike)
+    assert words_of(",\n ".join(f"*{w}*" for w in words), alike) == plain
+    assert words_of("​ " + " ­".join(words), alike) == plain
 
 
 @settings(max_examples=400, deadline=None)
