@@ -10,6 +10,10 @@ filters, of hashes seen once and of hashes seen again; merging two partitions ad
 second what both have in the first. Only records that the merged second filter holds are
 shuffled and grouped by a 256-bit digest; all others are singletons and stay where they are.
 A Bloom filter never misses a key, so no copy is lost; false hits only cost shuffle.
+
+A filter of fixed size holds a share of the hashes, so more records take more passes. Each
+pass reads its own share of the written hashes only, so each hash is read twice however many
+passes there are, and at most one filter is held at a time.
 """
 
 from __future__ import annotations
@@ -23,19 +27,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagsieve.operators.skew import skew_join
-from tagsieve.plans.runtime import checkpoint
+from tagsieve.plans.runtime import checkpoint, stored, stored_path
 
 #: Bits of one filter segment, and bits that a hash sets in its segment.
 SEGMENT_BITS = 1 << 16
 BITS_PER_HASH = 4
 #: Filter bits for every record: about one single record in 2,000 then passes as a possible repeat.
 BITS_PER_RECORD = 8
-#: Largest filter that is broadcast at once; more records take more passes over the hash range.
+#: Largest filter that is broadcast at once; more records take more passes, each over its share of the hashes.
 MAX_FILTER_BYTES = 64 << 20
-#: Most passes. Beyond, at 2 ** 30 records with these sizes, passing over the hashes again and
-#: again costs more than it saves: all records then count as possible repeats, and their
-#: digests, not their texts, are shuffled and grouped exactly.
-MAX_PASSES = 16
+#: Folders that the written hashes are parted into; passes beyond share folders, where they lie in order.
+FOLDERS = 64
 
 SEGMENT_BYTES = SEGMENT_BITS // 8
 
@@ -93,8 +95,13 @@ class Layout:
     def passes(self) -> int:
         return -(-self.segments // self.per_pass)
 
-    def segment(self, h: Column) -> Column:
-        return F.pmod(h, F.lit(self.segments).cast("long"))
+    def pass_of(self, h: Column) -> Column:
+        """The number of the pass that a hash takes part in."""
+        return F.floor(F.pmod(h, F.lit(self.segments).cast("long")) / F.lit(self.per_pass)).cast("int")
+
+    def folder(self, number: int) -> int:
+        """The folder of a pass: every pass has its own where these suffice."""
+        return number * FOLDERS // max(self.passes, FOLDERS)
 
     def bits(self, h: np.ndarray, first: int) -> np.ndarray:
         """The bits of each hash, as ``(n, BITS_PER_HASH)`` positions in a pass's filter."""
@@ -177,11 +184,8 @@ def _merge_sorted(batches: Iterator) -> Iterator:
 
 
 def repeat_filter(hashes: DataFrame, layout: Layout, number: int) -> np.ndarray:
-    """The merged filter, of at most ``per_pass`` segments, of hashes seen more than once."""
-    first = number * layout.per_pass
-    segment = layout.segment(F.col("h"))
-    mine = hashes.where((segment >= first) & (segment < first + layout.per_pass)).select("h")
-    partial = mine.mapInArrow(_partial_filters(layout, first), "segment int, once binary, again binary")
+    """The merged filter, of at most ``per_pass`` segments, of the hashes of a pass seen more than once."""
+    partial = hashes.mapInArrow(_partial_filters(layout, number * layout.per_pass), "segment int, once binary, again binary")
     merged = partial.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge_sorted, "segment int, again binary")
     filled = np.zeros(layout.per_pass * SEGMENT_BYTES, np.uint8)
     for segment, again in merged.collect():
@@ -189,30 +193,37 @@ def repeat_filter(hashes: DataFrame, layout: Layout, number: int) -> np.ndarray:
     return filled
 
 
-def mark_possible_repeats(keyed: DataFrame, records: int, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-    """``keyed`` with ``maybe``: false only for rows whose hash occurs exactly once."""
-    layout = Layout.of(records, max_bytes)
-    if layout.passes > MAX_PASSES:
-        return keyed.withColumn("maybe", F.lit(True))
-    context = keyed.sparkSession.sparkContext
-    parts = []
+def store_by_pass(keyed: DataFrame, layout: Layout) -> DataFrame:
+    """``keyed`` as a written table with the number of each row's ``pass``, parted into the passes' folders without a shuffle."""
+    if layout.passes == 1:
+        return stored(keyed.select("*", F.lit(0).alias("pass"), F.lit(0).alias("folder")), "folder")
+    number = layout.pass_of(F.col("h"))
+    folder = F.floor(number * FOLDERS / F.lit(max(layout.passes, FOLDERS))).cast("int")
+    placed = keyed.select("*", number.alias("pass"), folder.alias("folder"))
+    return stored(placed.sortWithinPartitions("folder", "pass"), "folder")
+
+
+def mark_possible_repeats(kept: DataFrame, layout: Layout) -> DataFrame:
+    """``(row_id, maybe, digest)`` of all rows: ``maybe`` is false, and the digest null, only where the hash occurs exactly once.
+
+    With several passes the rows of each are written before its filter is released.
+    """
+    context, path = kept.sparkSession.sparkContext, None
     for number in range(layout.passes):
-        shared = context.broadcast(repeat_filter(keyed.select("h"), layout, number))
-        first = number * layout.per_pass
+        own = kept.where((F.col("folder") == layout.folder(number)) & (F.col("pass") == number))
+        shared, first = context.broadcast(repeat_filter(own.select("h"), layout, number)), number * layout.per_pass
 
         def held(h, shared=shared, first=first):
             import pandas as pd
 
-            bits = layout.bits(h.to_numpy(np.int64), first)
-            return pd.Series(has_bits(shared.value, bits))
+            return pd.Series(has_bits(shared.value, layout.bits(h.to_numpy(np.int64), first)))
 
-        segment = layout.segment(F.col("h"))
-        mine = keyed.where((segment >= first) & (segment < first + layout.per_pass))
-        parts.append(mine.withColumn("maybe", F.pandas_udf(held, "boolean")("h")))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+        maybe = own.withColumn("maybe", F.pandas_udf(held, "boolean")("h"))
+        marked = maybe.select("row_id", "maybe", F.when(F.col("maybe"), F.col("digest")).alias("digest"))
+        path = path or stored_path(kept.sparkSession)
+        marked.write.partitionBy("maybe").parquet(f"{path}/number={number}")
+        shared.destroy()
+    return kept.sparkSession.read.schema(marked.schema).parquet(path)
 
 
 class FormatCopies:
@@ -236,10 +247,11 @@ class FormatCopies:
         self.row_id = row_id
         self.rows = df.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"), *([] if label is None else [F.col(label).alias("label")]))
         # hashes and digests, some fifty bytes a record, are kept, so that each text is taken apart once
-        keyed = checkpoint(canonical(self.rows, "row_id", "text", None if label is None else "label", field_names))
-        marked = mark_possible_repeats(keyed, keyed.count(), max_filter_bytes)
+        layout = Layout.of(df.count(), max_filter_bytes)
+        keyed = canonical(self.rows, "row_id", "text", None if label is None else "label", field_names)
+        marked = mark_possible_repeats(store_by_pass(keyed, layout), layout)
         self.singles = marked.where(~F.col("maybe")).select("row_id")
-        self.possible = checkpoint(marked.where("maybe").select("row_id", "digest"))
+        self.possible = marked.where("maybe").select("row_id", "digest")
         grouped = self.possible.groupBy("digest").agg(F.min("row_id").alias("keep_id"), F.count("*").alias("copies"))
         self.groups = checkpoint(grouped)
 

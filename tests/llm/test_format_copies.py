@@ -66,9 +66,20 @@ def test_passes_do_not_change_the_result(frame, monkeypatch):
     expected = [(i - 70, i) for i in range(70, 100)]
     assert fc.Layout.of(100, fc.SEGMENT_BYTES * 2).passes == 4
     assert found(frame(rows), max_filter_bytes=fc.SEGMENT_BYTES * 2)[0] == expected
-    monkeypatch.setattr(fc, "MAX_PASSES", 3)
-    pairs, records = found(frame(rows), max_filter_bytes=fc.SEGMENT_BYTES * 2)
-    assert pairs == expected and sum(n for _, n in records) == 100
+
+
+@pytest.mark.parametrize("passes,folders", [(1, 64), (40, 64), (40, 5)])
+def test_many_passes_in_own_or_shared_folders(frame, monkeypatch, passes, folders):
+    monkeypatch.setattr(fc, "FOLDERS", folders)
+    monkeypatch.setattr(fc, "BITS_PER_RECORD", fc.SEGMENT_BITS // 3)
+    rng = random.Random(passes)
+    keys = [rng.randrange(80) for _ in range(120)]
+    rows = [(i, f"Text no {k}" if i % 2 else f"text, NO {k}", "a") for i, k in enumerate(keys)]
+    least = fc.SEGMENT_BYTES * (40 // passes)
+    assert fc.Layout.of(120, least).passes == passes
+    pairs, records = found(frame(rows), max_filter_bytes=least)
+    assert pairs == sorted((keys.index(k), i) for i, k in enumerate(keys) if keys.index(k) < i)
+    assert dict(records) == {keys.index(k): keys.count(k) for k in set(keys)}
 
 
 def test_filters_never_miss_a_repeat():
