@@ -111,6 +111,48 @@ with cut as ({_CUT}), shaped as (
     from plain
 )"""
 
+#: A field, and a record with its line break, at the begin of a text that goes on.
+_OPEN_FIELD = r'(?:"(?:[^"]|"")*"|(?:[^"\t\n][^\t\n]*?)?)'
+_ENDED = r"\r?(?:\n|\z)"
+_TEXT = "case when {f}[1] = '\"' then replace({f}[2:-2], '\"\"', '\"') else {f} end"
+_BAD = r"[\x{FFFD}\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]"
+
+
+def _recovered_sql() -> str:
+    """Records of each file from place to place: a whole record, or after a broken quotation line after line up to a valid one."""
+    three = r"\t".join([f"({_OPEN_FIELD})"] * 3)
+    place = "whole[spot + 1:]"
+    fields = f"regexp_extract({place}, '\\A{three}{_ENDED}', ['a', 'b', 'c'], 's')"
+    return f"""
+with recursive whole_files as (
+    select file_name, string_agg(coalesce(line, ''), chr(10) order by line_no) as whole from raw_lines group by 1
+), steps as (
+    select file_name, whole, 0::bigint as spot, false as lost, 0::bigint as step from whole_files where whole <> ''
+    union all
+    select file_name, whole, spot + case when record is null or lost and not valid then line_size else record end, lost and not valid or record is null, step + 1
+    from (
+        select *, {_valid_sql("f")} as valid from (
+            select *, {fields} as f, regexp_matches({place}, '\\A{three}{_ENDED}', 's') as three,
+                case when strpos({place}, chr(10)) = 0 then length(whole) - spot else strpos({place}, chr(10)) end as line_size,
+                length(nullif(regexp_extract({place}, '\\A{_OPEN_FIELD}(?:\\t{_OPEN_FIELD})*{_ENDED}', 0, 's'), '')) as record
+            from steps where spot < length(whole)))
+), judged as (
+    select file_name, spot, lost, record, three, f, {_valid_sql("f")} as valid from (
+        select *, {fields} as f, regexp_matches({place}, '\\A{three}{_ENDED}', 's') as three,
+            length(nullif(regexp_extract({place}, '\\A{_OPEN_FIELD}(?:\\t{_OPEN_FIELD})*{_ENDED}', 0, 's'), '')) as record
+        from steps where spot < length(whole))
+)
+select file_name, spot as begin_at, case when valid then {_TEXT.format(f="f.a")} end as texts, case when valid then {_TEXT.format(f="f.b")} end as gold,
+    case when valid then {_TEXT.format(f="f.c")} end as noisy, case when valid then null when record is null then 'quoting' when not three then 'columns' else 'value' end as reason
+from judged where not lost or valid"""
+
+
+def _valid_sql(f: str) -> str:
+    text = _TEXT.format(f=f"{f}.a")
+    labels = " and ".join(f"{_TEXT.format(f=f'{f}.{k}')} in (select label from label_set)" for k in "bc")
+    return f"coalesce(three and {labels} and not regexp_full_match({text}, '[\\s\\p{{Z}}]*') and not regexp_matches({text}, '{_BAD}'), false)"
+
+
 _HEAVY = """
 select '{tab}' as tab, lower({col}) as form from {tab} where {col} is not null
 group by 2 having count(*) >= 0.02 * (select count(*) from {tab})"""
@@ -131,5 +173,6 @@ select span_id, lower(surface_form) as form, majority, n, noisy <> majority as d
 from spans left join best on lower(surface_form) = form""",
     "p3_key_results": _KEYS.format(tab="spans", col="surface_form") + " union all " + _KEYS.format(tab="tokens", col="token"),
     "p5_found": _READ + " select line_id, reason from judged where reason is not null",
+    "p5_recovered": _recovered_sql(),
     "p5_valid": _READ + " select line_id, texts, gold, noisy from judged where reason is null",
 }

@@ -9,21 +9,27 @@ Grammar of one record::
 
 A valid record has three fields: a text, and a gold and a noisy label out of the label set.
 A record that breaks a rule becomes a located error, and the parser goes on at the next
-anchor: the next line start at which a whole valid record can be parsed.
+anchor: the next place where a record is known to begin or, where none is known, the next
+line start at which a whole valid record can be parsed.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: U+FFFD, and control characters other than tab and line breaks.
-BAD_CHARACTERS = re.compile("[�\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
+from tagsieve.sources.ranges import RANGE_BYTES, RangeText, byte_ranges
+
+#: U+FFFD, undecodable bytes, and control characters other than tab and line breaks.
+BAD_CHARACTERS = re.compile("[�\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]")
+#: Tasks that the ranges of a load are dealt out to.
+MOST_TASKS = 100_000
 NOT_QUOTE = re.compile('[^"]*')
 
 
@@ -47,24 +53,33 @@ class Broken(Exception):
 
 
 class Descent:
-    """Parser over one string that holds one record (``whole``) or many, parted by line breaks."""
+    """Parser over one string of records parted by line breaks.
+
+    ``starts`` has the places at which records are known to begin, the first being 0; a
+    record then ends before the line break that parts it from the next, and may hold others.
+    """
 
-    def __init__(self, source: str, labels: Iterable[str], whole: bool):
-        self.source, self.labels, self.whole = source, frozenset(labels), whole
+    def __init__(self, source: str, labels: Iterable[str], starts: list[int] | None = None):
+        self.source, self.labels, self.starts = source, frozenset(labels), starts
         self.size = len(source)
+        self.bound: int | None = None  # the end of the record at hand, without its last carriage return, if it is known
+        self.stop = self.size  # the end of what may belong to the record at hand
+        self.furthest = 0  # the last place looked at
 
     def limit(self, at: int) -> int:
         """End of the record's last line when it holds no quoted line break."""
-        if self.whole:
-            return self.size - self.source.endswith("\r")
+        if self.bound is not None:
+            return self.bound
         end = self.source.find("\n", at)
         end = self.size if end < 0 else end
+        self.furthest = max(self.furthest, end)
         return end - (end > at and self.source[end - 1] == "\r")
 
     def at_end(self, at: int) -> bool:
         """Whether the record may end at ``at``."""
-        if self.whole:
-            return at >= self.size - self.source.endswith("\r")
+        if self.bound is not None:
+            return at >= self.bound
+        self.furthest = max(self.furthest, at + 1)
         return at >= self.size or self.source[at] == "\n" or (self.source[at] == "\r" and (at + 1 >= self.size or self.source[at + 1] == "\n"))
 
     def record(self, begin: int) -> Record:
@@ -100,10 +115,11 @@ class Descent:
     def quoted(self, at: int, number: int) -> tuple[str, int]:
         stop = at + 1
         while True:
-            stop = NOT_QUOTE.match(self.source, stop).end()
-            if stop >= self.size:
-                raise Broken("quoting", number, at, self.size)
-            if not self.source.startswith('"', stop + 1):
+            stop = NOT_QUOTE.match(self.source, stop, self.stop).end()
+            self.furthest = max(self.furthest, stop + 1)
+            if stop >= self.stop:
+                raise Broken("quoting", number, at, self.stop)
+            if not self.source.startswith('"', stop + 1, self.stop):
                 break
             stop += 2
         after = stop + 1
@@ -113,6 +129,7 @@ class Descent:
 
     def next_line(self, at: int) -> int:
         end = self.source.find("\n", at)
+        self.furthest = max(self.furthest, self.size if end < 0 else end)
         return self.size if end < 0 else end + 1
 
     def is_anchor(self, at: int) -> bool:
@@ -125,33 +142,60 @@ class Descent:
     def records(self) -> Iterator[tuple[int, Record | Broken]]:
         """``(begin, record or error)`` of every record; after an error at the next anchor.
 
-        An error in the quoting makes it unknown where the record ends, so its line and
-        every following line up to the next anchor belong to it. Other errors end where
-        their record ends.
+        An error in the quoting makes it unknown where the record ends, unless it is known
+        where the next begins: its line and every following line up to the next anchor
+        belong to it. Other errors end where their record ends.
         """
+        if self.starts is not None:
+            yield from self.known_records()
+            return
         at = 0
         while at < self.size:
-            try:
-                found: Record | Broken = self.record(at)
-                after = self.next_line(found.end)
-            except Broken as error:
-                found = error
-                after = self.next_line(at if error.reason == "quoting" else error.end)
-                if error.reason == "quoting":
-                    while after < self.size and not self.is_anchor(after):
-                        after = self.next_line(after)
+            found, after = self.one(at)
             yield at, found
             at = after
 
+    def known_records(self) -> Iterator[tuple[int, Record | Broken]]:
+        for begin, after in zip(self.starts, [*self.starts[1:], self.size + 1]):
+            self.stop = after - 1
+            self.bound = self.stop - (self.stop > begin and self.source[self.stop - 1] == "\r")
+            try:
+                yield begin, self.record(begin)
+            except Broken as error:
+                yield begin, error
+
+    def one(self, at: int) -> tuple[Record | Broken, int]:
+        """The record or error at a place, and where the next begins."""
+        try:
+            found: Record | Broken = self.record(at)
+            return found, self.next_line(found.end)
+        except Broken as error:
+            after = self.next_line(at if error.reason == "quoting" else error.end)
+            return error, self.next_anchor(after) if error.reason == "quoting" else after
+
+    def next_anchor(self, at: int) -> int:
+        while at < self.size and not self.is_anchor(at):
+            at = self.next_line(at)
+        return at
+
 
 def parse_one(line: str | None, labels: Iterable[str]) -> Record | Broken:
     """The record that ``line`` holds; a null line has no columns."""
-    if line is None:
-        return Broken("columns", 0, 0, 0)
-    try:
-        return Descent(line, labels, whole=True).record(0)
-    except Broken as error:
-        return error
+    return parse_known([line], labels)[0]
+
+
+def parse_known(lines: list[str | None], labels: Iterable[str]) -> list[Record | Broken]:
+    """The record or error of each line, which are parsed as one source whose record starts are known.
+
+    Places count from the line's begin; a null line has no columns.
+    """
+    texts = [line or "" for line in lines]
+    starts = [0, *accumulate(len(t) + 1 for t in texts)][: len(texts)]
+    found = [x for _, x in Descent("\n".join(texts), labels, starts).records()] if texts else []
+    placed = [
+        replace(x, begin=0, end=x.end - begin) if isinstance(x, Record) else Broken(x.reason, x.field, x.at - begin, x.end - begin) for x, begin in zip(found, starts)
+    ]
+    return [Broken("columns", 0, 0, 0) if line is None else x for line, x in zip(lines, placed)]
 
 
 PARSED = T.StructType(
@@ -166,10 +210,10 @@ PARSED = T.StructType(
 )
 
 
-def _row(found: Record | Broken) -> tuple:
+def _row(found: Record | Broken, begin: int = 0) -> tuple:
     if isinstance(found, Record):
         return found.texts, found.gold, found.noisy, None, None, None
-    return None, None, None, found.reason, found.field, found.at
+    return None, None, None, found.reason, found.field, found.at - begin
 
 
 def label_values(label_set: DataFrame, limit: int = 100_000) -> list[str]:
@@ -198,7 +242,7 @@ def parse_records(lines: DataFrame, label_set: DataFrame, row_id: str = "line_id
 
         types = None
         for batch in batches:
-            found = [_row(parse_one(x, labels)) for x in batch.column(1).to_pylist()]
+            found = [_row(x) for x in parse_known(batch.column(1).to_pylist(), labels)]
             types = types or [pa.string()] * 4 + [pa.int32()] * 2
             columns = [pa.array([row[k] for row in found], types[k]) for k in range(6)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
@@ -214,22 +258,120 @@ def failed_records(parsed: DataFrame, row_id: str = "line_id") -> DataFrame:
     return parsed.where("reason is not null").select(row_id, "reason", "error_field", "error_at")
 
 
-def load_text_classification_tsv(spark: SparkSession, path: str, label_set: DataFrame, multiline: bool = True) -> DataFrame:
+def load_text_classification_tsv(spark: SparkSession, path: str, label_set: DataFrame, multiline: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Records of TSV files without header: ``(file_name, begin_at, texts, gold, noisy, reason, ...)``.
 
-    With ``multiline`` each file is parsed as a whole by one task, as a quoted field may
-    span lines, so files should stay within a task's memory; a large corpus is many files.
-    Without it every line is a record, files of any size are split among tasks, and a quoted
-    field that goes on in the next line fails with ``quoting``; ``begin_at`` is then null.
-    An empty file has no records.
+    ``begin_at`` is the byte at which the record begins. Files are read in ranges of
+    ``range_bytes``, each by a task that begins at the first anchor in it; a first reading
+    makes sure that every range begins where the one before ends, as a line within a quoted
+    field may look like a record, and lets a range that doesn't begin there instead.
+    Without ``multiline`` every line is a record, a quoted field that goes on in the next
+    line fails with ``quoting``, and ``begin_at`` is null. An empty file has no records.
     """
     labels = label_values(label_set)
     if not multiline:
         lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file_name"), "value")
         parsed = parse_records(lines, label_set, "file_name", "value")
         return parsed.select("file_name", F.lit(None).cast("long").alias("begin_at"), *PARSED.names)
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_name"), "value")
-    return _parse_files(files, labels)
+    ranges = byte_ranges(spark, path, range_bytes).withColumn("start", F.lit(None).cast("long"))
+    count = ranges.count()
+    starts = []
+    if not ranges.where("begin > 0").isEmpty():
+        ranges = ranges.repartition(min(count, MOST_TASKS))
+        starts = _settled_starts(spark, ranges, labels)
+    if starts:
+        moved = spark.createDataFrame(starts, "file_name string, begin long, moved long")
+        ranges = ranges.join(F.broadcast(moved), ["file_name", "begin"], "left").withColumn("start", F.col("moved"))
+    schema = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("begin_at", T.LongType()), *PARSED])
+
+    def parse(frames):
+        import pandas as pd
+
+        for row in (row for frame in frames for row in frame.itertuples(index=False)):
+            rows = [(row.file_name, begin, *_row(found, begin_text)) for begin, begin_text, found in _range_records(row, labels)[0]]
+            yield pd.DataFrame(rows, columns=schema.names).astype({"error_field": "Int32", "error_at": "Int32"})
+
+    return ranges.select("file_name", "size", "begin", "end", "start").mapInPandas(parse, schema)
+
+
+def _range_records(row, labels: list[str]) -> tuple[list[tuple[int, int, Record | Broken]], int | None, int]:
+    """The records that begin in a range, as ``(byte, place in the text, record)``, the first one's byte, and the byte of the first valid record after the range.
+
+    Broken records that begin after the range but before the next valid one belong to it,
+    as the next range begins at its first valid record.
+    """
+    at_start = row.begin if row.start is None or row.start != row.start else int(row.start)
+    text = RangeText(row.file_name, max(0, at_start - 1), row.end, row.size)
+    known = at_start == 0 or row.start is not None and row.start == row.start
+    offset = max(0, at_start - 1)
+
+    def parser() -> Descent:
+        return Descent(text.text, labels)
+
+    def on(act):
+        """What ``act`` gives for as much text as it needs: more is read where it came to the end of what there is."""
+        while True:
+            result, reached = act(parser())
+            if reached < len(text.text) or text.whole:
+                return result
+            text.more()
+
+    size = lambda x: len(x.encode("utf-8", "surrogateescape"))
+    at = at_start - offset if known else None
+    if at is None:
+
+        def first(d: Descent):
+            place = d.next_line(0)
+            while place < d.size and not d.is_anchor(place):
+                place = d.next_line(place)
+            return place, max(place, d.furthest)
+
+        at = on(first)
+    else:
+        at = 0 if at == 0 else 1
+    byte, found, begun = offset + size(text.text[:at]), [], None
+    while at < len(text.text) or not text.whole:
+        record, after = on(lambda d: ((x := d.one(at)), max(x[1], d.furthest)))
+        if byte >= row.end and isinstance(record, Record):
+            break
+        begun = byte if begun is None else begun
+        found.append((byte, at, record))
+        byte, at = byte + size(text.text[at:after]), after
+    return found, begun if begun is not None else byte, byte
+
+
+def _settled_starts(spark: SparkSession, ranges: DataFrame, labels: list[str]) -> list[tuple[str, int, int]]:
+    """``(file_name, begin, start)`` of the ranges that must not begin at their own first anchor.
+
+    Only the places where ranges begin and end come to the driver, some bytes for each.
+    """
+
+    def ends(frames):
+        import pandas as pd
+
+        for row in (row for frame in frames for row in frame.itertuples(index=False)):
+            _, first, after = _range_records(row, labels)
+            yield pd.DataFrame({"file_name": [row.file_name], "begin": [row.begin], "first": [first], "after": [after]})
+
+    found = ranges.mapInPandas(ends, "file_name string, begin long, first long, after long")
+    known = {(r.file_name, r.begin): (r.first, r.after) for r in found.collect()}
+    moved: dict[tuple[str, int], int] = {}
+    while True:
+        wrong, expected, file_name, lost = [], 0, None, False
+        for key in sorted(known):
+            if key[0] != file_name:
+                file_name, expected, lost = key[0], 0, False
+            first, after = known[key]
+            if not lost and first != expected:
+                wrong.append((*key, expected))
+                lost = True  # where the next ranges begin depends on where this one ends
+            expected = after
+        if not wrong:
+            return [(*key, start) for key, start in moved.items()]
+        moved |= {(name, begin): start for name, begin, start in wrong}
+        again = ranges.drop("start").join(F.broadcast(spark.createDataFrame(wrong, "file_name string, begin long, start long")), ["file_name", "begin"])
+        again = again.select("file_name", "size", "begin", "end", "start").mapInPandas(ends, found.schema)
+        known |= {(r.file_name, r.begin): (r.first, r.after) for r in again.collect()}
 
 
 def parse_lines_by_file(lines: DataFrame, label_set: DataFrame) -> DataFrame:
@@ -253,7 +395,7 @@ def _parse_files(files: DataFrame, labels: list[str]) -> DataFrame:
 
         for frame in frames:
             for name, value in zip(frame["file_name"], frame["value"]):
-                rows = [(name, begin, *_row(found)) for begin, found in Descent(value, labels, whole=False).records()]
+                rows = [(name, begin, *_row(found, begin)) for begin, found in Descent(value, labels).records()]
                 yield pd.DataFrame(rows, columns=schema.names).astype({"error_field": "Int32", "error_at": "Int32"})
 
     return files.mapInPandas(parse, schema)

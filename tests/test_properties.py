@@ -35,7 +35,7 @@ def test_descent_equals_regular_expressions(line):
 @given(st.lists(st.sampled_from(["t\ta\tb", '"t\nu"\tb\ta', "x", '"open\ta\tb', "t\ta\tc", '"q"x\ta\ta', ""]), max_size=9))
 def test_recovery_ends_and_loses_no_valid_line(lines):
     source = "\n".join(lines) + "\n"
-    found = list(Descent(source, LABELS, whole=False).records())
+    found = list(Descent(source, LABELS).records())
     starts = [at for at, _ in found]
     assert starts == sorted(set(starts))
     if all(not line.startswith('"') for line in lines):

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import __spark_entry__
-from tagsieve.sources import tsv
+from tagsieve.sources import ranges, tsv
 
 LABELS = ["a", "b"]
 
@@ -58,7 +58,7 @@ def test_errors_are_located():
 
 def test_recovery_resumes_at_the_next_valid_record():
     source = 'one\ta\ta\n"two\ta\tb\nthree\ta\tb\nfour\tx\tb\n"five\n5"\tb\tb\r\nsix\n'
-    found = [(at, x.reason if isinstance(x, tsv.Broken) else x.texts) for at, x in tsv.Descent(source, LABELS, whole=False).records()]
+    found = [(at, x.reason if isinstance(x, tsv.Broken) else x.texts) for at, x in tsv.Descent(source, LABELS).records()]
     assert [x for _, x in found] == ["one", "quoting", "three", "value", "five\n5", "columns"]
     assert all(source[at - 1] == "\n" for at, _ in found[1:])
 
@@ -94,6 +94,56 @@ def test_files_by_line(spark, tmp_path):
     assert sorted((r.texts or "", r.reason or "") for r in whole) == [("", "quoting"), ("t", ""), ("u", "")]
 
 
+def odd_source(rng, size):
+    """Lines of valid, broken and many-line records; some lines within quoted fields look like records."""
+    parts = []
+    for _ in range(size):
+        kind = rng.randrange(8)
+        word = "".join(rng.choice("xyzé漢") for _ in range(rng.randint(1, 9)))
+        parts.append(
+            [f"{word}\ta\tb", f"{word}\ta\tb\r", f'"{word}\n{word}"\tb\ta', f'"{word}\nin\ta\tb\n{word}"\tb\ta', f'"{word}\ta\tb', f"{word}\tb", f"{word}\tno\ta", f'"{word}"" \tq"\ta\ta'][kind]
+        )
+    return "\n".join(parts) + rng.choice(["", "\n"])
+
+
+def test_ranges_read_as_whole_files(spark, tmp_path):
+    rng = random.Random(8)
+    labels = spark.createDataFrame([(0, "a"), (1, "b")], "idx int, label string")
+    (tmp_path / "in").mkdir()
+    expected = []
+    for k in range(3):
+        source = odd_source(rng, [60, 5, 0][k])
+        raw = source.encode()
+        if k == 1:
+            raw = b"bad \xff\ta\tb\n" + raw
+        (tmp_path / f"in/f {k}.tsv").write_bytes(raw)
+        text = raw.decode("utf-8", "surrogateescape")
+        for at, x in tsv.Descent(text, LABELS).records():
+            expected.append((k, len(text[:at].encode("utf-8", "surrogateescape")), x.reason if isinstance(x, tsv.Broken) else x.texts, x.at - at if isinstance(x, tsv.Broken) else None))
+    for size in (1 << 20, 97, 23):
+        found = tsv.load_text_classification_tsv(spark, str(tmp_path / "in"), labels, range_bytes=size).collect()
+        assert sorted((int(r.file_name[-5]), r.begin_at, r.reason or r.texts, r.error_at) for r in found) == sorted(expected, key=lambda x: x[:2]), size
+
+
+def test_range_text_reads_on_as_asked(tmp_path, monkeypatch):
+    monkeypatch.setattr(ranges, "MORE_BYTES", 1)
+    raw = "aé漢𝔸b\n".encode() * 5 + b"\xe6"
+    (tmp_path / "f").write_bytes(raw)
+    for begin in range(len(raw)):
+        text = ranges.RangeText(f"file:{tmp_path}/f", begin, begin + 1, len(raw))
+        while not text.whole:
+            text.more()
+        assert text.text.encode("utf-8", "surrogateescape") == raw[begin:]
+
+
+def test_known_starts_equal_single_records():
+    rng = random.Random(2)
+    lines = [odd_source(rng, rng.randint(0, 2)) for _ in range(200)] + [None, "", "\r", '"', "t\ta\tb"]
+    rng.shuffle(lines)
+    assert tsv.parse_known(lines, LABELS) == [tsv.parse_one(line, LABELS) for line in lines]
+    assert tsv.parse_known([], LABELS) == []
+
+
 def test_unbounded_label_sets_are_refused(spark):
     with pytest.raises(ValueError):
         tsv.label_values(spark.range(20).selectExpr("cast(id as string) as label"), limit=10)
