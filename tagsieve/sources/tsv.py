@@ -16,18 +16,21 @@ line start at which a whole valid record can be parsed.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagsieve.plans.runtime import stored
 from tagsieve.sources.ranges import RANGE_BYTES, RangeText, byte_ranges
 
 #: U+FFFD, undecodable bytes, and control characters other than tab and line breaks.
 BAD_CHARACTERS = re.compile("[�\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]")
+#: Line numbers of a part of a file whose lines are rows.
+PART_LINES = 20_000
 #: Tasks that the ranges of a load are dealt out to.
 MOST_TASKS = 100_000
 NOT_QUOTE = re.compile('[^"]*')
@@ -278,7 +281,16 @@ def load_text_classification_tsv(spark: SparkSession, path: str, label_set: Data
     starts = []
     if not ranges.where("begin > 0").isEmpty():
         ranges = ranges.repartition(min(count, MOST_TASKS))
-        starts = _settled_starts(spark, ranges, labels)
+
+
+        def ends(frames):
+            import pandas as pd
+
+            for row in (row for frame in frames for row in frame.itertuples(index=False)):
+                _, first, after = _range_records(row, labels)
+                yield pd.DataFrame({"file_name": [row.file_name], "begin": [row.begin], "first": [first], "after": [after]})
+
+        starts = settled_starts(spark, ranges, ends)
     if starts:
         moved = spark.createDataFrame(starts, "file_name string, begin long, moved long")
         ranges = ranges.join(F.broadcast(moved), ["file_name", "begin"], "left").withColumn("start", F.col("moved"))
@@ -294,111 +306,155 @@ def load_text_classification_tsv(spark: SparkSession, path: str, label_set: Data
     return ranges.select("file_name", "size", "begin", "end", "start").mapInPandas(parse, schema)
 
 
-def _range_records(row, labels: list[str]) -> tuple[list[tuple[int, int, Record | Broken]], int | None, int]:
-    """The records that begin in a range, as ``(byte, place in the text, record)``, the first one's byte, and the byte of the first valid record after the range.
+Begun = list[tuple[int, int, Record | Broken]]
 
-    Broken records that begin after the range but before the next valid one belong to it,
-    as the next range begins at its first valid record.
-    """
-    at_start = row.begin if row.start is None or row.start != row.start else int(row.start)
-    text = RangeText(row.file_name, max(0, at_start - 1), row.end, row.size)
-    known = at_start == 0 or row.start is not None and row.start == row.start
-    offset = max(0, at_start - 1)
 
-    def parser() -> Descent:
-        return Descent(text.text, labels)
+def _bytes(text: str) -> int:
+    return len(text.encode("utf-8", "surrogateescape"))
+
+
+def _range_records(row, labels: list[str]) -> tuple[Begun, int, int]:
+    """``begun_records`` of a byte range of a file."""
+    known = row.start is not None and row.start == row.start
+    begin = int(row.start) if known else row.begin
+    offset = max(0, begin - 1)  # a line break there says that a line begins at the range
+    text = RangeText(row.file_name, offset, row.end, row.size)
+    place = begin - offset if known or begin == 0 else None
+    return begun_records(text, offset, place, row.end, _bytes, labels)
+
+
+def begun_records(text, offset: int, place: int | None, end: int, size: Callable[[str], int], labels: list[str]) -> tuple[Begun, int, int]:
+    """The records that begin in a part of a source, as ``(offset, place in the text, record)``, the first one's offset, and that of the first valid record after the part.
+
+    ``text`` starts at ``offset`` and may read on; offsets count by ``size``. The first
+    record begins at ``place``, or at the first anchor after a line break. Broken records
+    that begin after ``end`` but before the next valid one belong to the part, as the next
+    part begins at its first valid record.
+    """
 
     def on(act):
         """What ``act`` gives for as much text as it needs: more is read where it came to the end of what there is."""
         while True:
-            result, reached = act(parser())
-            if reached < len(text.text) or text.whole:
+            parser = Descent(text.text, labels)
+            result, reached = act(parser)
+            if max(reached, parser.furthest) < len(text.text) or text.whole:
                 return result
             text.more()
 
-    size = lambda x: len(x.encode("utf-8", "surrogateescape"))
-    at = at_start - offset if known else None
-    if at is None:
+    def first(parser: Descent):
+        found = parser.next_anchor(parser.next_line(0))
+        return found, found
 
-        def first(d: Descent):
-            place = d.next_line(0)
-            while place < d.size and not d.is_anchor(place):
-                place = d.next_line(place)
-            return place, max(place, d.furthest)
+    def next_one(parser: Descent):
+        found = parser.one(at)
+        return found, found[1]
 
-        at = on(first)
-    else:
-        at = 0 if at == 0 else 1
-    byte, found, begun = offset + size(text.text[:at]), [], None
+    at = on(first) if place is None else place
+    reached, found, begun = offset + size(text.text[:at]), [], None
     while at < len(text.text) or not text.whole:
-        record, after = on(lambda d: ((x := d.one(at)), max(x[1], d.furthest)))
-        if byte >= row.end and isinstance(record, Record):
+        record, after = on(next_one)
+        if reached >= end and isinstance(record, Record):
             break
-        begun = byte if begun is None else begun
-        found.append((byte, at, record))
-        byte, at = byte + size(text.text[at:after]), after
-    return found, begun if begun is not None else byte, byte
+        begun = reached if begun is None else begun
+        found.append((reached, at, record))
+        reached, at = reached + size(text.text[at:after]), after
+    return found, reached if begun is None else begun, reached
 
 
-def _settled_starts(spark: SparkSession, ranges: DataFrame, labels: list[str]) -> list[tuple[str, int, int]]:
-    """``(file_name, begin, start)`` of the ranges that must not begin at their own first anchor.
+def settled_starts(spark: SparkSession, parts: DataFrame, ends: Callable) -> list[tuple[str, int, int]]:
+    """``(file_name, begin, start)`` of the parts that must not begin at their own first anchor.
 
-    Only the places where ranges begin and end come to the driver, some bytes for each.
+    ``ends`` gives where a part's records begin and end; only these places come to the
+    driver, some bytes for each part.
     """
-
-    def ends(frames):
-        import pandas as pd
-
-        for row in (row for frame in frames for row in frame.itertuples(index=False)):
-            _, first, after = _range_records(row, labels)
-            yield pd.DataFrame({"file_name": [row.file_name], "begin": [row.begin], "first": [first], "after": [after]})
-
-    found = ranges.mapInPandas(ends, "file_name string, begin long, first long, after long")
+    found = parts.mapInPandas(ends, "file_name string, begin long, first long, after long")
     known = {(r.file_name, r.begin): (r.first, r.after) for r in found.collect()}
     moved: dict[tuple[str, int], int] = {}
-    while True:
-        wrong, expected, file_name, lost = [], 0, None, False
-        for key in sorted(known):
-            if key[0] != file_name:
-                file_name, expected, lost = key[0], 0, False
-            first, after = known[key]
-            if not lost and first != expected:
-                wrong.append((*key, expected))
-                lost = True  # where the next ranges begin depends on where this one ends
-            expected = after
-        if not wrong:
-            return [(*key, start) for key, start in moved.items()]
+    moved: dict[tuple[str, int], int] = {}
+    while wrong := _wrong_starts(known):
         moved |= {(name, begin): start for name, begin, start in wrong}
-        again = ranges.drop("start").join(F.broadcast(spark.createDataFrame(wrong, "file_name string, begin long, start long")), ["file_name", "begin"])
-        again = again.select("file_name", "size", "begin", "end", "start").mapInPandas(ends, found.schema)
+        again = parts.drop("start").join(F.broadcast(spark.createDataFrame(wrong, "file_name string, begin long, start long")), ["file_name", "begin"])
+        again = again.select(*parts.columns).mapInPandas(ends, found.schema)
         known |= {(r.file_name, r.begin): (r.first, r.after) for r in again.collect()}
+    return [(*key, start) for key, start in moved.items()]
+
+
+def _wrong_starts(known: dict[tuple[str, int], tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """The first part of each source that doesn't begin where the one before ends, and where that is."""
+    wrong, expected, source, lost = [], 0, None, False
+    for key in sorted(known):
+        if key[0] != source:
+            source, expected, lost = key[0], known[key][0], False
+        first, after = known[key]
+        if not lost and first != expected:
+            wrong.append((*key, expected))
+            lost = True  # where the next parts begin depends on where this one ends
+        expected = after
+    return wrong
+
+
+@dataclass(frozen=True)
+class Lines:
+    """The text of a part and what follows it; no more can be read."""
 
+    text: str
+    whole: bool = True
 
-def parse_lines_by_file(lines: DataFrame, label_set: DataFrame) -> DataFrame:
-    """Records of the files whose lines ``(file_name, line_no, line)`` are rows, parsed as the loader parses files.
 
-    Lines are put together in the order of ``line_no``, a null one as an empty line. A broken
-    record costs its own lines up to the next anchor, and a quoted field may span lines.
-    Each file is held by one task.
+def parse_lines_by_file(lines: DataFrame, label_set: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+    """Records of the files whose lines ``(file_name, line_no, line)`` are rows: ``(file_name, begin_at, texts, gold, noisy, reason, ...)``.
+
+    Lines are put together in the order of ``line_no``, a null one as an empty line; those
+    with a null number or file are left out, as they have no place. ``begin_at`` counts
+    characters. A broken record costs its own lines up to the next anchor, and a quoted
+    field may span lines. Files are parsed in parts of ``part_lines`` line numbers, each
+    together with the part after it, so that no task holds a whole file; a quoted field
+    that isn't closed by then fails. As in the loader, a first reading makes sure that
+    every part begins where the one before ends.
     """
-    line = F.struct("line_no", F.coalesce("line", F.lit("")).alias("line"))
-    ordered = lines.groupBy("file_name").agg(F.array_sort(F.collect_list(line)).alias("rows"))
-    files = ordered.select("file_name", F.array_join(F.col("rows.line"), "\n").alias("value"))
-    return _parse_files(files, label_values(label_set))
+    labels, spark = label_values(label_set), lines.sparkSession
+    numbered = lines.where("file_name is not null and line_no is not null")
+    rows = numbered.select("file_name", F.floor(F.col("line_no") / part_lines).alias("part"), "line_no", F.coalesce("line", F.lit("")).alias("line"))
+    ordered = F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], "\n")
+    parts = stored(rows.groupBy("file_name", "part").agg(F.concat(ordered, F.lit("\n")).alias("own")))
+    before = Window.partitionBy("file_name").orderBy("part")
+    sizes = parts.select("file_name", "part", F.length("own").alias("size"))
+    offsets = sizes.select(
+        "file_name", "part", (F.sum("size").over(before) - F.col("size")).alias("begin"), F.sum("size").over(before).alias("end"),
+        F.lead("part").over(before).alias("next"),
+    )
+    follow = parts.select("file_name", F.col("part").alias("next"), F.col("own").alias("rest"))
+    texts = parts.join(offsets, ["file_name", "part"]).join(follow, ["file_name", "next"], "left")
+    # the last line of a file has no line break of its own
+    whole = F.when(F.col("next").isNull(), F.expr("left(own, length(own) - 1)")).otherwise(F.concat("own", "rest"))
+    kept = stored(texts.select("file_name", "begin", "end", whole.alias("text")))
+    name = T.StructField("file_name", T.StringType())
+
+    def begun(row) -> tuple[Begun, int, int]:
+        known = row.start is not None and row.start == row.start
+        place = int(row.start) - row.begin if known else 0 if row.begin == 0 else Descent(row.text, labels).next_anchor(0)
+        return begun_records(Lines(row.text), row.begin, place, row.end, len, labels)
 
+    def ends(frames):
+        import pandas as pd
 
-def _parse_files(files: DataFrame, labels: list[str]) -> DataFrame:
-    schema = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("begin_at", T.LongType()), *PARSED])
+        for row in (row for frame in frames for row in frame.itertuples(index=False)):
+            _, first, after = begun(row)
+            yield pd.DataFrame({"file_name": [row.file_name], "begin": [row.begin], "first": [first], "after": [after]})
 
     def parse(frames):
         import pandas as pd
 
-        for frame in frames:
-            for name, value in zip(frame["file_name"], frame["value"]):
-                rows = [(name, begin, *_row(found, begin)) for begin, found in Descent(value, labels).records()]
-                yield pd.DataFrame(rows, columns=schema.names).astype({"error_field": "Int32", "error_at": "Int32"})
+        for row in (row for frame in frames for row in frame.itertuples(index=False)):
+            found = [(row.file_name, at, *_row(x, place)) for at, place, x in begun(row)[0]]
+            yield pd.DataFrame(found, columns=schema.names).astype({"error_field": "Int32", "error_at": "Int32"})
 
-    return files.mapInPandas(parse, schema)
+    schema = T.StructType([name, T.StructField("begin_at", T.LongType()), *PARSED])
+    with_start = kept.withColumn("start", F.lit(None).cast("long"))
+    if not kept.where("begin > 0").isEmpty() and (starts := settled_starts(spark, with_start, ends)):
+        moved = spark.createDataFrame(starts, "file_name string, begin long, moved long")
+        with_start = with_start.join(F.broadcast(moved), ["file_name", "begin"], "left").withColumn("start", F.col("moved"))
+    return with_start.select("file_name", "begin", "end", "text", "start").mapInPandas(parse, schema)
 
 
 def write_text_classification_tsv(df: DataFrame, path: str) -> None:

@@ -125,6 +125,22 @@ def test_ranges_read_as_whole_files(spark, tmp_path):
         assert sorted((int(r.file_name[-5]), r.begin_at, r.reason or r.texts, r.error_at) for r in found) == sorted(expected, key=lambda x: x[:2]), size
 
 
+def test_parts_of_lines_read_as_whole_files(spark):
+    rng = random.Random(6)
+    labels = spark.createDataFrame([(0, "a"), (1, "b")], "idx int, label string")
+    sources = {f"f{k}": odd_source(rng, size).rstrip("\n") for k, size in enumerate((70, 30, 1))}
+    rows = [(name, k + 1, line) for name, source in sources.items() for k, line in enumerate(source.split("\n"))]
+    lines = spark.createDataFrame([*rows, (None, 1, "x"), ("f1", None, "y")], "file_name string, line_no int, line string").repartition(5)
+    expected = {}
+    for name, source in sources.items():
+        for at, x in tsv.Descent(source, LABELS).records():
+            expected[name, at] = (x.reason, x.at - at) if isinstance(x, tsv.Broken) else (x.texts, None)
+    for size in (20_000, 40, 25):
+        found = tsv.parse_lines_by_file(lines, labels, size).collect()
+        assert {(r.file_name, r.begin_at): (r.reason or r.texts, r.error_at) for r in found} == expected, size
+        assert len(found) == len(expected)
+
+
 def test_range_text_reads_on_as_asked(tmp_path, monkeypatch):
     monkeypatch.setattr(ranges, "MORE_BYTES", 1)
     raw = "aé漢𝔸b\n".encode() * 5 + b"\xe6"
