@@ -6,16 +6,23 @@ sentence. Rows with a null token or label take part in no n-gram and come out un
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagsieve.operators.skew import skew_join
-from tagsieve.plans.runtime import checkpoint
+from tagsieve.plans.runtime import checkpoint, stored
 
 #: Joins the tokens of an n-gram to one key; tokens hold no such character.
 SEPARATOR = "\u0001"
 #: Share of all occurrences from which an n-gram is joined by broadcast.
 HEAVY_SHARE = 0.005
+#: Tokens of the longest n-gram that is looked at in any place.
+SHORT = 6
+#: Tokens that may follow an open place on average for all its lengths to be taken at once.
+ROOM = 32
 
 
 def _heavy(counts: DataFrame, key: str, n: str) -> DataFrame:
@@ -58,45 +65,172 @@ def occurrences(haystack: Column, needle: Column) -> Column:
     return F.transform(hits, lambda k: F.struct(k.alias("begin_at"), (k + F.size(needle)).alias("end_at")))
 
 
-def repeating_runs(tokens: DataFrame, form: str, label: str) -> DataFrame:
-    """Maximal runs of tokens whose neighbouring pairs all repeat, as arrays with both contexts.
+def hashed_sentences(tokens: DataFrame, form: str, label: str) -> DataFrame:
+    """``(sent_id, x)``: the tokens of each sentence in order, with 64-bit hashes of form and label where both are there.
 
-    No n-gram can repeat unless all its pairs do, so only these runs are taken apart later.
+    Tokens without a sentence or position are left out.
     """
     usable = F.col(form).isNotNull() & F.col(label).isNotNull()
-    sentence = Window.partitionBy("sent_id").orderBy("pos")
-    rows = tokens.select("sent_id", "pos", F.when(usable, F.col(form)).alias("w"), F.when(usable, F.col(label)).alias("y"))
-    rows = rows.withColumn("pair", F.concat("w", F.lit(SEPARATOR), F.lead("w").over(sentence)))
-    counts = rows.where("pair is not null").groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
-    marked = skew_join(rows, counts.select("pair", F.lit(1).alias("again")), "pair", "left", heavy=_heavy(counts, "pair", "n"), right_unique=True)
-    marked = marked.withColumn("tied", F.lag("again").over(sentence))
-    starts = F.when(F.col("tied").isNull(), 1).otherwise(0)
-    runs = marked.withColumn("run", F.sum(starts).over(sentence)).withColumn("left", F.lag("w").over(sentence)).withColumn("right", F.lead("w").over(sentence))
-    edge = F.concat(F.lit(SEPARATOR), F.col("sent_id").cast("string"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "w", "y", F.coalesce("left", edge).alias("left"), F.coalesce("right", edge).alias("right"))))
-    grouped = runs.where("w is not null").groupBy("sent_id", "run").agg(ordered.alias("x"))
-    return grouped.where(F.size("x") > 1).select("sent_id", "x")
-
-
-def n_grams(runs: DataFrame) -> DataFrame:
-    """Every n-gram, n > 1, of the runs: ``(sent_id, pos, gram, n, tags, left, right)``."""
-    x = F.col("x")
-    spans = F.flatten(
-        F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda b: F.transform(F.sequence(b + 1, F.size(x)), lambda e: F.struct(b.alias("b"), e.alias("e"))))
-    )
-    each = runs.select("sent_id", "x", F.explode(spans).alias("s"))
-    part = F.slice("x", F.col("s.b"), F.col("s.e") - F.col("s.b") + 1)
-    cut = each.select("sent_id", part.alias("p"))
-    first, last = F.get("p", F.lit(0)), F.get("p", F.size("p") - 1)
-    return cut.select(
-        "sent_id",
-        first["pos"].alias("pos"),
-        F.array_join(F.transform("p", lambda t: t["w"]), SEPARATOR).alias("gram"),
-        F.size("p").alias("n"),
-        F.transform("p", lambda t: t["y"]).alias("tags"),
-        first["left"].alias("left"),
-        last["right"].alias("right"),
-    )
+    hashes = {"a": F.xxhash64(form), "b": F.xxhash64(form, F.lit(1)), "t": F.xxhash64(label)}
+    row = F.struct("pos", F.when(usable, F.col(form)).alias("w"), F.when(usable, F.col(label)).alias("y"), *[F.when(usable, h).alias(k) for k, h in hashes.items()])
+    placed = tokens.where("sent_id is not null and pos is not null").select("sent_id", row.alias("x"))
+    return placed.groupBy("sent_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in order."""
+    h = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + b
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+class _Flat:
+    """The sentences of an Arrow batch as flat arrays."""
+
+    def __init__(self, sent_ids, x):
+        flat = x.flatten()
+        self.hashes = [flat.field(k).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in "abt"]
+        usable = flat.field("a").is_valid().to_numpy(zero_copy_only=False)
+        sizes = x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.first = np.r_[0, np.cumsum(sizes)]
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(flat))
+        # each usable token's run goes on to the next unusable one or the end of the sentence
+        bad = np.where(usable, len(flat), at)
+        self.stop = np.minimum(np.minimum.accumulate(bad[::-1])[::-1], self.first[self.row + 1])
+        edge = _mix(np.arange(1, len(sizes) + 1).astype(np.uint64) * 0 + np.uint64(3), sent_ids.cast("int64").to_numpy(zero_copy_only=False).view(np.uint64))
+        self.edge = edge[self.row] if len(flat) else np.zeros(0, np.uint64)
+        before = np.r_[np.uint64(0), self.hashes[0][:-1]] if len(flat) else self.edge
+        inner = (at > self.first[self.row]) & np.r_[False, usable[:-1]][: len(flat)]
+        self.left = np.where(inner, before, self.edge)
+        self.usable = usable
+
+    def right(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        after = np.minimum(at + n, len(self.usable) - 1)
+        inner = (at + n < self.first[self.row[at] + 1]) & self.usable[after]
+        return np.where(inner, self.hashes[0][after], self.edge[at])
+
+    def rows(self, at: np.ndarray, n: np.ndarray, gram: list[np.ndarray]) -> list:
+        """``[row, k, n, g, l, r, t]`` of n-grams: the key is their length and 128 bits of their forms' hashes."""
+        import pyarrow as pa
+
+        key = np.zeros(len(at), [("a", "<u8"), ("b", "<u8"), ("n", "<i4")])
+        key["a"], key["b"], key["n"] = gram[0], gram[1], n
+        offsets = np.arange(len(at) + 1, dtype=np.int32) * 20
+        keys = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(key.tobytes())])
+        signed = lambda h: pa.array(h.view(np.int64))
+        k = (at - self.first[self.row[at]]).astype(np.int32)
+        return [pa.array(self.row[at]), pa.array(k), pa.array(np.broadcast_to(n, at.shape).astype(np.int32)), keys, signed(self.left[at]), signed(self.right(at, n)), signed(gram[2])]
+
+
+GRAM = "k int, n int, g binary, l long, r long, t long"
+
+
+def _batches(flat: _Flat, ids, parts: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for at, n, gram in parts:
+        row, *columns = flat.rows(at, n, gram)
+        yield pa.RecordBatch.from_arrays([ids.take(row), *columns], ["sent_id", "k", "n", "g", "l", "r", "t"])
+
+
+def short_n_grams(sentences: DataFrame) -> DataFrame:
+    """``(sent_id, k, n, g, l, r, t)`` of every n-gram of 2 to ``SHORT`` usable tokens: place, length, key and hashes of neighbours and tags."""
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            flat = _Flat(batch.column(0), batch.column(1))
+
+            def parts(flat=flat):
+                gram = flat.hashes
+                at = np.flatnonzero(flat.usable)
+                gram = [h[at] for h in gram]
+                for n in range(2, SHORT + 1):
+                    kept = at + n <= flat.stop[at]
+                    at, gram = at[kept], [g[kept] for g in gram]
+                    if not len(at):
+                        return
+                    gram = [_mix(g, h[at + n - 1]) for g, h in zip(gram, flat.hashes)]
+                    yield at, np.full(len(at), n), gram
+
+            yield from _batches(flat, batch.column(0), parts())
+
+    ids = sentences.schema["sent_id"].dataType.simpleString()
+    return sentences.select("sent_id", "x").mapInArrow(run, f"sent_id {ids}, {GRAM}")
+
+
+def n_grams_at(sentences: DataFrame, places: DataFrame) -> DataFrame:
+    """The n-grams of the lengths ``low`` to ``high`` at the places ``(sent_id, k, low, high)``, as far as the usable tokens go.
+
+    Hashes of the runs of 1, 2, 4, ... tokens give that of any length in a few steps.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            flat, asked = _Flat(batch.column(0), batch.column(1)), batch.column(2)
+            rows = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy(zero_copy_only=False))
+            k, low, high = (asked.flatten().field(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("k", "low", "high"))
+            at = flat.first[rows] + k
+            high = np.minimum(high, flat.stop[at] - at)
+            tables = [flat.hashes]
+            for step in (1 << p for p in range(int(high.max(initial=1)).bit_length() - 1)):
+                tables.append([_mix(h[: max(len(h) - step, 0)], h[step:]) for h in tables[-1]])
+
+            def gram_of(at: np.ndarray, n: np.ndarray, tables=tables) -> list[np.ndarray]:
+                found, done = [np.zeros(len(at), np.uint64) for _ in range(3)], np.zeros(len(at), np.int64)
+                for p in range(len(tables) - 1, -1, -1):
+                    has = np.flatnonzero(n >> p & 1)
+                    for f, table in zip(found, tables[p]):
+                        f[has] = _mix(f[has], table[(at + done)[has]])
+                    done[has] += 1 << p
+                return found
+
+            def parts(at=at, low=low, high=high, gram_of=gram_of):
+                count = np.maximum(0, high - low + 1)
+                for own in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(count) >> 18)) + 1):
+                    here = np.repeat(at[own], count[own])
+                    n = np.arange(len(here)) - np.repeat(np.cumsum(count[own]) - count[own], count[own]) + np.repeat(low[own], count[own])
+                    if len(here):
+                        yield here, n, gram_of(here, n)
+
+            yield from _batches(flat, batch.column(0), parts())
+
+    ids = sentences.schema["sent_id"].dataType.simpleString()
+    asked = places.groupBy("sent_id").agg(F.collect_list(F.struct("k", "low", "high")).alias("asked"))
+    return sentences.select("sent_id", "x").join(asked, "sent_id").select("sent_id", "x", "asked").mapInArrow(run, f"sent_id {ids}, {GRAM}")
+
+
+def _classes(grams: DataFrame) -> DataFrame:
+    ends = [end(c).alias(f"{c}{k}") for c in "lrt" for k, end in ((1, F.min), (2, F.max))]
+    return grams.groupBy("g").agg(F.count("*").alias("support"), *ends)
+
+
+def long_n_grams(sentences: DataFrame, grams: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """The n-grams longer than ``SHORT`` that can be maximal repeats; none is there if this is None.
+
+    An n-gram whose occurrences all have one left neighbour is no maximal repeat, and
+    neither are its extensions. So at each place lengths count up to the longest with
+    several left neighbours, which is found by bisection, all places at a time. Of a
+    repeated passage that is the place of its begin alone. Where the places have little
+    room up to the end of their sentences all lengths are taken, which costs less.
+    """
+    longest = F.col("n") == SHORT
+    open_ = classes.where("l1 <> l2").select("g")
+    places = checkpoint(grams.where(longest).join(open_, "g", "left_semi").select("sent_id", "k", F.lit(SHORT).alias("m")))
+    if places.isEmpty():
+        return None
+    sizes = sentences.select("sent_id", F.size("x").alias("size"))
+    room = places.join(sizes, "sent_id").agg(F.avg(F.col("size") - F.col("k") - SHORT).alias("room")).first().room
+    if room <= ROOM:
+        return n_grams_at(sentences, places.select("sent_id", "k", F.lit(SHORT + 1).alias("low"), F.lit((1 << 31) - 1).alias("high")))
+    size = sizes.agg(F.max("size").alias("size")).first().size
+    for p in range(max(size - SHORT, 1).bit_length() - 1, -1, -1):
+        tried = n_grams_at(sentences, places.select("sent_id", "k", (F.col("m") + (1 << p)).alias("low"), (F.col("m") + (1 << p)).alias("high")))
+        tried = checkpoint(tried.select("sent_id", "k", "g", "l"))
+        several = tried.groupBy("g").agg(F.min("l").alias("l1"), F.max("l").alias("l2"), F.count("*").alias("support")).where("l1 <> l2").select("g", "support")
+        reached = skew_join(tried.select("sent_id", "k", "g"), several, "g", heavy=_heavy(several, "g", "support"), right_unique=True).select("sent_id", "k", F.lit(1).alias("more"))
+        places = checkpoint(places.join(reached, ["sent_id", "k"], "left").select("sent_id", "k", F.when(F.col("more") == 1, F.col("m") + (1 << p)).otherwise(F.col("m")).alias("m")))
+    return n_grams_at(sentences, places.select("sent_id", "k", F.lit(SHORT + 1).alias("low"), F.col("m").alias("high")))
 
 
 def variation_n_grams(tokens: DataFrame, form: str, label: str) -> DataFrame:
@@ -108,23 +242,33 @@ def variation_n_grams(tokens: DataFrame, form: str, label: str) -> DataFrame:
     position) are flagged. If several repeats flag a token the correction is that of the
     rarest, ties to the last n-gram. Each occurrence counts once. Unflagged tokens keep
     their label as correction.
+
+    N-grams are compared by 128-bit hashes and carry their place; tokens and tags are looked
+    up again for the few that are flagged.
     """
-    grams = n_grams(checkpoint(repeating_runs(tokens, form, label)))
-    stats = grams.groupBy("gram").agg(
-        F.count("*").alias("support"),
-        F.min("left").alias("l1"), F.max("left").alias("l2"), F.min("right").alias("r1"), F.max("right").alias("r2"),
-        F.min("tags").alias("t1"), F.max("tags").alias("t2"),
-    )
-    varying = checkpoint(stats.where("l1 <> l2 and r1 <> r2 and t1 <> t2").select("gram", "support"))
-    heavy = checkpoint(_heavy(varying, "gram", "support"))
-    kept = checkpoint(skew_join(grams.select("gram", "sent_id", "pos", "tags"), varying, "gram", heavy=heavy, right_unique=True))
-    counts = kept.groupBy("gram", "support", "tags").agg(F.count("*").alias("c"), F.min(F.struct("sent_id", "pos")).alias("first"))
-    rank = F.struct(F.col("c"), -F.col("first.sent_id"), -F.col("first.pos"))
-    best = counts.groupBy("gram", "support").agg(F.max_by("tags", rank).alias("best"))
-    wrong = skew_join(kept.drop("support"), best, "gram", heavy=heavy, right_unique=True).where("tags <> best")
-    each = wrong.select("sent_id", "pos", "gram", "support", F.posexplode(F.arrays_zip("tags", "best")).alias("k", "t")).where("t.tags <> t.best")
-    last = F.max_by(F.col("t.best"), F.struct(-F.col("support"), F.col("gram")))
-    flagged = each.groupBy("sent_id", (F.col("pos") + F.col("k")).alias("pos")).agg(last.alias("fix"))
+    sentences = stored(hashed_sentences(tokens, form, label))
+    grams = stored(short_n_grams(sentences))
+    classes = checkpoint(_classes(grams).where("l1 <> l2"))
+    longer = long_n_grams(sentences, grams, classes)
+    if longer is not None:
+        longer = stored(longer)
+        grams, classes = grams.unionByName(longer), classes.unionByName(_classes(longer))
+    varying = checkpoint(classes.where("l1 <> l2 and r1 <> r2 and t1 <> t2").select("g", "support"))
+    heavy = checkpoint(_heavy(varying, "g", "support"))
+    kept = checkpoint(skew_join(grams.select("g", "sent_id", "k", "n", "t"), varying, "g", heavy=heavy, right_unique=True))
+    counts = kept.groupBy("g", "t").agg(F.count("*").alias("c"), F.min(F.struct("sent_id", "k")).alias("first"))
+    rank = F.struct(F.col("c"), -F.col("first.sent_id"), -F.col("first.k"))
+    best = counts.groupBy("g").agg(F.max_by(F.struct("t", "first"), rank).alias("best")).select("g", F.col("best.t").alias("best_t"), "best.first")
+    wrong = checkpoint(skew_join(kept, best, "g", heavy=heavy, right_unique=True).where("t <> best_t"))
+    words = sentences.select("sent_id", F.transform("x", lambda v: F.struct(v["pos"].alias("pos"), v["w"].alias("w"), v["y"].alias("y"))).alias("x"))
+    models = wrong.groupBy("g").agg(F.first("first").alias("first"), F.first("n").alias("n")).select("g", "first.sent_id", "first.k", "n")
+    tags = models.join(words, "sent_id").select("g", F.slice("x", F.col("k") + 1, F.col("n"))["y"].alias("tags"))
+    found = skew_join(wrong.select("g", "sent_id", "k", "n", "support"), tags, "g", heavy=heavy, right_unique=True)
+    own = found.join(words, "sent_id").withColumn("x", F.slice("x", F.col("k") + 1, F.col("n")))
+    pair = F.explode(F.arrays_zip(F.col("x").alias("x"), F.col("tags").alias("tag"))).alias("p")
+    each = own.select("sent_id", "support", F.array_join(F.col("x")["w"], SEPARATOR).alias("gram"), pair).where("p.x.y <> p.tag")
+    last = F.max_by(F.col("p.tag"), F.struct(-F.col("support"), F.col("gram")))
+    flagged = each.groupBy("sent_id", F.col("p.x.pos").alias("pos")).agg(last.alias("fix"))
     joined = tokens.select("sent_id", "pos", label).join(flagged, ["sent_id", "pos"], "left")
     return joined.select("sent_id", "pos", F.col("fix").isNotNull().alias("flag"), F.coalesce("fix", label).alias("corrected"))
 

@@ -245,7 +245,9 @@ def test_variation_n_grams(spark):
     assert sequences.variation_n_grams(tokens.limit(0), "token", "noisy").count() == 0
 
 
-def test_variation_n_grams_equal_a_list_of_all(spark):
+@pytest.mark.parametrize("room", [0, 32])
+def test_variation_n_grams_equal_a_list_of_all(spark, monkeypatch, room):
+    monkeypatch.setattr(sequences, "ROOM", room)
     rng = random.Random(21)
     for words, size in (("ab", 6), ("abc", 12), ("abcdef", 30)):
         sentences = [[rng.choice(words) for _ in range(rng.randint(1, size))] for _ in range(12)]
@@ -256,6 +258,18 @@ def test_variation_n_grams_equal_a_list_of_all(spark):
         assert found == n_gram_flags(sentences, tags)
 
 
+def test_variation_n_grams_of_long_copies(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(10_000)]
+    tags = [rng.choice("MN") for _ in words]
+    odd = [t if k % 1_000 else "X" for k, t in enumerate(tags)]
+    rows = token_rows([words, ["begin", *words], [*words, "end"]], [tags, ["N", *odd], [*tags, "N"]])
+    tokens = spark.createDataFrame([*rows, (None, 1, "w", "N"), (7, None, "w", "N")], "sent_id long, pos int, token string, noisy string").repartition(8)
+    found = sequences.variation_n_grams(tokens, "token", "noisy")
+    assert {(r.sent_id, r.pos): r.corrected for r in found.where("flag").collect()} == {(1, k + 1): tags[k] for k in range(0, 10_000, 1_000)}
+    assert found.count() == len(rows) + 2
+
+
 def test_variation_n_grams_span(spark):
     texts = ["we met Ada Byron in Turin", "you met Ada Byron in Rome", "he met Ada Byron in Turin", "Turin is old", "Turin is wet", "Turin is old"]
     tags = ["O O B-HUM I-HUM O B-TOWN", "O O B-HUM I-HUM O B-TOWN", "O O B-ORG I-ORG O B-LAND", "B-TOWN O O", "B-LAND O O", "B-TOWN O O"]
