@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tagsieve.functions.arrays import hash_unit, unit_sum
 from tagsieve.operators.ranking import global_rank
+from tagsieve.plans.runtime import stored
 
 
 class Callback:
@@ -39,8 +40,10 @@ def stratified_folds(df: DataFrame, row_id: str, label: str, k: int, seed: int =
 
 
 def plain_folds(df: DataFrame, row_id: str, k: int, seed: int = 42) -> DataFrame:
-    """``(row_id, fold)`` of every distinct id, for sentences: folds by a seeded hash."""
-    return df.select(row_id).distinct().select(row_id, F.floor(hash_unit(seed, F.col(row_id)) * k).cast("int").alias("fold"))
+    """``(row_id, fold)`` of every distinct id, for sentences: dealt out by a seeded hash, so that folds differ by at most one."""
+    ids = df.select(row_id).distinct().select(row_id, hash_unit(seed, F.col(row_id)).alias("h"))
+    ranked = global_rank(ids, [F.col("h"), F.col(row_id)], "place")
+    return ranked.select(row_id, F.pmod(F.col("place") - 1, F.lit(k)).cast("int").alias("fold"))
 
 
 def cross_validate(df: DataFrame, folds: DataFrame, row_id: str, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], k: int, callbacks: tuple[Callback, ...] = ()) -> DataFrame:
@@ -48,9 +51,10 @@ def cross_validate(df: DataFrame, folds: DataFrame, row_id: str, fit: Callable[[
 
     ``fit`` takes training rows and returns a function from rows to predictions. With
     ``k = 1`` the model is trained on all rows and predicts them. A callback may replace
-    the predictions of a fold.
+    the predictions of a fold. Rows are joined with their folds once and written by fold,
+    so that each model reads the folds that it needs.
     """
-    assigned = df.join(folds, row_id)
+    assigned = stored(df.join(folds, row_id).withColumn("fold", F.col("fold").cast("int")), "fold")
     for callback in callbacks:
         callback.on_begin(k)
     result = None

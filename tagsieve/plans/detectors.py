@@ -760,7 +760,9 @@ select sent_id, start_pos, end_pos, regexp_replace({TAGS}[idx + 1], '^[BI]-', ''
 with {_BIO}, x as (select sent_id, pos, unnest(range({len(TAGS)})) as dim, unnest({_TOKEN_PROBS}) as x from tokens)
 select s.sent_id, start_pos, dim::int as dim, round(avg(x), 6) as x from {_INSIDE} group by 1, 2, 3""",
     "stratified_folds": f"select id, ((row_number() over (partition by noisy order by {hash_unit_sql(42, 'id')}, id) - 1) % {FOLDS})::int as fold from instances",
-    "fold_sizes": f"select floor({hash_unit_sql(42, 'sent_id')} * {FOLDS})::int as fold, count(*) as n from (select distinct sent_id from tokens) group by 1",
+    "fold_sizes": f"""
+select fold, count(*) as n from (
+    select ((row_number() over (order by {hash_unit_sql(42, 'sent_id')}, sent_id) - 1) % {FOLDS})::int as fold from (select distinct sent_id from tokens)) group by 1""",
     "random_probabilities": f"""
 select id, cls::int as cls, round(p / sum(p) over (partition by id), 6) as p from (
     select id, unnest(range(4)) as cls, unnest([{", ".join(f"{hash_unit_sql(42, 'id', str(c))} + 1e-9" for c in range(4))}]) as p from instances)""",
