@@ -244,11 +244,25 @@ def span_probabilities(spark, sf):
     return rounded(spans.span_probabilities(bio_spans(spark, sf), _token_probs(spark, sf), _tag_table(spark)), "p")
 
 
-def span_results(spark, sf):
+def _span_results(spark, sf):
     tagged = _tagged(spark, sf)
     noisy, gold = spans.bio_spans(tagged, "noisy_tag"), spans.bio_spans(tagged, "gold_tag")
-    aligned, _, _ = spans.align_span_result(noisy, gold, _token_probs(spark, sf), _tag_table(spark))
-    return aligned
+    probs = _token_probs(spark, sf)
+    turns = probs.select("sent_id", "pos", F.explode(F.array(F.lit(0), F.lit(1))).alias("t"), "probs")
+    repeated = turns.withColumn("probs", F.transform("probs", lambda p: p * (F.col("t") + 1) / 2))
+    return spans.align_span_result(noisy, gold, probs, _tag_table(spark), repeated)
+
+
+def span_results(spark, sf):
+    return _span_results(spark, sf)[0]
+
+
+def span_result_probabilities(spark, sf):
+    return rounded(_span_results(spark, sf)[1], "p")
+
+
+def span_result_repeated(spark, sf):
+    return rounded(_span_results(spark, sf)[2], "p")
 
 
 def span_vectors(spark, sf):
@@ -390,7 +404,6 @@ QUERIES = {
     "dropout_original": dropout_original,
     "dropout_variance": dropout_variance,
     "label_aggregation": _label_aggregation(100),
-    "label_aggregation_two_rounds": _label_aggregation(2),
     "majority_voting": majority_voting,
     "borda_count": borda_count,
     "item_response": item_response,
@@ -403,11 +416,8 @@ QUERIES = {
     "mean_distance_lof": _mean_distance("lof"),
     "datamap_confidence": datamap_confidence,
     "datamap_trained": _datamap_trained(),
-    "datamap_trained_six_epochs": _datamap_trained(epochs=6),
     "curriculum_spotter": _spotter(dynamics.curriculum_spotter),
-    "curriculum_spotter_four_epochs": _spotter(dynamics.curriculum_spotter, epochs=4),
     "leitner_spotter": _spotter(dynamics.leitner_spotter),
-    "leitner_spotter_five_epochs": _spotter(dynamics.leitner_spotter, epochs=5),
     "sentences_nested": sentences_nested,
     "tokens_flat": tokens_flat,
     "bio_spans": bio_spans,
@@ -416,6 +426,8 @@ QUERIES = {
     "span_scores": span_scores,
     "span_probabilities": span_probabilities,
     "span_results": span_results,
+    "span_result_probabilities": span_result_probabilities,
+    "span_result_repeated": span_result_repeated,
     "span_vectors": span_vectors,
     "stratified_folds": stratified_folds,
     "fold_sizes": fold_sizes,
@@ -433,6 +445,7 @@ QUERIES = {
     "tf_idf": tf_idf,
     "token_features": token_features,
     "oof_dummy_text": _oof_text(text.dummy, folds=3),
+    "oof_first_word": _oof_text(text.first_word, folds=FOLDS),
     "oof_max_ent_text": _oof_text(text.max_ent),
     "oof_bigram_hash_text": _oof_text(text.bigram_hash),
     "oof_boosted_trees_text": _oof_text(text.boosted_trees),
@@ -517,15 +530,52 @@ def _tag_sql(side: str) -> str:
     return f"case when {side} in ({types}) then (case when lag({side}) over (partition by sent_id order by pos) is not distinct from {side} then 'I-' else 'B-' end) || {side} else 'O' end"
 
 
-_BIO = f"""tagged as (select sent_id, pos, {_tag_sql("noisy")} as tag from tokens),
-typed as (select sent_id, pos, tag[1] as b, case when tag <> 'O' then tag[3:] end as type from tagged),
-begun as (
-    select *, case when type is not null and (b = 'B' or lag(type) over (partition by sent_id order by pos) is distinct from type) then 1 else 0 end as begins from typed
-), numbered as (select *, sum(begins) over (partition by sent_id order by pos) as span from begun),
-bio as (
-    select sent_id, min(pos) as start_pos, max(pos) + 1 as end_pos, any_value(type) as type from numbered
+def _bio_sql(side: str, name: str) -> str:
+    """The spans of one side's tags as the relation ``name``."""
+    return f"""{name}_tagged as (select sent_id, pos, {_tag_sql(side)} as tag from tokens),
+{name}_typed as (select sent_id, pos, tag[1] as b, case when tag <> 'O' then tag[3:] end as type from {name}_tagged),
+{name}_begun as (
+    select *, case when type is not null and (b = 'B' or lag(type) over (partition by sent_id order by pos) is distinct from type) then 1 else 0 end as begins from {name}_typed
+), {name}_numbered as (select *, sum(begins) over (partition by sent_id order by pos) as span from {name}_begun),
+{name} as (
+    select sent_id, min(pos) as start_pos, max(pos) + 1 as end_pos, any_value(type) as type from {name}_numbered
     where type is not null group by sent_id, span
 )"""
+
+
+_BIO = _bio_sql("noisy", "bio")
+#: The best matching of noisy spans ``bio`` and gold spans ``gold``: rows of best sums one noisy span at a time, then the way back.
+_MATCHED = f"""with recursive {_BIO}, {_bio_sql("gold", "gold_spans")},
+lists as (
+    select sent_id, a, coalesce(b, []) as b
+    from (select sent_id, list({{'x': start_pos, 'y': end_pos, 'type': type}} order by start_pos) as a from bio group by 1)
+    left join (select sent_id, list({{'x': start_pos, 'y': end_pos, 'type': type}} order by start_pos) as b from gold_spans group by 1) using (sent_id)
+), filled as (
+    select sent_id, a, b, 0 as i, list_transform(range(len(b) + 1), lambda j: 0) as best, []::int[][] as steps from lists
+    union all
+    select sent_id, a, b, i + 1, list_transform(range(len(b) + 1), lambda j: list_max(own[1:j + 1])),
+        list_append(steps, list_transform(range(len(b) + 1), lambda j: case when j > 0 and list_max(own[1:j]) > own[j + 1] then 2 when own[j + 1] > best[j + 1] then 1 else 0 end))
+    from (
+        select *, list_transform(range(len(b) + 1), lambda j: greatest(best[j + 1], case when j > 0 and shared[j] > 0 then best[j] + shared[j] else 0 end)) as own
+        from (select *, list_transform(b, lambda s: least(a[i + 1].y, s.y) - greatest(a[i + 1].x, s.x)) as shared from filled where i < len(a)))
+), back as (
+    select sent_id, steps, len(a) as i, len(b) as j, 0 as ai, 0 as bj from filled where i = len(a)
+    union all
+    select sent_id, steps, case when step = 2 then i else i - 1 end, case when step = 0 then j else j - 1 end, case when step = 1 then i else 0 end, case when step = 1 then j else 0 end
+    from (select *, steps[i][j + 1] as step from back where i > 0 and j > 0)
+), pairs as (
+    select n.sent_id, n.s.x as start_pos, n.s.y as end_pos, n.s.type as noisy, m.b[bj].x as gold_start, m.b[bj].y as gold_end, m.b[bj].type as gold
+    from (select sent_id, unnest(a) as s, generate_subscripts(a, 1) as k from lists) n join lists m using (sent_id)
+    left join (select sent_id, ai, bj from back where ai > 0) p on p.sent_id = n.sent_id and p.ai = k
+)"""
+_SPAN_ALIGNED = f"""{_MATCHED}, words as (select sent_id, list(coalesce(token, '') order by pos) as w from tokens group by 1)
+select sent_id, start_pos, end_pos, array_to_string(w[coalesce(gold_start, start_pos) + 1 : coalesce(gold_end, end_pos)], ' ') as surface_form,
+    coalesce(gold, '{spans.NO_ALIGNMENT}') as gold, noisy, gold_start, gold_end from pairs join words using (sent_id)"""
+_SPAN_PROBS = """{start}, source as (select distinct sent_id, coalesce(gold_start, start_pos) as s, coalesce(gold_end, end_pos) as e from pairs),
+x as (select sent_id, pos{t}, unnest(range({classes})) as idx, unnest({probs}) as p from tokens{turns}),
+tag as (select source.sent_id, s, e{t}, idx, avg(p) as p from source join x on x.sent_id = source.sent_id and pos >= s and pos < e group by all),
+typed as (select sent_id, s, e{t}, regexp_replace({tags}[idx + 1], '^[BI]-', '') as type, avg(p) as p from tag group by all)
+select sent_id, start_pos, end_pos{t}, type, round(p, 6) as p from pairs join typed using (sent_id) where s = coalesce(gold_start, start_pos) and e = coalesce(gold_end, end_pos)"""
 _INSIDE = "bio s join x t on s.sent_id = t.sent_id and t.pos >= s.start_pos and t.pos < s.end_pos"
 _TID = "sent_id * 100000 + pos"
 _TOKEN_PROBS = "[" + ", ".join(hash_unit_sql(5, _TID, str(c)) for c in range(len(TAGS))) + "]"
@@ -628,6 +678,37 @@ def _leitner_sql(epochs: int, queues: int = 5) -> str:
     return _scored_sql(steps, parts, epochs)
 
 
+def _item_response_sql(rounds: int = 25, steps: int = 200) -> str:
+    """The fit over answer patterns in one row of lists, one gradient step a turn."""
+    answers = ", ".join(f"coalesce(max((prediction = noisy)::int) filter (model = {m}), -1)" for m in range(MODELS))
+    models = f"range(1, {MODELS} + 1)"
+    right = "greatest(p[m], 0)"
+    chance = "1 / (1 + exp(-greatest(-30, least(30, {a} * (ability[m] - {b})))))"
+    miss = f"case when p[m] >= 0 then {right} - {chance.format(a='a[k]', b='b[k]')} else 0 end"
+    begin = f"list_transform(patterns, lambda p: case when list_sum(list_transform({models}, lambda m: ({right} - list_avg(list_transform({models}, lambda m: {right}))) * ability[m])) >= 0 then 0.1::double else -0.1::double end)"
+    return f"""
+with recursive {_LATEST}, votes as (
+    select id, [{answers}] as pattern from instances join latest using (id) where noisy is not null group by 1
+), counted as (select pattern, count(*)::double as n from votes group by 1),
+listed as (select list(pattern order by pattern) as patterns, list(n order by pattern) as weight, sum(n) as total from counted),
+shares as (
+    select *, list_transform({models}, lambda m: list_sum(list_transform(range(1, len(patterns) + 1), lambda k: greatest(patterns[k][m], 0) * weight[k]))
+        / greatest(list_sum(list_transform(range(1, len(patterns) + 1), lambda k: (patterns[k][m] >= 0)::int * weight[k])), 1)) as share from listed
+), able as (select patterns, weight, total, list_transform(share, lambda x: (x - list_avg(share)) / greatest(list_stddev_pop(share), 1e-9)) as ability from shares),
+fitted as (
+    select patterns, weight, total, ability, {begin} as a, list_transform(patterns, lambda p: 0.0::double) as b, 0 as step from able
+    union all
+    select patterns, weight, total, ability, case when fresh then {begin} else a end, case when fresh then list_transform(patterns, lambda p: 0.0::double) else b end, step
+    from (
+        select patterns, weight, total, turn as fresh, step + 1 as step,
+            case when turn then list_transform({models}, lambda m: ability[m] + 0.5 * (list_sum(list_transform(range(1, len(patterns) + 1), lambda k: {miss.replace('p[m]', 'patterns[k][m]')} * a[k] * weight[k])) / greatest(total, 1) - ability[m] / greatest(total, 1))) else ability end as ability,
+            case when turn then a else list_transform(range(1, len(patterns) + 1), lambda k: a[k] + 0.1 * (list_sum(list_transform({models}, lambda m: {miss.replace('p[m]', 'patterns[k][m]')} * (ability[m] - b[k]))) - a[k])) end as a,
+            case when turn then b else list_transform(range(1, len(patterns) + 1), lambda k: b[k] + 0.1 * (-list_sum(list_transform({models}, lambda m: {miss.replace('p[m]', 'patterns[k][m]')} * a[k])) - b[k])) end as b
+        from (select *, step % {steps + 1} = {steps} as turn from fitted where step < {(steps + 1) * rounds + steps}))
+), signs as (select unnest(patterns) as pattern, unnest(a) < 0 as flag from fitted where step = {(steps + 1) * rounds + steps})
+select id, flag from votes join signs using (pattern)"""
+
+
 def _noise_sql(p: float, flipped: bool) -> str:
     draw = f"floor({hash_unit_sql(43, 'id')} * (c - 1)) + 1 + idx" if flipped else f"floor({hash_unit_sql(43, 'id')} * c)"
     return f"""with k as (select count(*) as c from label_set), r as (
@@ -743,14 +824,33 @@ select vec_id, label::varchar <> corrected as flag, corrected from embeddings jo
 dens as (select n.id, 1 / (avg(greatest(sqrt(n.d), kd.kd)) + 1e-10) as density from near n join kd on kd.id = n.other group by 1),
 lof as (select n.id, avg(o.density) / any_value(d.density) as lof from near n join dens o on o.id = n.other join dens d on d.id = n.id group by 1)
 select vec_id, round(coalesce(lof, 1.0), 6) as score from embeddings left join lof on id = vec_id""",
-    "label_aggregation_two_rounds": _dawid_skene_sql(2),
+    "label_aggregation": _dawid_skene_sql(100),
     "datamap_confidence": f"with {_REP}, {_LABELLED} select id, round(1 - avg(rep.probs[s + 1]), 6) as score from rep join labelled using (id) group by 1",
-    "datamap_trained_six_epochs": _training_sql(6),
-    "curriculum_spotter_four_epochs": _curriculum_sql(4),
-    "leitner_spotter_five_epochs": _leitner_sql(5),
+    "datamap_trained": _training_sql(24),
+    "curriculum_spotter": _curriculum_sql(24),
+    "leitner_spotter": _leitner_sql(48),
     "sentences_nested": "select sent_id, to_json(list(token order by pos))::varchar as tokens, count(*)::int as size from tokens group by 1",
     "tokens_flat": "select sent_id, (row_number() over (partition by sent_id order by pos) - 1)::int as pos, token, noisy, gold from tokens",
     "bio_spans": f"with {_BIO} select * from bio",
+    "span_alignment": _SPAN_ALIGNED,
+    "span_flags": f"select sent_id, start_pos, gold <> noisy as is_error from ({_SPAN_ALIGNED})",
+    "span_results": _MATCHED + " select sent_id, start_pos, end_pos, noisy, coalesce(gold, 'O') as prediction from pairs",
+    "span_result_probabilities": _SPAN_PROBS.format(start=_MATCHED, t="", classes=len(TAGS), probs=_TOKEN_PROBS, turns="", tags=TAGS),
+    "span_result_repeated": _SPAN_PROBS.format(
+        start=_MATCHED, t=", t", classes=len(TAGS), probs=f"list_transform({_TOKEN_PROBS}, lambda p: p * (t + 1) / 2)", turns=", (select unnest(range(2))::int as t)", tags=TAGS
+    ),
+    "item_response": _item_response_sql(),
+    "oof_first_word": f"""
+with r as (
+    select id, noisy, regexp_extract(lower(coalesce(text, '')), '[\\pL\\pN]+') as word,
+        ((row_number() over (partition by noisy order by {hash_unit_sql(42, 'id')}, id) - 1) % {FOLDS})::int as fold from instances
+), c as (select word, fold, idx, count(*) as n from r join label_set on label = noisy group by all),
+t as (select word, idx, sum(n) as n from c group by all),
+p as (
+    select r.id, l.idx, l.label, coalesce(t.n, 0) - coalesce(c.n, 0) + 1 as q from r cross join label_set l
+    left join t on t.word = r.word and t.idx = l.idx left join c on c.word = r.word and c.fold = r.fold and c.idx = l.idx
+)
+select id, label as prediction, round(q / sum(q) over (partition by id), 6) as p from p qualify row_number() over (partition by id order by q desc, idx) = 1""",
     "span_scores": f"with {_BIO}, x as (select sent_id, pos, {hash_unit_sql(7, _TID)} as score from tokens) select s.sent_id, start_pos, end_pos, type, round(avg(score), 6) as score from {_INSIDE} group by 1, 2, 3, 4",
     "span_probabilities": f"""
 with {_BIO}, x as (select sent_id, pos, unnest(range({len(TAGS)})) as idx, unnest({_TOKEN_PROBS}) as p from tokens),
