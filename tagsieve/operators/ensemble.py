@@ -164,30 +164,62 @@ def fit_items(patterns: np.ndarray, ability: np.ndarray, steps: int = 200) -> np
     return np.stack([a, b], axis=1)
 
 
-def item_response_flags(df: DataFrame, predictions: DataFrame, models: int, row_id: str = "id", label: str = "noisy", rounds: int = 25) -> DataFrame:
+def _answer_sums(patterns: np.ndarray, n: np.ndarray, ability: np.ndarray | None) -> np.ndarray:
+    """By model: right and given answers at first, and the slope of the likelihood in the abilities then."""
+    given = patterns >= 0
+    if ability is None:
+        return np.stack([(np.where(given, patterns, 0) * n[:, None]).sum(axis=0), (given * n[:, None]).sum(axis=0)])
+    items = fit_items(patterns, ability)
+    chance = 1 / (1 + np.exp(-np.clip(items[:, :1] * (ability[None, :] - items[:, 1:]), -30, 30)))
+    return (np.where(given, patterns - chance, 0.0) * items[:, :1] * n[:, None]).sum(axis=0)[None, :]
+
+
+def item_response_flags(
+    df: DataFrame, predictions: DataFrame, models: int, row_id: str = "id", label: str = "noisy", rounds: int = 25, max_local: int = MAX_LOCAL_PATTERNS
+) -> DataFrame:
     """``(row_id, flag)``: items whose discrimination is negative.
 
     A model answers an item right if it predicts the given label. Items share parameters
     if their answers agree, so the fit runs over at most ``3 ** models`` answer patterns.
-    Deterministic: abilities start at the standardised share of right answers.
+    Deterministic: abilities start at the standardised share of right answers. Up to
+    ``max_local`` patterns are fitted on the driver; more stay in the cluster, and only
+    sums by model travel.
     """
     right = F.when(F.col("prediction") == F.col(label), 1).otherwise(0)
     answers = df.select(row_id, label).where(F.col(label).isNotNull()).join(predictions, row_id)
     votes = answers.where("prediction is not null").select(row_id, F.col("model").alias("worker"), right.alias("label"))
     rows, counted = answer_patterns(votes, row_id, models)
-    if counted.limit(MAX_LOCAL_PATTERNS + 1).count() > MAX_LOCAL_PATTERNS:
-        raise ValueError("too many distinct answer patterns; give fewer models")
-    frame = counted.toPandas()
-    patterns = np.array(frame["pattern"].tolist(), np.int64).reshape(len(frame), models)
-    n = frame["n"].to_numpy(float)
-    given = patterns >= 0
-    share = (np.where(given, patterns, 0) * n[:, None]).sum(axis=0) / np.maximum((given * n[:, None]).sum(axis=0), 1)
-    ability = (share - share.mean()) / max(share.std(), 1e-9) if len(share) else share
-    for _ in range(rounds if len(frame) else 0):
-        items = fit_items(patterns, ability)
-        chance = 1 / (1 + np.exp(-np.clip(items[:, :1] * (ability[None, :] - items[:, 1:]), -30, 30)))
-        slope = (np.where(given, patterns - chance, 0.0) * items[:, :1] * n[:, None]).sum(axis=0) / max(n.sum(), 1)
-        ability = ability + 0.5 * (slope - ability / max(n.sum(), 1))
-    negative = {tuple(p) for p, a in zip(patterns.tolist(), fit_items(patterns, ability)[:, 0]) if a < 0} if len(frame) else set()
-    flags = df.sparkSession.createDataFrame([(list(p), True) for p in sorted(negative)], "pattern array<int>, flag boolean")
-    return rows.join(F.broadcast(flags), "pattern", "left").select(row_id, F.coalesce("flag", F.lit(False)).alias("flag"))
+    counted = checkpoint(counted)
+    total, few = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], counted.count() <= max_local
+    local = _arrays(counted.toPandas()) if few and total else None
+
+    def sums(ability: np.ndarray | None) -> np.ndarray:
+        if local:
+            return _answer_sums(*local, ability)
+
+        def partial(frames: Iterator) -> Iterator:
+            import pandas as pd
+
+            for frame in frames:
+                if len(frame):
+                    found = _answer_sums(*_arrays(frame), ability)
+                    yield pd.DataFrame({"at": np.arange(found.size), "x": found.ravel()})
+
+        added = counted.mapInPandas(partial, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").toPandas()
+        return added["x"].to_numpy().reshape(-1, models)
+
+    ability = np.zeros(models)
+    if total:
+        answered = sums(None)
+        share = answered[0] / np.maximum(answered[1], 1)
+        ability = (share - share.mean()) / max(share.std(), 1e-9)
+        for _ in range(rounds):
+            ability = ability + 0.5 * (sums(ability)[0] - ability) / total
+
+    def negative(frames: Iterator) -> Iterator:
+        for frame in frames:
+            if len(frame):
+                yield frame[["pattern"]].assign(flag=fit_items(_arrays(frame)[0], ability)[:, 0] < 0)
+
+    flags = counted.mapInPandas(negative, "pattern array<int>, flag boolean")
+    return rows.join(F.broadcast(flags) if few else flags, "pattern").select(row_id, "flag")

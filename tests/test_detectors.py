@@ -166,6 +166,9 @@ def test_item_response_flags_what_good_models_miss(spark):
     flags = by_id(ensemble.item_response_flags(df, spark.createDataFrame(preds, "id long, model int, prediction string"), 5), "flag")
     hits = [i for i in range(0, 200, 20) if flags[i]]
     assert len(hits) >= 7 and sum(flags.values()) < 60
+    votes = spark.createDataFrame(preds, "id long, model int, prediction string")
+    assert by_id(ensemble.item_response_flags(df, votes, 5, rounds=4, max_local=0), "flag") == by_id(ensemble.item_response_flags(df, votes, 5, rounds=4), "flag")
+    assert ensemble.item_response_flags(df, votes.limit(0), 5).count() == 0
 
 
 def cloud(spark, n=120, seed=0):
