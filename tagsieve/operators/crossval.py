@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,12 @@ from tagsieve.operators.ranking import global_rank
 from tagsieve.plans.runtime import stored
 
 
+#: Labels whose class means come to the driver and are broadcast.
+MAX_CLASSES = 10_000
+#: Folds whose models are fitted at a time.
+PARALLEL = 5
+
+
 class Callback:
     """Hooks of a cross-validation; each gets the fold and the frames of that moment."""
 
@@ -52,18 +60,23 @@ def cross_validate(df: DataFrame, folds: DataFrame, row_id: str, fit: Callable[[
     ``fit`` takes training rows and returns a function from rows to predictions. With
     ``k = 1`` the model is trained on all rows and predicts them. A callback may replace
     the predictions of a fold. Rows are joined with their folds once and written by fold,
-    so that each model reads the folds that it needs.
+    so that each model reads the folds that it needs. Without callbacks up to ``PARALLEL``
+    models are fitted at a time, as their jobs don't depend on each other.
     """
     assigned = stored(df.join(folds, row_id).withColumn("fold", F.col("fold").cast("int")), "fold")
+    parts = [(assigned.where(F.col("fold") != f), assigned.where(F.col("fold") == f)) if k > 1 else (assigned, assigned) for f in range(k)]
+    fitted: list = []
+    if not callbacks and k > 1:
+        with ThreadPoolExecutor(min(k, PARALLEL)) as pool:
+            fitted = [pool.submit(inheritable_thread_target(df.sparkSession)(fit), train) for train, _ in parts]
+            fitted = [f.result() for f in fitted]
     for callback in callbacks:
         callback.on_begin(k)
     result = None
-    for fold in range(k):
-        train = assigned.where(F.col("fold") != fold) if k > 1 else assigned
-        holdout = assigned.where(F.col("fold") == fold) if k > 1 else assigned
+    for fold, (train, holdout) in enumerate(parts):
         for callback in callbacks:
             callback.on_before_fitting(fold, train)
-        model = fit(train)
+        model = fitted[fold] if fitted else fit(train)
         for callback in callbacks:
             callback.on_after_fitting(fold, model)
             callback.on_before_predicting(fold, holdout)
@@ -74,6 +87,15 @@ def cross_validate(df: DataFrame, folds: DataFrame, row_id: str, fit: Callable[[
     return result
 
 
+def vector_sums(df: DataFrame, vector: str, *keys: str) -> DataFrame:
+    """``(keys, n, sums)``: rows and sum of the vectors of each key, added up before they are shuffled."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    summed = Summarizer.metrics("sum", "count").summary(array_to_vector(F.col(vector).cast("array<double>"))).alias("__s")
+    return df.groupBy(*keys).agg(summed).select(*keys, F.col("__s.count").alias("n"), vector_to_array("__s.sum").alias("sums"))
+
+
 def centroid_probabilities(df: DataFrame, row_id: str, vector: str, label: str, fold: Column, k: int) -> DataFrame:
     """``(row_id, label, fold, prediction, probs)``: softmax of the negative distance to out-of-fold class means.
 
@@ -82,14 +104,15 @@ def centroid_probabilities(df: DataFrame, row_id: str, vector: str, label: str,
     and broadcast; classes stand in label order; ties go to the first class.
     """
     rows = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(row_id), F.col(label), F.col(vector).alias("v"), fold.cast("int").alias("fold"))
-    long = rows.select(label, "fold", F.posexplode("v").alias("pos", "x"))
-    sums = long.groupBy(label, "fold", "pos").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n")).toPandas()
-    names = sorted(sums[label].unique().tolist())
-    width = int(sums["pos"].max()) + 1 if len(sums) else 0
+    sums = vector_sums(rows, "v", label, "fold").collect()
+    if len({r[label] for r in sums}) > MAX_CLASSES:
+        raise ValueError(f"there are more than {MAX_CLASSES} labels")
+    names = sorted({r[label] for r in sums})
+    width = max((len(r.sums) for r in sums), default=0)
     total, count = np.zeros((k, len(names), width)), np.zeros((k, len(names), 1))
     at = {n: i for i, n in enumerate(names)}
-    for y, f, pos, s, n in sums[[label, "fold", "pos", "s", "n"]].itertuples(index=False):
-        total[f, at[y], pos], count[f, at[y], 0] = s, n
+    for r in sums:
+        total[r.fold, at[r[label]]], count[r.fold, at[r[label]], 0] = r.sums, r.n
     rest, number = total.sum(axis=0) - total, count.sum(axis=0) - count
     means = np.divide(rest, number, out=np.full_like(rest, np.inf), where=number > 0)
     shared = df.sparkSession.sparkContext.broadcast(means)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagsieve.functions import arrays
+from tagsieve.operators.crossval import vector_sums
+from tagsieve.operators.skew import skew_join
 from tagsieve.plans.runtime import checkpoint
 
 #: Bytes of vectors that are broadcast at once; more rows take more blocks.
@@ -115,10 +117,8 @@ def knn_flagger(df: DataFrame, row_id: str = "vec_id", vector: str = "embedding"
 
 def centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
     """``(label, centroid)``: the mean vector of each label."""
-    long = df.where(F.col(vector).isNotNull()).select(label, F.posexplode(vector).alias("pos", "x"))
-    means = long.groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "m")))
-    return means.groupBy(label).agg(F.transform(ordered, lambda x: x["m"]).alias("centroid"))
+    sums = vector_sums(df.where(F.col(vector).isNotNull()), vector, label)
+    return sums.select(label, F.transform("sums", lambda x: x / F.col("n")).alias("centroid"))
 
 
 def mean_distance(df: DataFrame, row_id: str = "vec_id", vector: str = "embedding", label: str = "label", metric: str | None = "euclidean", k: int = 20) -> DataFrame:
@@ -132,7 +132,7 @@ def mean_distance(df: DataFrame, row_id: str = "vec_id", vector: str = "embeddin
     if metric not in (None, "euclidean", "cosine", "dot"):
         raise ValueError(f"no such metric: {metric}")
     rows = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(row_id, label, vector)
-    joined = rows.join(F.broadcast(centroids(rows, vector, label)), label)
+    joined = skew_join(rows, centroids(rows, vector, label), label, right_unique=True)
     v, c = F.col(vector), F.col("centroid")
     product = arrays.array_sum(F.zip_with(v, c, lambda x, y: x.cast("double") * y))
     norm = lambda a: F.sqrt(arrays.array_sum(F.transform(a, lambda x: x.cast("double") * x.cast("double"))))
