@@ -8,10 +8,13 @@ they are, and all other rows through an ordinary shuffle; the union of both is t
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagsieve.plans.runtime import checkpoint
+
 #: Items that the sketch tracks; its error is below 3.5 / 16384 of the rows at this size.
 TRACKED = 10_000
 
@@ -85,9 +88,17 @@ def skew_join(
     return cold.join(right_cold, key, how).unionByName(joined_hot)
 
 
-def count_by_key(df: DataFrame, key: str, *values: Column) -> DataFrame:
-    """Per-key row count and further aggregates; partial aggregation keeps heavy keys apart."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), *values)
+def results_by_key(df: DataFrame, key: str, summarise: Callable[[DataFrame], DataFrame], share: float = 0.005) -> DataFrame:
+    """``summarise`` of the rows of every key, computed apart for heavy and for other keys.
+
+    ``summarise`` takes rows and gives results by key. Heavy keys are found by the sketch;
+    their rows meet the few keys in a broadcast join and are summed up where they are
+    before the sums are shuffled; the rows of all other keys go through an ordinary
+    shuffle. Null is no key.
+    """
+    rows = df.where(F.col(key).isNotNull())
+    heavy = checkpoint(candidate_keys(rows.select(key), key, share))
+    return summarise(rows.join(F.broadcast(heavy), key, "left_semi")).unionByName(summarise(rows.join(F.broadcast(heavy), key, "left_anti")))
 
 
 def majority_by_key(df: DataFrame, key: str, label: str, row_id: str, share: float = 0.005) -> DataFrame:

@@ -40,15 +40,17 @@ def p3_token_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("tid", "form", "majority", "n", (F.col("noisy") != F.col("majority")).alias("differs"))
 
 
+def _label_results(rows: DataFrame) -> DataFrame:
+    wrong = F.sum(F.when(F.col("noisy") != F.col("gold"), 1).otherwise(0)).alias("wrong")
+    per_label = rows.groupBy("form", "noisy").agg(F.count("*").alias("n"), wrong)
+    return per_label.groupBy("form").agg(F.sum("n").alias("n"), F.sum("wrong").alias("wrong"), F.count("noisy").alias("labels"))
+
+
 def p3_key_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per form of both tables: rows, rows whose label is wrong, distinct labels."""
     parts = []
     for tab in ("spans", "tokens"):
-        wrong = F.sum(F.when(F.col("noisy") != F.col("gold"), 1).otherwise(0)).alias("wrong")
-        per_label = skew.count_by_key(_forms(spark, sf_dir, tab).withColumn("key", F.struct("form", "noisy")).where("form is not null"), "key", wrong)
-        per_form = per_label.groupBy(F.col("key.form").alias("form")).agg(
-            F.sum("n").alias("n"), F.sum("wrong").alias("wrong"), F.count("key.noisy").alias("labels")
-        )
+        per_form = skew.results_by_key(_forms(spark, sf_dir, tab).select("form", "noisy", "gold"), "form", _label_results, HEAVY_SHARE)
         parts.append(per_form.select(F.lit(tab).alias("tab"), "form", "n", "wrong", "labels"))
     return parts[0].unionByName(parts[1])
 
@@ -163,6 +165,13 @@ select '{tab}' as tab, lower({col}) as form, count(*) as n,
 from {tab} where {col} is not null group by 2"""
 
 ORACLES = {
+    "p3_token_majority": """
+with c as (
+    select lower(token) as form, noisy, count(*) as c, min(sent_id * 100000 + pos) as first
+    from tokens where token is not null and noisy is not null group by 1, 2
+), best as (select form, arg_max(noisy, (c, -first)) as majority, cast(sum(c) as bigint) as n from c group by 1)
+select sent_id * 100000 + pos as tid, lower(token) as form, majority, n, noisy <> majority as differs
+from tokens left join best on lower(token) = form""",
     "p3_found": _HEAVY.format(tab="spans", col="surface_form") + " union all " + _HEAVY.format(tab="tokens", col="token"),
     "p3_span_majority": """
 with c as (

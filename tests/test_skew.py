@@ -77,9 +77,12 @@ def test_majority_with_null_labels_and_empty_table(spark):
     assert skew.majority_by_key(df.limit(0), "key", "label", "id", 0.5).count() == 0
 
 
-def test_count_by_key(keyed):
-    counts = Counter({r.key: r.n for r in skew.count_by_key(keyed.drop("n"), "key").collect()})
-    assert counts["hot"] == 60 and sum(counts.values()) == 190
+@pytest.mark.parametrize("share", [0.001, 0.05, 1.0])
+def test_results_by_key_are_whole(keyed, share):
+    rows = keyed.drop("n")
+    results = skew.results_by_key(rows, "key", lambda part: part.groupBy("key").agg(F.count("*").alias("n")), share).collect()
+    expected = Counter(r.key for r in rows.collect() if r.key is not None)
+    assert {r.key: r.n for r in results} == expected and len(results) == len(expected)
 
 
 def test_empty_string_is_a_key_of_its_own(spark):
