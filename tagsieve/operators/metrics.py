@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagsieve.functions import arrays
@@ -84,6 +87,49 @@ def calibrate(df: DataFrame, temperatures: DataFrame, fold: str, probs: str) ->
     return joined.withColumn("calibrated", arrays.unit_sum(raised)).drop("temperature")
 
 
+def bin_shares(df: DataFrame, fold: str, probs: str, correct_index: str, bins: int = 20, isotonic: bool = False) -> DataFrame:
+    """``(fold, shares)``: by class and equal bin of its probability, the share of rows of that class; null for an empty bin.
+
+    With ``isotonic`` the shares are the best that don't fall from bin to bin: the least,
+    over bins from there on, of the largest mean over bins up to there. Only folds,
+    classes and bins make rows, so their lists are small.
+    """
+    rows = df.where(F.col(probs).isNotNull() & F.col(correct_index).isNotNull())
+    long = rows.select(fold, F.posexplode(probs).alias("cls", "p"), correct_index)
+    bin_of = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int").alias("bin")
+    counted = long.groupBy(fold, "cls", bin_of).agg(F.count("*").alias("n"), F.sum((F.col(correct_index) == F.col("cls")).cast("long")).alias("hits"))
+    shares = counted.select(fold, "cls", "bin", (F.col("hits") / F.col("n")).alias("share"))
+    if isotonic:
+        keys = ["a." + fold, "a.cls"]
+        same = (F.col(f"a.{fold}") == F.col(f"b.{fold}")) & (F.col("a.cls") == F.col("b.cls")) & (F.col("b.bin") >= F.col("a.bin"))
+        upto = Window.partitionBy(*keys, "a.bin").orderBy("b.bin")
+        blocks = counted.alias("a").join(counted.alias("b"), same).select(
+            *keys, F.col("a.bin").alias("first"), F.col("b.bin").alias("last"), (F.sum("b.hits").over(upto) / F.sum("b.n").over(upto)).alias("mean")
+        )
+        least = blocks.withColumn("rest", F.min("mean").over(Window.partitionBy(fold, "cls", "first").orderBy(F.col("last").desc())))
+        # for every bin: among blocks that begin at or before it, the largest of the least means of those that end at or after it
+        by_bin = least.select(fold, "cls", F.col("last").alias("bin"), "rest")
+        shares = by_bin.groupBy(fold, "cls", "bin").agg(F.max("rest").alias("share"))
+    entries = F.map_from_entries(F.collect_list(F.struct(F.struct("cls", "bin"), "share")))
+    return shares.groupBy(fold).agg(entries.alias("shares"))
+
+
+def calibrate_by_bins(df: DataFrame, shares: DataFrame, fold: str, probs: str, bins: int = 20) -> DataFrame:
+    """``df`` with ``calibrated``: each probability replaced by its bin's share, scaled to sum 1; as it was where no share is known."""
+    joined = df.join(F.broadcast(shares), fold, "left")
+    at = lambda p, c: F.struct(c.alias("cls"), F.least(F.floor(p * bins), F.lit(bins - 1)).cast("int").alias("bin"))
+    raised = F.transform(probs, lambda p, c: F.coalesce(F.try_element_at("shares", at(p, c)), p))
+    return joined.withColumn("calibrated", F.coalesce(arrays.unit_sum(raised), F.col(probs))).drop("shares")
+
+
+#: The calibrations: how to fit on ``(df, fold, probs, correct index)``, and to apply on ``(df, fitted, fold, probs)``.
+CALIBRATORS: dict[str, tuple[Callable, Callable]] = {
+    "temperature": (fit_temperatures, calibrate),
+    "histogram": (bin_shares, calibrate_by_bins),
+    "isotonic": (partial(bin_shares, isotonic=True), calibrate_by_bins),
+}
+
+
 class CalibrationCallback(Callback):
     """Calibrates each fold's probabilities on its own holdout labels during a cross-validation.
 
@@ -92,14 +138,15 @@ class CalibrationCallback(Callback):
     error before and after. Works for flat and for token predictions, by the key columns.
     """
 
-    def __init__(self, truth: DataFrame, keys: list[str]):
+    def __init__(self, truth: DataFrame, keys: list[str], method: str = "temperature"):
         self.truth, self.keys = truth, keys
+        self.fit, self.apply = CALIBRATORS[method]
         self.errors: list[tuple[int, float, float]] = []
 
     def on_after_predicting(self, fold: int, predicted: DataFrame) -> DataFrame:
         rows = predicted.join(self.truth.select(*self.keys, "idx"), self.keys).withColumn("__fold", F.lit(fold))
-        fitted = fit_temperatures(rows, "__fold", "probs", "idx")
-        after = calibrate(rows, fitted, "__fold", "probs")
+        fitted = self.fit(rows, "__fold", "probs", "idx")
+        after = self.apply(rows, fitted, "__fold", "probs")
         before, calibrated = (expected_calibration_error(after, c, "idx").first().ece for c in ("probs", "calibrated"))
         self.errors.append((fold, before, calibrated))
-        return calibrate(predicted.withColumn("__fold", F.lit(fold)), fitted, "__fold", "probs").drop("__fold")
+        return self.apply(predicted.withColumn("__fold", F.lit(fold)), fitted, "__fold", "probs").drop("__fold")

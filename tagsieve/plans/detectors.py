@@ -354,6 +354,16 @@ def calibrated_error(spark, sf):
     return rounded(metrics.expected_calibration_error(calibrated, "calibrated", "idx"), "ece")
 
 
+def _binned_error(isotonic: bool):
+    def query(spark, sf):
+        rows = _gold_probs(spark, sf)
+        fitted = metrics.bin_shares(rows, "fold", "probs", "idx", isotonic=isotonic)
+        calibrated = metrics.calibrate_by_bins(rows, fitted, "fold", "probs")
+        return rounded(metrics.expected_calibration_error(calibrated.withColumn("calibrated", F.transform("calibrated", lambda p: F.round(p, 9))), "calibrated", "idx"), "ece")
+
+    return query
+
+
 def tf_idf(spark, sf):
     return rounded(features.tf_idf(table(spark, sf, "instances"), "id", "text", STOP_WORDS), "weight")
 
@@ -442,12 +452,15 @@ QUERIES = {
     "calibration_error": calibration_error,
     "temperatures": temperatures,
     "calibrated_error": calibrated_error,
+    "histogram_calibrated_error": _binned_error(False),
+    "isotonic_calibrated_error": _binned_error(True),
     "tf_idf": tf_idf,
     "token_features": token_features,
     "oof_dummy_text": _oof_text(text.dummy, folds=3),
     "oof_first_word": _oof_text(text.first_word, folds=FOLDS),
     "oof_max_ent_text": _oof_text(text.max_ent),
     "oof_bigram_hash_text": _oof_text(text.bigram_hash),
+    "oof_forest_text": _oof_text(text.forest),
     "oof_boosted_trees_text": _oof_text(text.boosted_trees),
     "oof_dropout_text": _oof_text(text.dropout_softmax),
     "oof_dummy_tags": _oof_tags(tagging.dummy, folds=2),
@@ -590,6 +603,25 @@ _ECE = """, binned as (select least(floor(list_max({p}) * 10), 9) as bin, list_m
 select round(sum(n * gap) / sum(n), 6) as ece from (select bin, count(*) as n, abs(avg(hit) - avg(conf)) as gap from binned group by 1)"""
 
 
+def _binned_sql(isotonic: bool) -> str:
+    """Calibration by the shares of 20 bins of each fold and class."""
+    shares = "select fold, cls, bin, hits / n as share from counted"
+    if isotonic:
+        shares = """select fold, cls, bin, max(rest) as share from (
+        select f.fold, f.cls, f.bin as first, b.bin, (
+            select min(mean) from (
+                select (select sum(hits) / sum(n) from counted m where m.fold = f.fold and m.cls = f.cls and m.bin between f.bin and e.bin) as mean
+                from counted e where e.fold = f.fold and e.cls = f.cls and e.bin >= b.bin)) as rest
+        from counted f join counted b on b.fold = f.fold and b.cls = f.cls and b.bin >= f.bin) group by 1, 2, 3"""
+    return f"""with {_LABELLED}, gold_rows as (select id, g, id % 3 as fold, probs from labelled where g is not null),
+long as (select id, g, fold, unnest(range(len(probs))) as cls, unnest(probs) as p from gold_rows),
+placed as (select *, least(floor(p * 20), 19)::int as bin from long),
+counted as (select fold, cls, bin, count(*) as n, count(*) filter (g = cls) as hits from placed group by 1, 2, 3),
+shares as ({shares}),
+raised as (select id, any_value(g) as g, list(coalesce(share, p) order by cls) as q, list(p order by cls) as probs from placed left join shares using (fold, cls, bin) group by id),
+cal as (select g, list_transform(case when list_sum(q) > 0 then list_transform(q, lambda x: x / list_sum(q)) else probs end, lambda x: round(x, 9)) as c from raised)""" + _ECE.format(p="c", t="cal")
+
+
 def _dawid_skene_sql(iterations: int) -> str:
     """The estimates unrolled: shares of the votes, then prior, confusion and estimate in turn."""
     steps = [
@@ -896,6 +928,8 @@ with l as (select gold, row_number() over (order by gold) - 1 as idx from (selec
 d as (select sent_id, pos, idx, l.gold as label, {hash_unit_sql(42, "sent_id", "pos", "idx")} + 1e-9 as q from tokens, l)
 select sent_id, pos, label as prediction, round(q / sum(q) over (partition by sent_id, pos), 6) as p from d
 qualify row_number() over (partition by sent_id, pos order by q desc, idx) = 1""",
+    "histogram_calibrated_error": _binned_sql(False),
+    "isotonic_calibrated_error": _binned_sql(True),
     "tf_idf": f"""
 with terms as (select id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN_][\\pL\\pN_]+')) as term from instances),
 counts as (select id, term, count(*) as tf from terms where term not in ({", ".join(f"'{w}'" for w in STOP_WORDS)}) group by 1, 2),

@@ -6,7 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from enum import Enum
 
-from tagsieve.operators import dynamics, ensemble, labels, noise, probability, sequences, vectors
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tagsieve.functions import arrays
+from tagsieve.operators import dynamics, ensemble, labels, noise, probability, sequences, spans, vectors
 
 
 class Kind(Enum):
@@ -48,11 +52,11 @@ def _detectors() -> list[Detector]:
         of("variation_n_grams_span", flag, sequences.variation_n_grams_span, "tokens", correct=True),
         of("retag", flag, probability.retag, "instances", "preds", correct=True),
         of("classification_entropy", score, probability.classification_entropy, "probs"),
-        of("classification_uncertainty", score, probability.classification_uncertainty, "instances", "probs"),
+        of("classification_uncertainty", score, probability.classification_uncertainty, "instances", "probs", "classes"),
         of("prediction_margin", score, probability.prediction_margin, "probs"),
-        of("confident_learning", flag, probability.confident_learning, "instances", "probs"),
+        of("confident_learning", flag, probability.confident_learning, "instances", "probs", "classes"),
         of("dropout_uncertainty", score, probability.dropout_uncertainty, "rep_probs"),
-        of("label_aggregation", flag, ensemble.label_aggregation, "instances", "rep_probs", correct=True),
+        of("label_aggregation", flag, ensemble.label_aggregation, "instances", "rep_probs", "classes", correct=True),
         of("majority_voting_ensemble", flag, ensemble.majority_voting_ensemble, "instances", "preds", correct=True),
         of("borda_count", score, ensemble.borda_count, "scores"),
         of("item_response_theory", flag, ensemble.item_response_flags, "instances", "preds"),
@@ -69,3 +73,70 @@ def _detectors() -> list[Detector]:
 
 
 DETECTORS = {d.name: d for d in _detectors()}
+
+#: How each detector takes its part of a bundle; the relations are those of ``relations`` by name, ``classes`` the class table
+#: ``(idx, label)``, ``spans`` the spans of a tagging and ``scores`` the scores of several scorers. ``instances`` has ``form`` too
+#: where forms are asked for, ``tokens`` likewise.
+_CALLS: dict[str, Callable] = {
+    "majority_label": lambda b, run: run(b["instances"], "id", "noisy"),
+    "majority_per_form": lambda b, run: run(_formed(b["instances"]), "id", "form", "noisy"),
+    "label_entropy": lambda b, run: run(_formed(b["instances"]), "id", "form", "noisy"),
+    "weighted_discrepancy": lambda b, run: run(_formed(b["instances"]), "id", "form", "noisy"),
+    "variation_n_grams": lambda b, run: run(_formed(b["tokens"], "token"), "form", "noisy"),
+    "variation_n_grams_span": lambda b, run: run(_formed(b["tokens"], "token"), b.get("spans") or spans.bio_spans(b["tokens"], "noisy"), "form"),
+    "retag": lambda b, run: run(b["instances"].join(_first_model(b["preds"]), "id"), "id", "noisy", "prediction"),
+    "classification_entropy": lambda b, run: run(b["probs"]),
+    "classification_uncertainty": lambda b, run: run(_with_probs(b), b["classes"]),
+    "prediction_margin": lambda b, run: run(b["probs"]),
+    "confident_learning": lambda b, run: run(_with_probs(b), b["classes"]),
+    "dropout_uncertainty": lambda b, run: run(b["rep_probs"]),
+    "label_aggregation": lambda b, run: run(b["instances"], _votes(b["rep_probs"]), _names(b["classes"]), b["rep_probs"].agg(F.max("t")).first()[0] + 1),
+    "majority_voting_ensemble": lambda b, run: run(b["instances"], b["preds"]),
+    "borda_count": lambda b, run: run(b["scores"]),
+    "item_response_theory": lambda b, run: run(b["instances"], b["preds"], b["preds"].agg(F.max("model")).first()[0] + 1),
+    "projection_ensemble": lambda b, run: run(b["vectors"], b["vectors"], "id", "vec", "noisy")[0],
+    "knn_entropy": lambda b, run: run(b["vectors"], "id", "vec", "noisy"),
+    "knn_flagger": lambda b, run: run(b["vectors"], "id", "vec", "noisy"),
+    "mean_distance": lambda b, run: run(b["vectors"], "id", "vec", "noisy"),
+    "datamap_confidence": lambda b, run: run(b["train_log"]),
+    "curriculum_spotter": lambda b, run: run(b["vectors"], "id", "vec", "noisy"),
+    "leitner_spotter": lambda b, run: run(b["vectors"], "id", "vec", "noisy"),
+    "random_flagger": lambda b, run: run(b["instances"], "id"),
+    "random_scorer": lambda b, run: run(b["instances"], "id"),
+}
+
+
+def _formed(df: DataFrame, text: str = "text") -> DataFrame:
+    return df if "form" in df.columns else df.withColumn("form", F.lower(text))
+
+
+def _first_model(preds: DataFrame) -> DataFrame:
+    return preds.groupBy("id").agg(F.min_by("prediction", "model").alias("prediction"))
+
+
+def _with_probs(bundle: dict[str, DataFrame]) -> DataFrame:
+    return bundle["instances"].select("id", "noisy").join(bundle["probs"], "id")
+
+
+def _votes(rep_probs: DataFrame) -> DataFrame:
+    return rep_probs.select("id", F.col("t").alias("worker"), arrays.arg_max(F.col("probs")).alias("label"))
+
+
+def _names(classes: DataFrame) -> list[str]:
+    return [r.label for r in classes.orderBy("idx").collect()]
+
+
+def run_all(bundle: dict[str, DataFrame], names: list[str] | None = None) -> dict[str, DataFrame]:
+    """The results of all detectors, or those named, that the bundle has the relations for.
+
+    One bundle serves all: each detector takes the relations that it needs and leaves the
+    others. A named detector whose relations aren't all there is an error.
+    """
+    found = {}
+    for name in names or DETECTORS:
+        missing = DETECTORS[name].needs - bundle.keys()
+        if missing and names:
+            raise ValueError(f"{name} needs {sorted(missing)}")
+        if not missing:
+            found[name] = _CALLS[name](bundle, DETECTORS[name].run)
+    return found

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tagsieve import registry
 from tagsieve.operators import crossval, dynamics, ensemble, labels, metrics, noise, probability, ranking, sequences, spans, vectors
 
 
@@ -437,6 +438,67 @@ def test_calibration_lowers_the_error_of_overconfident_rows(spark):
     assert all(sum(r.calibrated) == pytest.approx(1) for r in calibrated.limit(5).collect())
 
 
+def isotonic(hits, n):
+    """Pooled neighbours until no share falls."""
+    blocks = []
+    for h, m in zip(hits, n):
+        blocks.append([h, m, 1])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] > blocks[-1][0] / blocks[-1][1]:
+            h, m, size = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + h, blocks[-1][1] + m, blocks[-1][2] + size]
+    return [h / m for h, m, size in blocks for _ in range(size)]
+
+
+def test_bin_shares(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(900):
+        p = rng.random()
+        rows.append((i, i % 2, [p, 1 - p], 0 if rng.random() < 0.2 + 0.5 * p else 1))
+    df = spark.createDataFrame(rows, "id long, fold int, probs array<double>, idx int")
+    for steady in (False, True):
+        for found in metrics.bin_shares(df, "fold", "probs", "idx", 10, isotonic=steady).collect():
+            own = [(int(p[0] * 10), y == 0) for _, f, p, y in rows if f == found.fold]
+            n = [sum(b == k for b, _ in own) for k in range(10)]
+            hits = [sum(b == k and y for b, y in own) for k in range(10)]
+            expected = isotonic(hits, n) if steady else [h / m for h, m in zip(hits, n)]
+            assert [found.shares[(0, k)] for k in range(10)] == pytest.approx(expected)
+    for method, (fit, apply) in metrics.CALIBRATORS.items():
+        after = apply(df, fit(df, "fold", "probs", "idx"), "fold", "probs")
+        assert metrics.expected_calibration_error(after, "calibrated", "idx").first().ece < 0.12, method
+        assert all(sum(r.calibrated) == pytest.approx(1) for r in after.limit(5).collect())
+
+
+def test_one_bundle_for_all_detectors(spark, classes):
+    rng = random.Random(14)
+    ids, names = range(24), "ABC"
+    frame = spark.createDataFrame
+    noisy = {i: rng.choice(names) for i in ids}
+    p = {i: [rng.random() for _ in names] for i in ids}
+    bundle = {
+        "instances": frame([(i, f"text {i % 5}", noisy[i]) for i in ids], "id long, text string, noisy string"),
+        "classes": classes,
+        "probs": frame([(i, p[i]) for i in ids], "id long, probs array<double>"),
+        "rep_probs": frame([(i, t, [rng.random() for _ in names]) for i in ids for t in range(3)], "id long, t int, probs array<double>"),
+        "preds": frame([(i, m, 0, rng.choice(names)) for i in ids for m in range(3)], "id long, model int, fold int, prediction string"),
+        "scores": frame([(s, i, rng.random()) for s in "xy" for i in ids], "scorer string, id long, score double"),
+        "vectors": frame([(i, [rng.random() for _ in range(4)], noisy[i]) for i in ids], "id long, vec array<float>, noisy string"),
+        "tokens": frame(token_rows(SENTENCES, [["B-X"] * len(s) for s in SENTENCES]), "sent_id long, pos int, token string, noisy string"),
+        "train_log": frame([(e, i, 0, 0.5, p[i]) for e in range(2) for i in ids], "epoch int, id long, idx int, loss double, probs array<double>"),
+        "unknown": classes,
+    }
+    slow = {"curriculum_spotter", "leitner_spotter", "projection_ensemble"}
+    found = registry.run_all(bundle, sorted(registry.DETECTORS.keys() - slow))
+    for name, result in found.items():
+        assert registry.DETECTORS[name].kind.value in result.columns, name
+        assert ("corrected" in result.columns) == registry.DETECTORS[name].supports_correction, name
+        assert result.count() >= 24, name
+    assert registry._CALLS.keys() == registry.DETECTORS.keys()
+    assert set(registry.run_all({"probs": bundle["probs"]})) == {"classification_entropy", "prediction_margin"}
+    with pytest.raises(ValueError):
+        registry.run_all({"probs": bundle["probs"]}, ["retag"])
+
+
 def test_noise_rates(spark, classes):
     df = spark.range(4_000).select("id", F.element_at(F.array(*map(F.lit, "ABC")), (F.col("id") % 3 + 1).cast("int")).alias("gold"))
     flipped = df.join(noise.flipped_label_noise(df, "id", "gold", classes, 0.1), "id")

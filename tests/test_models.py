@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ def texts(spark):
     return spark.createDataFrame([*rows, (60, None, "bad"), (61, "great lovely", None)], "id long, text string, noisy string")
 
 
-@pytest.mark.parametrize("model", [text.max_ent, text.bigram_hash, text.boosted_trees])
+@pytest.mark.parametrize("model", [text.max_ent, text.bigram_hash, text.forest, text.boosted_trees])
 def test_text_models_learn(texts, model):
     predicted = {r.id: r for r in model(LABELS, width=1 << 10)(texts)(texts).collect()}
     assert len(predicted) == 62
@@ -23,6 +24,68 @@ def test_text_models_learn(texts, model):
     assert sum(predicted[i].prediction == LABELS[i % 2 == 0] for i in range(60)) >= 58
 
 
+class Words:
+    """A tiny model of one's own: per class word counts, with dropout by a seed."""
+
+    def fit(self, texts, targets, classes, on_epoch):
+        self.counts, self.classes = {}, classes
+        for epoch in range(3):
+            for t, y in zip(texts, targets):
+                for w in t.split():
+                    self.counts.setdefault(w, np.ones(classes))[y] += 1
+            on_epoch(epoch)
+
+    def predict_proba(self, texts, dropout_seed=None):
+        rng = None if dropout_seed is None else np.random.default_rng(dropout_seed)
+        rows = []
+        for t in texts:
+            kept = [w for w in t.split() if rng is None or rng.random() > 0.5]
+            p = np.prod([self.counts.get(w, np.ones(self.classes)) / self.counts.get(w, np.ones(self.classes)).sum() for w in kept], axis=0) if kept else np.ones(self.classes)
+            rows.append(p / p.sum())
+        return np.array(rows)
+
+
+def test_own_models_are_fitted_asked_and_turned(texts):
+    log = []
+    fit = text.own_model(Words, LABELS, batch_size=7, on_epoch=lambda epoch, predict: log.append((epoch, predict(texts).where("prediction is not null").count())))
+    assert fit.__name__ == "fit"
+    predict = fit(texts)
+    assert log == [(0, 62), (1, 62), (2, 62)]
+    predicted = {r.id: r for r in predict(texts).collect()}
+    assert all(predicted[i].prediction == LABELS[i % 2 == 0] for i in range(60))
+    turned = crossval.repeat_inference(texts, predict, 5).collect()
+    assert len(turned) == 62 * 5 and {r.t for r in turned} == set(range(5))
+    assert len({tuple(r.probs) for r in turned if r.id == 3}) > 1
+    folds = crossval.stratified_folds(texts, "id", "noisy", 3)
+    held_out = {r.id: r.prediction for r in crossval.cross_validate(texts, folds, "id", text.own_model(Words, LABELS), 3).collect()}
+    assert len(held_out) == 62 and sum(held_out[i] == LABELS[i % 2 == 0] for i in range(60)) >= 58
+
+
+def test_first_word_model_sees_other_folds_only(spark):
+    df = spark.createDataFrame([(i, f"word{i} x", LABELS[i % 2]) for i in range(20)], "id long, text string, noisy string")
+    fit = text.first_word(LABELS)
+    assert {tuple(r.probs) for r in fit(df)(df).collect()} == {(2 / 3, 1 / 3), (1 / 3, 2 / 3)}
+    unseen = crossval.cross_validate(df, crossval.stratified_folds(df, "id", "noisy", 4), "id", fit, 4).collect()
+    assert len(unseen) == 20 and {tuple(r.probs) for r in unseen} == {(0.5, 0.5)}
+
+
+def test_taggers_turn(tokens):
+    predict = tagging.crf([".", "D", "N", "V"])(tokens)
+    turned = crossval.repeat_inference(tokens, predict, 4).collect()
+    assert len(turned) == 4 * tokens.count() and all(sum(r.probs) == pytest.approx(1) for r in turned)
+    assert len({tuple(r.probs) for r in turned if (r.sent_id, r.pos) == (0, 1)}) > 1
+    again = {(r.sent_id, r.pos, r.t): r.probs for r in crossval.repeat_inference(tokens.repartition(3), predict, 4).collect()}
+    assert all(again[r.sent_id, r.pos, r.t] == pytest.approx(r.probs) for r in turned)
+
+
+def test_vectors_in_context(tokens):
+    def make():
+        return lambda sentences: [[[len(w), len(ws), k] for k, w in enumerate(ws)] for ws in sentences]
+
+    rows = features.embed_in_context(tokens, make).join(tokens, ["sent_id", "pos"]).collect()
+    assert len(rows) == tokens.count() and all(list(r.vec) == [len(r.token), 4, r.pos] for r in rows)
+
+
 def test_missing_label_has_probability_zero(texts):
     predicted = text.max_ent([*LABELS, "never"], width=1 << 8)(texts)(texts).first()
     assert len(predicted.probs) == 3

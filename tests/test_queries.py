@@ -38,7 +38,8 @@ def test_projection_query_has_all_models(spark, monkeypatch):
 SETTINGS = {
     "oof_max_ent_text": lambda own: own["estimator"].getMaxIter() == 100,
     "oof_bigram_hash_text": lambda own: own["estimator"].getMaxIter() == 50 and own["stages"][-1].getNumFeatures() == 200_000,
-    "oof_boosted_trees_text": lambda own: own["estimator"].getNumTrees() == 30,
+    "oof_forest_text": lambda own: own["estimator"].getNumTrees() == 30,
+    "oof_boosted_trees_text": lambda own: own["trees"] == 20,
     "oof_dropout_text": lambda own: own["epochs"] == 3 and own["max_train_rows"] == 50_000,
     "oof_max_ent_tags": lambda own: own["iterations"] == 50,
     "oof_crf_tags": lambda own: own["epochs"] == 3 and own["max_train_sentences"] == 5_000,
