@@ -70,3 +70,8 @@ def hash_unit_sql(seed: int, *parts: str) -> str:
     """The SQL of ``hash_unit``."""
     joined = " || '/' || ".join([f"'{seed}'", *[f"({part})::bigint::varchar" for part in parts]])
     return f"(('0x' || md5({joined})[1:8])::bigint / {1 << 32}.0::double)"
+
+
+def folded(text: Column) -> Column:
+    """Lower case in which a sigma is the same at the end of a word, as engines differ there."""
+    return F.translate(F.lower(text), "ς", "σ")

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagsieve.functions import arrays
-from tagsieve.functions.arrays import hash_unit, hash_unit_sql
+from tagsieve.functions.arrays import folded, hash_unit, hash_unit_sql
 from tagsieve.models import features, tagging, text
 from tagsieve.operators import crossval, dynamics, ensemble, labels, metrics, noise, probability, sequences, spans, vectors
-from tagsieve.plans.runtime import table
+from tagsieve.plans import relations
+from tagsieve.plans.runtime import stored_path, table
+from tagsieve.sources import conll, tsv
 
 #: Models of ``preds``, turns of repeated inference, neighbours and folds of the queries.
 MODELS, TURNS, K, FOLDS = 3, 10, 10, 5
@@ -31,11 +33,11 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "spans").withColumn("form", F.lower("surface_form"))
+    return table(spark, sf, "spans").withColumn("form", folded(F.col("surface_form")))
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = table(spark, sf, "tokens").withColumn("form", F.lower("token"))
+    tokens = table(spark, sf, "tokens").withColumn("form", folded(F.col("token")))
     return tokens.withColumn("tid", F.col("sent_id") * 100_000 + F.col("pos"))
 
 
@@ -373,6 +375,47 @@ def token_features(spark, sf):
     return rows.select("sent_id", "pos", "own.*", F.col("before.suffix_2").alias("before_suffix"), F.col("after.is_upper").alias("after_upper"))
 
 
+def _written_tsv(spark, sf) -> DataFrame:
+    """The labelled instances written as TSV files and loaded again."""
+    path = stored_path(spark)
+    tsv.write_text_classification_tsv(table(spark, sf, "instances").select(F.col("text").alias("texts"), "gold", "noisy"), path)
+    return tsv.load_text_classification_tsv(spark, path, table(spark, sf, "label_set"))
+
+
+def tsv_loaded(spark, sf):
+    return _written_tsv(spark, sf).select("texts", "gold", "noisy", "reason")
+
+
+def conll_loaded(spark, sf):
+    path = stored_path(spark)
+    conll.write_conll(table(spark, sf, "tokens"), path)
+    return conll.read_conll(spark, path).select("pos", "token", "gold", "noisy")
+
+
+def relation_summary(spark, sf):
+    parts = [relations.summary(table(spark, sf, tab)).withColumn("tab", F.lit(tab)) for tab in ("instances", "tokens", "spans")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def tag_sets(spark, sf):
+    parts = [relations.tag_set(table(spark, sf, tab)).withColumn("tab", F.lit(tab)) for tab in ("instances", "tokens", "spans")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def label_codes(spark, sf):
+    return relations.label_encoder(table(spark, sf, "instances"))
+
+
+def oof_calibrated(spark, sf):
+    """The first-word model out of three folds, calibrated by a callback on the labels of each fold."""
+    rows = table(spark, sf, "instances").select("id", "text", "noisy").where("noisy is not null")
+    truth = probability.with_label_index(rows, table(spark, sf, "label_set"), "noisy").select("id", "idx")
+    callback = metrics.CalibrationCallback(truth, ["id"], method="histogram")
+    assigned = crossval.stratified_folds(rows, "id", "noisy", 3)
+    found = crossval.cross_validate(rows, assigned, "id", text.first_word(_label_names(spark, sf)), 3, (callback,))
+    return rounded(found.select("id", "prediction", F.array_max("calibrated").alias("p")), "p")
+
+
 def _oof_text(model, folds=FIT_FOLDS):
     def query(spark, sf):
         rows = table(spark, sf, "instances").select("id", "text", "noisy")
@@ -457,6 +500,12 @@ QUERIES = {
     "tf_idf": tf_idf,
     "token_features": token_features,
     "oof_dummy_text": _oof_text(text.dummy, folds=3),
+    "tsv_loaded": tsv_loaded,
+    "conll_loaded": conll_loaded,
+    "relation_summary": relation_summary,
+    "tag_sets": tag_sets,
+    "label_codes": label_codes,
+    "oof_calibrated": oof_calibrated,
     "oof_first_word": _oof_text(text.first_word, folds=FOLDS),
     "oof_max_ent_text": _oof_text(text.max_ent),
     "oof_bigram_hash_text": _oof_text(text.bigram_hash),
@@ -478,7 +527,7 @@ _LABELLED = "labelled as (select i.id, i.noisy, i.gold, p.probs, l.idx as s, g.i
 _ARGMAX = "list_position(probs, list_max(probs)) - 1"
 
 _FORM = """
-with rows_of as (select {id} as id, lower({text}) as form, noisy as label from {tab}),
+with rows_of as (select {id} as id, replace(lower({text}), 'ς', 'σ') as form, noisy as label from {tab}),
 c as (select form, label, count(*) as c, min(id) as first from rows_of where form is not null and label is not null group by 1, 2),
 stats as (
     select form, sum(c)::bigint as n, count(*) as k, max(c) as most, min(c) as least, arg_max(label, (c, -first)) as majority,
@@ -939,4 +988,31 @@ idf as (
 ), w as (select id, term, (1 + ln(tf)) * idf as w from counts join idf using (term))
 select id, term, round(w / sqrt(sum(w * w) over (partition by id)), 6) as weight from w""",
     "token_features": _shape_sql(),
+    "tsv_loaded": """
+with c as (select coalesce(text, '') as texts, coalesce(gold, '') as gold, coalesce(noisy, '') as noisy from instances),
+j as (select *, gold in (select label from label_set) and noisy in (select label from label_set) and not regexp_full_match(texts, '[\\s\\p{Z}]*')
+    and not regexp_matches(texts, '[\\x{FFFD}\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]') as valid from c)
+select case when valid then texts end as texts, case when valid then gold end as gold, case when valid then noisy end as noisy,
+    case when not valid then 'value' end as reason from j""",
+    "conll_loaded": """
+select (row_number() over (partition by sent_id order by pos) - 1)::int as pos, coalesce(token, '') as token, coalesce(gold, '') as gold, coalesce(noisy, '') as noisy
+from tokens""",
+    "relation_summary": " union all ".join(f"select count(*) as instances, count(distinct noisy) as labels, '{t}' as tab from {t}" for t in ("instances", "tokens", "spans")),
+    "tag_sets": " union all ".join(f"select distinct noisy, '{t}' as tab from {t} where noisy is not null" for t in ("instances", "tokens", "spans")),
+    "label_codes": "select (row_number() over (order by noisy) - 1)::int as idx, noisy as label from (select distinct noisy from instances where noisy is not null)",
+    "oof_calibrated": f"""
+with r as (
+    select id, noisy, regexp_extract(lower(coalesce(text, '')), '[\\pL\\pN]+') as word,
+        ((row_number() over (partition by noisy order by {hash_unit_sql(42, 'id')}, id) - 1) % 3)::int as fold from instances where noisy is not null
+), c as (select word, fold, idx, count(*) as n from r join label_set on label = noisy group by all),
+t as (select word, idx, sum(n) as n from c group by all),
+p as (
+    select r.id, r.fold, r.noisy, l.idx, l.label, (coalesce(t.n, 0) - coalesce(c.n, 0) + 1)::double as q from r cross join label_set l
+    left join t on t.word = r.word and t.idx = l.idx left join c on c.word = r.word and c.fold = r.fold and c.idx = l.idx
+), u as (select *, q / sum(q) over (partition by id) as p from p),
+best as (select id, label from u qualify row_number() over (partition by id order by p desc, idx) = 1),
+b as (select *, least(floor(p * 20), 19)::int as bin from u),
+s as (select fold, idx, bin, avg((label = noisy)::int) as share from b where noisy in (select label from label_set) group by all),
+m as (select id, idx, coalesce(share, p) as x from b left join s using (fold, idx, bin))
+select id, label as prediction, round(max(x) / sum(x), 6) as p from m join best using (id) group by id, label""",
 }

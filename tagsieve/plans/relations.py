@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagsieve.operators.ranking import global_rank
+
 #: Columns and types of each relation; further columns are allowed and ignored.
 SCHEMAS = {
     "instances": {"id": T.LongType(), "text": T.StringType(), "noisy": T.StringType()},
@@ -45,9 +47,9 @@ def error_flags(df: DataFrame, row_id: str = "id") -> DataFrame:
 
 
 def label_encoder(df: DataFrame, label: str = "noisy") -> DataFrame:
-    """``(idx, label)``: the distinct labels in order, numbered from 0 without a one-task window over rows."""
-    names = F.array_sort(F.collect_set(label))
-    return df.agg(names.alias("names")).select(F.posexplode("names").alias("idx", "label"))
+    """``(idx, label)``: the distinct labels in order, numbered from 0 by ranks over all partitions, however many there are."""
+    ranked = global_rank(tag_set(df, label), [F.col(label)], "place")
+    return ranked.select((F.col("place") - 1).cast("int").alias("idx"), F.col(label).alias("label"))
 
 
 def subset(df: DataFrame, n: int, row_id: str = "id") -> DataFrame:

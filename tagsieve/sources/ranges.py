@@ -13,16 +13,23 @@ from pyspark.sql import functions as F
 
 #: Bytes of a range.
 RANGE_BYTES = 64 << 20
+#: Tasks that ranges are dealt out to.
+MOST_TASKS = 100_000
 #: Bytes that are read on at first where a record goes on past the end of its range.
 MORE_BYTES = 1 << 16
 
 
 def byte_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """``(file_name, size, begin, end)`` of all ranges of the files of ``path``; an empty file has none."""
+    """``(file_name, size, begin, end)`` of all ranges of the files of ``path``, dealt out to tasks; an empty file has none."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_name"), F.col("length").alias("size")).where("size > 0")
     begins = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long")))
     ranges = files.select("file_name", "size", begins.alias("begin"))
-    return ranges.withColumn("end", F.least(F.col("begin") + range_bytes, "size"))
+    return dealt_out(ranges.withColumn("end", F.least(F.col("begin") + range_bytes, "size")))
+
+
+def dealt_out(ranges: DataFrame) -> DataFrame:
+    """The ranges one to a task, or evenly where there are very many: a row stands for many bytes, which the planner can't know."""
+    return ranges.repartition(min(max(ranges.count(), 1), MOST_TASKS))
 
 
 @lru_cache(64)

@@ -25,14 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagsieve.plans.runtime import stored
-from tagsieve.sources.ranges import RANGE_BYTES, RangeText, byte_ranges
+from tagsieve.sources.ranges import RANGE_BYTES, RangeText, byte_ranges, dealt_out
 
 #: U+FFFD, undecodable bytes, and control characters other than tab and line breaks.
 BAD_CHARACTERS = re.compile("[�\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]")
 #: Line numbers of a part of a file whose lines are rows.
 PART_LINES = 20_000
-#: Tasks that the ranges of a load are dealt out to.
-MOST_TASKS = 100_000
 NOT_QUOTE = re.compile('[^"]*')
 
 
@@ -277,11 +275,8 @@ def load_text_classification_tsv(spark: SparkSession, path: str, label_set: Data
         parsed = parse_records(lines, label_set, "file_name", "value")
         return parsed.select("file_name", F.lit(None).cast("long").alias("begin_at"), *PARSED.names)
     ranges = byte_ranges(spark, path, range_bytes).withColumn("start", F.lit(None).cast("long"))
-    count = ranges.count()
     starts = []
     if not ranges.where("begin > 0").isEmpty():
-        ranges = ranges.repartition(min(count, MOST_TASKS))
-
 
         def ends(frames):
             import pandas as pd
@@ -293,7 +288,7 @@ def load_text_classification_tsv(spark: SparkSession, path: str, label_set: Data
         starts = settled_starts(spark, ranges, ends)
     if starts:
         moved = spark.createDataFrame(starts, "file_name string, begin long, moved long")
-        ranges = ranges.join(F.broadcast(moved), ["file_name", "begin"], "left").withColumn("start", F.col("moved"))
+        ranges = dealt_out(ranges.join(F.broadcast(moved), ["file_name", "begin"], "left").withColumn("start", F.col("moved")))
     schema = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("begin_at", T.LongType()), *PARSED])
 
     def parse(frames):
