@@ -64,6 +64,8 @@ class LookAlikes:
     mixable: str
     known: dict = field(default_factory=dict)
     own: dict = field(default_factory=dict)
+    plain: set = field(default_factory=set)
+    odd: set = field(default_factory=set)
 
     def __post_init__(self) -> None:
         self.pattern = re.compile(self.mixable)
@@ -164,23 +166,36 @@ class LookAlikes:
         found = {s: x for s in sorted(counts, key=lambda s: (-counts[s], _preferred(s))) if (x := self.spelled_in(token, s)) is not None}
         return ("mixed", None, found) if found else ("single", None, {})
 
-    def spelled_alike(self, form: str) -> tuple[str, str, int]:
-        """The form with its mixed tokens in one script, the key for comparing it, and its whole-script confusables."""
-        words = WORD.findall(form)
-        kinds = {w: self.readings(w) for w in set(words)}
-        whole = sum(kinds[w][0] == "whole" for w in words) if any(r[0] == "whole" for r in kinds.values()) else 0
+    def odd_words(self, words: set[str]) -> set[str]:
+        """Those of the words that mix scripts or could be read in another; what a word is is kept."""
+        for word in words - self.plain - self.odd:
+            (self.plain if self.readings(word)[0] == "single" else self.odd).add(word)
+        found = words & self.odd
+        if len(self.plain) + len(self.odd) > 1 << 18:
+            self.plain.clear()
+            self.odd.clear()
+        return found
+
+    def spelled_alike(self, form: str, words: list[str], odd: set[str], keyed: bool) -> tuple[str, str, int]:
+        """The form with its mixed tokens in one script, the key for comparing it, and its whole-script confusables.
+
+        ``words`` are the tokens of the form and ``odd`` its odd words. Without ``keyed`` the
+        key is the form, and confusables aren't counted.
+        """
+        kinds = {w: self.readings(w) for w in odd}
         spelled: dict[str, str] = {}
         if mixed := {w: r[2] for w, r in kinds.items() if r[0] == "mixed"}:
             context = self.context_script(words) if any(len(options) > 1 for options in mixed.values()) else None
             spelled = {w: options.get(context) or next(iter(options.values())) for w, options in mixed.items()}
-        keys = {w: self.key(unicodedata.normalize("NFC", spelled.get(w, w))) for w in kinds}
-        changed = [w for w in kinds if keys[w] != w]
-        if not changed:
-            return form, form, whole
-        rest, compared = iter(words), WORD.sub(lambda match: keys[match[0]], form)
+        whole, compared = 0, form
+        if keyed:
+            whole = sum(kinds[w][0] == "whole" for w in words if w in odd)
+            keys = {w: x for w in odd if (x := self.key(unicodedata.normalize("NFC", spelled.get(w, w)))) != w}
+            if keys:
+                compared = unicodedata.normalize("NFC", WORD.sub(lambda match: keys.get(match[0], match[0]), form))
         if spelled:
-            form = WORD.sub(lambda match: spelled.get(w := next(rest), w), form)
-        return unicodedata.normalize("NFC", form), unicodedata.normalize("NFC", compared), whole
+            form = unicodedata.normalize("NFC", WORD.sub(lambda match: spelled.get(match[0], match[0]), form))
+        return form, compared if keyed else form, whole
 
     def key(self, token: str) -> str:
         """The token's spelling in the first script of all its readings."""
@@ -196,7 +211,7 @@ class LookAlikes:
         usual = {s: counts[s] for s in SCRIPTS if counts[s]}
         return max(usual or sorted(counts, key=_preferred), key=counts.__getitem__, default=None)
 
-    def inspect(self, text: str) -> tuple[str, dict[str, bool], int, str]:
+    def inspect(self, text: str, keyed: bool = True) -> tuple[str, dict[str, bool], int, str]:
         """The consistent form of a text, what made it differ, its whole-script confusables and the key for comparing it."""
         flags = dict.fromkeys(FLAGS, False)
         if text.isascii():
@@ -212,13 +227,17 @@ class LookAlikes:
             flags["compatibility"] = unicodedata.normalize("NFKC", plain_spaces) != composed
             form = unicodedata.normalize("NFKC", INVISIBLE.sub("", plain_spaces))
         if self.pattern.search(text) or self.pattern.search(form):
-            flags["mixed"] = any(self.readings(w)[0] == "mixed" for w in set(WORD.findall(text)))
-            form, key, whole = self.spelled_alike(form)
-            return form, flags, whole, key
+            words = WORD.findall(form)
+            odd = self.odd_words(set(words))
+            before = odd if form is text else self.odd_words(set(WORD.findall(text)))
+            flags["mixed"] = any(self.readings(w)[0] == "mixed" for w in before)
+            if odd:
+                form, key, whole = self.spelled_alike(form, words, odd, keyed)
+                return form, flags, whole, key
         return form, flags, whole, form
 
     def consistent_form(self, text: str) -> str:
-        return self.inspect(text)[0]
+        return self.inspect(text, keyed=False)[0]
 
 
 _PUBLIC: list[LookAlikes] = []
