@@ -2,8 +2,8 @@
 
 The model is softmax regression over vectors, trained by full-batch steps whose gradients
 are summed across partitions. What a row was at an epoch, its loss, correctness and queue,
-follows from the weights of the epochs and a few numbers for each, so no table of states is
-kept: every epoch is one pass over the rows with the weights so far.
+follows from the weights of the epochs and a few numbers for each: every epoch is one pass
+over the rows with the weights since the state of the rows was last written, if it ever was.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagsieve.operators.ranking import global_rank
+from tagsieve.plans.runtime import stored
+
+#: Epochs after which the state of every row is written.
+KEEP_EVERY = 8
 
 
 def datamap_confidence(log: DataFrame, row_id: str = "id") -> DataFrame:
@@ -66,7 +70,11 @@ class SoftmaxTraining:
         sums = self.rows.mapInPandas(gradient, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
         flat = np.zeros(width * classes + 1)
         flat[sums["at"].to_numpy()] = sums["x"].to_numpy()
-        return weights - self.rate * flat[:-1].reshape(width, classes) / max(flat[-1], 1)
+        return self.moved(weights, flat[:-1].reshape(width, classes), flat[-1])
+
+    def moved(self, weights: np.ndarray, gradient: np.ndarray, rows: float) -> np.ndarray:
+        """Weights after a step along the gradient summed over so many rows."""
+        return weights - self.rate * gradient / max(rows, 1)
 
     def start(self) -> np.ndarray:
         return np.zeros((self.width, self.classes))
@@ -173,40 +181,72 @@ def leitner_spotter(df: DataFrame, row_id: str = "vec_id", vector: str = "embedd
     their final loss.
     """
     training = SoftmaxTraining(df, row_id, vector, label)
-    weights, first_sizes = [training.start()], []
-    predict = training.predict
-
-    def queue_at(frame, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Queues after all epochs so far, with the losses and first-queue members by epoch."""
-        queue = np.zeros(len(frame), int)
-        if not known:
-            return queue, np.zeros((0, len(frame))), np.zeros((0, len(frame)), bool)
-        _, _, loss, right = predict(known, frame)
-        member = np.zeros((len(known), len(frame)), bool)
-        for epoch in range(len(known)):
-            trained = epoch % (1 << queue) == 0
-            queue = np.where(trained, np.where(right[epoch], np.minimum(queue + 1, queues - 1), 0), queue)
-            member[epoch] = queue == 0
-        return queue, loss, member
+    weights, sizes, predict, width, classes = [training.start()], [], training.predict, training.width, training.classes
+    # queue, score so far and last loss of every row are kept every few epochs, so that a pass replays only those since
+    state, since = training.rows.select("*", F.lit(0).alias("queue"), F.lit(0.0).alias("total"), F.lit(0.0).alias("loss")), 0
+
+    def replayed(frame, since: int, known: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queues, scores and losses after the epochs known; the score of an epoch whose first queue isn't counted yet is left out."""
+        queue, total, loss = (frame[c].to_numpy() for c in ("queue", "total", "loss"))
+        if known:
+            _, _, losses, right = predict(known, frame)
+            for k in range(len(known)):
+                trained = (since + k) % (1 << queue) == 0
+                queue = np.where(trained, np.where(right[k], np.minimum(queue + 1, queues - 1), 0), queue)
+                loss = losses[k]
+                if k < len(sizes):
+                    total = total + np.where(queue == 0, loss + (1 / sizes[k] if sizes[k] else 0.0), 0)
+        return queue, total, loss
 
     for epoch in range(epochs):
-        known = weights[1:]
-        weights.append(training.step(weights[-1], lambda frame, known=known, epoch=epoch: epoch % (1 << queue_at(frame, known)[0]) == 0))
-        known = weights[1:]
+        if epoch - since == KEEP_EVERY:
 
-        def first_queue(frame, known=known):
+            def kept(frames: Iterator, since=since, known=weights[since + 1 : epoch], sizes=sizes[since : epoch - 1]) -> Iterator:
+                for frame in frames:
+                    if len(frame):
+                        queue, total, loss = replayed(frame, since, known, sizes)
+                        yield frame.assign(queue=queue, total=total, loss=loss)
+
+            state, since = stored(state.mapInPandas(kept, state.schema)), epoch - 1
+        known, counted = weights[since + 1 :], sizes[since:]
+
+        def sums(frames: Iterator, since=since, known=known, counted=counted, weight=weights[-1], epoch=epoch) -> Iterator:
+            """The gradient over the rows that this epoch trains, their number and that of the first queue after the last epoch."""
             import pandas as pd
 
-            return pd.DataFrame({"n": [int(queue_at(frame, known)[2][-1].sum())]})
+            total, n, first = np.zeros((width, classes)), 0, 0
+            for frame in frames:
+                if len(frame):
+                    queue, _, _ = replayed(frame, since, known, counted)
+                    mask = epoch % (1 << queue) == 0
+                    v, p, _, _ = predict([weight], frame)
+                    total += v[mask].T @ (p[0] - np.eye(classes)[frame["y"].to_numpy()])[mask]
+                    n, first = n + int(mask.sum()), first + int((queue == 0).sum())
+            yield pd.DataFrame({"at": np.arange(total.size + 2), "x": np.r_[total.ravel(), n, first]})
+
+        added = state.mapInPandas(sums, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+        flat = np.zeros(width * classes + 2)
+        flat[added["at"].to_numpy()] = added["x"].to_numpy()
+        if epoch:
+            sizes.append(int(flat[-1]))
+        weights.append(training.moved(weights[-1], flat[:-2].reshape(width, classes), flat[-2]))
+    known, counted = weights[since + 1 :], sizes[since:]
+
+    def last_size(frames: Iterator) -> Iterator:
+        import pandas as pd
 
-        first_sizes.append(training.final(first_queue, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        yield pd.DataFrame({"n": [sum(int((replayed(f, since, known, counted)[0] == 0).sum()) for f in frames if len(f))]})
 
-    def score(frame):
+    if epochs:
+        sizes.append(state.mapInPandas(last_size, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    counted = sizes[since:]
+
+    def score(frames: Iterator) -> Iterator:
         import pandas as pd
 
-        _, loss, member = queue_at(frame, weights[1:])
-        bonus = np.array([1 / s if s else 0.0 for s in first_sizes])
-        total = np.where(member, loss + bonus[:, None], 0).sum(axis=0)
-        return pd.DataFrame({"id": frame["id"], "score": np.where(total == 0, loss[-1], total)})
+        for frame in frames:
+            if len(frame):
+                _, total, loss = replayed(frame, since, known, counted)
+                yield pd.DataFrame({"id": frame["id"], "score": np.where(total == 0, loss, total)})
 
-    return training.final(score, "id long, score double").withColumnRenamed("id", row_id)
+    return state.mapInPandas(score, "id long, score double").withColumnRenamed("id", row_id)
