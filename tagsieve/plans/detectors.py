@@ -964,7 +964,7 @@ with {_LABELLED}, r as (
 select round(avg(hit / place) filter (e), 6) as average_precision, round(count(*) filter (e and place <= cut) / any_value(cut), 6) as precision_at,
     round(count(*) filter (e and place <= cut) / any_value(errors), 6) as recall_at from h""",
     "calibration_error": f"with {_LABELLED}" + _ECE.format(p="probs", t="labelled"),
-    "temperatures": f"with {_LABELLED}, {_TEMPERATURES} select fold::int as fold, round(temperature, 6) as temperature from temps",
+    "temperatures": f"with {_LABELLED}, {_TEMPERATURES} select fold::int as fold, round(temperature::double, 6) as temperature from temps",
     "calibrated_error": f"""with {_LABELLED}, {_TEMPERATURES}, raised as (
     select g, list_transform({_LOGS}, lambda x: exp(x / temperature)) as q from gold_rows join temps using (fold)
 ), cal as (select g, list_transform(q, lambda x: x / list_sum(q)) as c from raised)"""
