@@ -85,6 +85,8 @@ MOST_GAINED = -LONG * LONG_FROM
 LONGEST_LEARNT, LEAST_SEEN, HAS_POINT, MOST_LEARNT = 5, 20, 0.95, 100_000
 #: Distinct words that a task counts before it hands them on.
 MOST_KEPT = 1_000_000
+#: Letters in a row of which no abbreviation or word of consonants ends a longer one.
+UNLISTED = 1 + max(6, LONGEST_LEARNT, *map(len, NEVER_FINAL | MAY_END | BEFORE_NAMES | AFTER_NUMBER | CALENDAR))
 #: Stands for a blank line, or the end of a text, between words.
 PARAGRAPH_END = " \ue000 "
 #: Stands for a capitalised word that often opens a sentence.
@@ -110,8 +112,8 @@ THAI_GAP = regex.compile(r"(?<=\p{Thai})\p{Zs}+(?=[\p{Thai}\"“(«])|(?<=\p{Tha
 #: The word that ends where the search ends; it is searched backwards.
 LAST_WORD = regex.compile(r"(?r)(?:[\p{L}\p{M}\p{N}\p{Cf}]+[.'’])*[\p{L}\p{M}\p{N}\p{Cf}]+\Z")
 UNSEEN = regex.compile(r"\p{Cf}+")
-#: A word of consonants only that isn't all capitals.
-NO_VOWEL = regex.compile(r"(?=.+\p{Ll})(?:\p{Lu}?[b-df-hj-np-tv-xz]{2,}|\p{Lu}?[бвгджзйклмнпрстфхцчшщ]{2,})")
+#: A short word of consonants only that isn't all capitals.
+NO_VOWEL = regex.compile(r"(?=.+\p{Ll})(?:\p{Lu}?[b-df-hj-np-tv-xz]{2,5}|\p{Lu}?[бвгджзйклмнпрстфхцчшщ]{2,5})")
 AND_SO_ON = regex.compile(r"(?i)\bт\.\s*[дп]\Z")
 NUMBER_BEFORE = regex.compile(r"(?r)\d\s*[\p{L}\p{M}]+\Z")
 WORD_BEFORE = regex.compile(r"(?r)([\p{L}\p{M}]+)\s+\d+\Z")
@@ -248,6 +250,8 @@ def closing_score(text: str, mark_at: int, mark: str, lexicon: Lexicon = Lexicon
     """How well the word before a mark, and the mark, close a sentence."""
     if mark[0] != "." or len(mark) > 1:
         return UNSURE if set(mark) <= set(".…") else FULL_MARK
+    if mark_at >= UNLISTED and text[mark_at - UNLISTED : mark_at].isalpha():
+        return FULL_MARK  # longer than any word that counts
     found = LAST_WORD.search(text, max(0, mark_at - 40), mark_at)
     if found is None:
         return FULL_MARK
