@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tagsieve.operators.ranking import global_rank
 from tagsieve.plans.runtime import stored
 
+#: Bins of losses that are counted at a time, and rows that are sorted on the driver.
+BINS, MAX_SORTED = 1024, 10_000
 #: Epochs after which the state of every row is written.
 KEEP_EVERY = 8
 
@@ -117,6 +119,34 @@ def train_log(df: DataFrame, row_id: str = "vec_id", vector: str = "embedding",
     return training.log(weights[1:])
 
 
+def smallest(rows: DataFrame, k: int) -> tuple[float, int, int]:
+    """``(loss, id, n)``: the last of the k smallest rows ``(loss, id)`` in order of loss and id, and their number.
+
+    Counts by bins of the loss narrow the place down, so that no row is sorted or shuffled
+    but the few in the last bin; where equal losses fill it they are ranked.
+    """
+    whole = rows.agg(F.count("*").alias("n"), F.min("loss").alias("low"), F.max("loss").alias("high")).first()
+    k = min(k, whole.n)
+    if not k:
+        return -np.inf, -1, 0
+    low, high, count, before = whole.low, whole.high, whole.n, 0
+    while count > MAX_SORTED and high > low:
+        bin_of = F.least(F.floor((F.col("loss") - F.lit(low)) / F.lit((high - low) / BINS)), F.lit(BINS - 1)).alias("bin")
+        within = rows.where(F.col("loss").between(F.lit(low), F.lit(high))).groupBy(bin_of)
+        for row in sorted(within.agg(F.count("*").alias("n"), F.min("loss").alias("low"), F.max("loss").alias("high")).collect(), key=lambda r: r.bin):
+            if before + row.n >= k:
+                break
+            before += row.n
+        if row.n == count:
+            break
+        low, high, count = row.low, row.high, row.n
+    last = rows.where(F.col("loss").between(F.lit(low), F.lit(high))).select("loss", "id")
+    if count > MAX_SORTED:
+        cut = global_rank(last, [F.col("loss"), F.col("id")], "place").where(F.col("place") == k - before).first()
+        return cut.loss, cut.id, k
+    return (*sorted(map(tuple, last.collect()))[k - before - 1], k)
+
+
 def curriculum_spotter(df: DataFrame, row_id: str = "vec_id", vector: str = "embedding", label: str = "label", epochs: int = 24) -> DataFrame:
     """``(row_id, score)``: summed loss of the rows picked as the hard part of each epoch.
 
@@ -151,14 +181,10 @@ def curriculum_spotter(df: DataFrame, row_id: str = "vec_id", vector: str = "emb
                 return np.ones(len(frame), bool)
 
         weights.append(training.step(weights[-1], chosen))
-        log = training.log([weights[-1]])
-        mean = log.where("prediction = idx").agg(F.avg("loss")).first()[0]
+        log = stored(training.log([weights[-1]]).select("id", "loss", (F.col("prediction") == F.col("idx")).alias("hit")))
+        mean = log.where("hit").agg(F.avg("loss")).first()[0]
         mean = -np.inf if mean is None else mean
-        k = int(n * epoch / epochs)
-        above = log.where(F.col("loss") > F.lit(float(mean))).select("id", "loss")
-        hard = global_rank(above, [F.col("loss"), F.col("id")], "place").where(F.col("place") <= k)
-        cut = hard.agg(F.max(F.struct("loss", "id")).alias("cut"), F.count("*").alias("n")).first()
-        rules.append((mean, cut.cut.loss, cut.cut.id, cut.n) if cut.n else (mean, -np.inf, -1, 0))
+        rules.append((mean, *smallest(log.where(F.col("loss") > F.lit(float(mean))), int(n * epoch / epochs))))
 
     def score(frame):
         import pandas as pd

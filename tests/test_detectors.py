@@ -378,6 +378,18 @@ def test_training_dynamics(spark):
     assert len(set(sorted(leitner, key=leitner.get)[-10:]) & swapped) >= 4
 
 
+@pytest.mark.parametrize("most,bins", [(10_000, 1024), (5, 4), (2, 2)])
+def test_smallest_rows_are_found_by_bins(spark, monkeypatch, most, bins):
+    monkeypatch.setattr(dynamics, "MAX_SORTED", most)
+    monkeypatch.setattr(dynamics, "BINS", bins)
+    rng = random.Random(most)
+    rows = sorted((round(rng.choice([0.5, rng.random(), rng.expovariate(1)]), 3), i) for i in range(60))
+    df = spark.createDataFrame(rows, "loss double, id long").repartition(3)
+    for k in (0, 1, 7, 25, 59, 60, 99):
+        assert dynamics.smallest(df, k) == ((*rows[min(k, 60) - 1], min(k, 60)) if k else (-np.inf, -1, 0))
+    assert dynamics.smallest(df.limit(0), 3) == (-np.inf, -1, 0)
+
+
 def test_folds_are_balanced(spark):
     df = spark.createDataFrame([(i, "ab"[i % 3 == 0]) for i in range(100)], "id long, noisy string")
     folds = crossval.stratified_folds(df, "id", "noisy", 4)
