@@ -7,8 +7,9 @@ outside.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,6 +176,156 @@ def embed_spans(spans: DataFrame, vectors: DataFrame) -> DataFrame:
     return means.groupBy("sent_id", "start_pos", "end_pos", "type").agg(ordered.alias("vec"))
 
 
+def _sentences_of(tokens: DataFrame, run: Callable, columns: list[Column], schema: str) -> DataFrame:
+    """``run`` over Arrow tables of whole sentences in their order, whose column ``place`` counts from 1 in each.
+
+    Rows that lie by sentence already aren't shuffled again. ``columns`` are made after the sort.
+    """
+    place = F.row_number().over(Window.partitionBy("sent_id").orderBy("pos"))
+    rows = tokens.where("sent_id is not null and pos is not null").withColumn("__place", place).select("sent_id", "pos", F.col("__place").alias("place"), *columns)
+
+    def whole(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        waiting: list = []
+        for batch in batches:
+            first = np.flatnonzero(batch.column("place").to_numpy() == 1)
+            cut = int(first[-1]) if len(first) else 0
+            if cut or len(first) and waiting:
+                yield from run(pa.Table.from_batches([*waiting, batch.slice(0, cut)]).combine_chunks())
+                waiting = []
+            waiting.append(batch.slice(cut))
+        if any(b.num_rows for b in waiting):
+            yield from run(pa.Table.from_batches(waiting).combine_chunks())
+
+    return rows.mapInArrow(whole, schema)
+
+
+def _runs(tags, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """First row and row after the last of every span of a column of tags, and the types."""
+    coded = tags.combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if hasattr(coded, "chunks") else coded
+    values = coded.dictionary.to_pylist()
+    spans = [v is not None and v[:2] in ("B-", "I-") for v in values]
+    names = list(dict.fromkeys(v[2:] for v, x in zip(values, spans) if x))
+    at = {n: k for k, n in enumerate(names)}
+    code = coded.indices.fill_null(len(values)).to_numpy(zero_copy_only=False)
+    kind = np.array([*(at[v[2:]] if x else -1 for v, x in zip(values, spans)), -1])[code]
+    begin = np.array([*(x and v[0] == "B" for v, x in zip(values, spans)), False])[code] | first
+    begin[1:] |= kind[1:] != kind[:-1]
+    begin &= kind >= 0
+    starts = np.flatnonzero(begin)
+    bounds = np.append(np.flatnonzero(begin | (kind < 0)), len(kind))
+    return starts, bounds[np.searchsorted(bounds, starts, "right")], [names[k] for k in kind[starts]]
+
+
+def _partners(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], size: int) -> np.ndarray:
+    """The index in ``b`` of each span of ``a``, or -1; both are sentence number, start and end, in order. See ``best_matching``."""
+    count_a, count_b = np.bincount(a[0], minlength=size), np.bincount(b[0], minlength=size)
+    from_a, from_b = np.cumsum(count_a) - count_a, np.cumsum(count_b) - count_b
+    alike = count_a == count_b
+    to = from_b[a[0]] + np.arange(len(a[0])) - from_a[a[0]]
+    there = np.flatnonzero(alike[a[0]])
+    other = to[there]
+    alike[a[0][there[(a[1][there] != b[1][other]) | (a[2][there] != b[2][other])]]] = False
+    to[~alike[a[0]]] = -1
+    for k in np.flatnonzero(~alike & (count_a > 0) & (count_b > 0)):
+        own, its = slice(from_a[k], from_a[k] + count_a[k]), slice(from_b[k], from_b[k] + count_b[k])
+        found = best_matching(list(zip(a[1][own].tolist(), a[2][own].tolist())), list(zip(b[1][its].tolist(), b[2][its].tolist())))
+        for x, y in found.items():
+            to[from_a[k] + x] = from_b[k] + y
+    return to
+
+
+def _means(lists, begin: np.ndarray, end: np.ndarray, width: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lists in rows ``begin`` to ``end``: their mean by place, where it isn't null, and the longest length.
+
+    Null elements count neither in the mean nor in its number; ``width`` leaves out later places.
+    """
+    lists = lists.combine_chunks()
+    lists = lists.combine_chunks() if hasattr(lists, "chunks") else lists
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    known = np.asarray(flat.is_valid().to_numpy(zero_copy_only=False))
+    values = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+    wide = int(size.max(initial=0))
+    if (size == wide).all():
+        x, n = values.reshape(len(size), wide), known.reshape(len(size), wide)
+    else:
+        row = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
+        x, n = np.zeros((len(size), wide)), np.zeros((len(size), wide), bool)
+        x[row, place], n[row, place] = values, known
+    x, n = x[:, :width], n[:, :width]
+    cuts = np.column_stack([begin, end]).ravel()
+
+    def over(operation: np.ufunc, array: np.ndarray) -> np.ndarray:
+        return operation.reduceat(np.concatenate([array, np.zeros_like(array[:1])]), cuts, axis=0)[::2]
+
+    number = over(np.add, n.astype(np.int64))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return over(np.add, x) / number, number > 0, over(np.maximum, size)
+
+
+def _same_places(pos: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every row the first row, and the row after the last, of its sentence that has its ``pos``."""
+    change = first.copy()
+    change[1:] |= pos[1:] != pos[:-1]
+    at = np.flatnonzero(change)
+    number = np.cumsum(change) - 1
+    return at[number], np.append(at[1:], len(pos))[number]
+
+
+def align_tagged_result(tokens: DataFrame, noisy: str, predicted: str, probs: Column | dict[int, Column], classes: DataFrame) -> DataFrame:
+    """The probabilities of ``align_span_result`` of two taggings and probabilities that are columns of the same rows.
+
+    ``(sent_id, start_pos, end_pos, type, p)``, or with ``t`` before the type if ``probs`` has
+    a column for each ``t``. A row goes to its sentence once, if it doesn't lie there
+    already, without ``probs``, which are made there; ``align_span_result`` takes spans and
+    probabilities from anywhere.
+    """
+    turns, lists = (list(probs), list(probs.values())) if isinstance(probs, dict) else ([None], [probs])
+    of_type: dict[str | None, list[int]] = {}
+    for r in label_map(classes).where("idx >= 0").collect():
+        of_type.setdefault(r["type"], []).append(r["idx"])
+    width = max((i + 1 for own in of_type.values() for i in own), default=0)
+    kinds = {c: tokens.schema[c].dataType.simpleString() for c in ("sent_id", "pos")}
+    repeat = ["t"] if isinstance(probs, dict) else []
+    schema = f"sent_id {kinds['sent_id']}, start_pos {kinds['pos']}, end_pos {kinds['pos']}, " + ("t int, " if repeat else "") + "type string, p double"
+
+    def run(table) -> Iterator:
+        import pyarrow as pa
+
+        first, pos = table["place"].to_numpy() == 1, table["pos"].to_numpy()
+        begin, end, _ = _runs(table["noisy"], first)
+        if not len(begin) or not width:
+            return
+        start, stop = pos[begin], pos[end - 1] + 1
+        other, its_end, _ = _runs(table["predicted"], first)
+        number = np.cumsum(first) - 1
+        to = _partners((number[begin], start, stop), (number[other], pos[other], pos[its_end - 1] + 1), int(number[-1]) + 1)
+        left, right = _same_places(pos, first)
+        if len(other):
+            own = np.where(to >= 0, other[to], begin), np.where(to >= 0, its_end[to], end)
+        else:
+            own = begin, end
+        for k, t in enumerate(turns):
+            means, known, size = _means(table[f"probs_{k}"], left[own[0]], right[own[1] - 1], width)
+            for name, places in of_type.items():
+                there = [i for i in places if i < means.shape[1]]
+                if not there:
+                    continue
+                has = np.flatnonzero(size > min(there))
+                n = known[has][:, there].sum(axis=1)
+                p = np.where(known[has][:, there], means[has][:, there], 0.0).sum(axis=1) / np.maximum(n, 1)
+                columns = [table["sent_id"].take(pa.array(begin[has])), pa.array(start[has]), pa.array(stop[has]), *([pa.array([t] * len(has), pa.int32())] if repeat else [])]
+                found = pa.table([*columns, pa.array([name] * len(has), pa.string()), pa.array(p, mask=n == 0)], names=["sent_id", "start_pos", "end_pos", *repeat, "type", "p"])
+                yield from found.to_batches()
+
+    columns = [F.col(noisy).alias("noisy"), F.col(predicted).alias("predicted"), *(p.cast("array<double>").alias(f"probs_{k}") for k, p in enumerate(lists))]
+    return _sentences_of(tokens, run, columns, schema)
+
+
 def is_error(gold: Column, noisy: Column) -> Column:
     """Whether a label is wrong; null labels are no error."""
     return F.coalesce(gold != noisy, F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tagsieve import registry
 from tagsieve.operators import crossval, dynamics, ensemble, labels, metrics, noise, probability, ranking, sequences, spans, vectors
+from tagsieve.plans import detectors
 
 
 def by_id(df, value="score", key="id"):
@@ -347,6 +348,52 @@ def test_span_alignment(spark):
     assert [(r.surface_form, r.gold, r.noisy, r.gold_end) for r in rows] == [("Lake Garda", "SEA", "SEA", 2), ("deep", spans.NO_ALIGNMENT, "TOWN", None), ("Lima", "TOWN", "LAND", 2)]
 
 
+def _odd_tagging(spark):
+    """Tags and lists of probabilities with gaps, nulls, several lengths, a sentence of several batches and one without spans."""
+    draw = random.Random(5)
+    tags = ["O", "B-X", "I-X", "B-Y", "I-Y", None, "I-"]
+    rows = []
+    for sent in [*range(60), None]:
+        for pos in sorted(draw.sample(range(40), draw.randrange(1, 25))) if sent != 7 else range(200):
+            p = draw.choice([None, [], [0.5], [None, 0.25, 1.0], [draw.random() for _ in range(5)], [draw.random() for _ in range(7)], [None] * 4])
+            gold = draw.choice(tags)
+            rows.append((sent, pos, "O" if sent == 3 else gold if draw.random() < 0.7 else draw.choice(tags), gold, p))
+    draw.shuffle(rows)
+    return spark.createDataFrame(rows, "sent_id long, pos int, noisy string, gold string, probs array<double>")
+
+
+@pytest.fixture
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _as_set(df, key):
+    return sorted(map(repr, ((*r[:key], None if r[key] is None else [x and round(x, 9) for x in r[key]] if isinstance(r[key], list) else round(r[key], 9)) for r in df.collect())))
+
+
+def test_tagged_results_equal_those_of_joined_spans(spark, small_batches):
+    df = _odd_tagging(spark)
+    classes = spark.createDataFrame([(0, "O"), (1, "B-X"), (2, "I-X"), (3, "B-Y"), (5, "I-Y"), (9, "B-Z")], "idx int, label string")
+    turned = df.withColumn("t", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("probs", F.transform("probs", lambda p: p / (1 + F.col("t"))))
+    turns = {0: F.col("probs"), 1: F.transform("probs", lambda p: p / 2)}
+    noisy, gold = spans.bio_spans(df, "noisy"), spans.bio_spans(df, "gold")
+    _, once, repeated = spans.align_span_result(noisy, gold, df.select("sent_id", "pos", "probs"), classes, turned.select("sent_id", "pos", "t", "probs"))
+    for found, expected in ((spans.align_tagged_result(df, "noisy", "gold", F.col("probs"), classes), once), (spans.align_tagged_result(df, "noisy", "gold", turns, classes), repeated)):
+        assert found.dtypes == expected.dtypes
+        assert _as_set(found, len(found.columns) - 1) == _as_set(expected, len(found.columns) - 1) != []
+    assert spans.align_tagged_result(df.limit(0), "noisy", "gold", F.col("probs"), classes).count() == 0
+
+
+def _shuffles(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_repeated_span_results_shuffle_tokens_once(spark):
+    assert _shuffles(detectors.span_result_repeated(spark, "/root/testdata/sf0.001")) == 1
+
+
 def test_span_results(spark):
     classes = spark.createDataFrame(list(enumerate(["O", "B-P", "I-P"])), "idx int, label string")
     noisy = spark.createDataFrame([(0, 0, 2, "P"), (1, 1, 2, "P")], "sent_id long, start_pos int, end_pos int, type string")
