@@ -326,6 +326,35 @@ def align_tagged_result(tokens: DataFrame, noisy: str, predicted: str, probs: Co
     return _sentences_of(tokens, run, columns, schema)
 
 
+def embed_tagged(tokens: DataFrame, tag: str, vector: Column) -> DataFrame:
+    """``embed_spans`` of a tagging and vectors that are columns of the same rows: ``(sent_id, start_pos, end_pos, type, vec)``.
+
+    A row goes to its sentence once, if it doesn't lie there already, without its vector, which is made there.
+    """
+    kinds = {c: tokens.schema[c].dataType.simpleString() for c in ("sent_id", "pos")}
+    schema = f"sent_id {kinds['sent_id']}, start_pos {kinds['pos']}, end_pos {kinds['pos']}, type string, vec array<double>"
+
+    def run(table) -> Iterator:
+        import pyarrow as pa
+
+        first, pos = table["place"].to_numpy() == 1, table["pos"].to_numpy()
+        begin, end, types = _runs(table["tag"], first)
+        if not len(begin):
+            return
+        left, right = _same_places(pos, first)
+        means, known, size = _means(table["vec"], left[begin], right[end - 1])
+        has = np.flatnonzero(size > 0)
+        inside = np.arange(means.shape[1]) < size[has][:, None]
+        vec = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size[has])), pa.int32()), pa.array(means[has][inside], mask=~known[has][inside]))
+        found = pa.table(
+            [table["sent_id"].take(pa.array(begin[has])), pa.array(pos[begin[has]]), pa.array(pos[end[has] - 1] + 1), pa.array([types[k] for k in has], pa.string()), vec],
+            names=["sent_id", "start_pos", "end_pos", "type", "vec"],
+        )
+        yield from found.to_batches()
+
+    return _sentences_of(tokens, run, [F.col(tag).alias("tag"), vector.cast("array<double>").alias("vec")], schema)
+
+
 def is_error(gold: Column, noisy: Column) -> Column:
     """Whether a label is wrong; null labels are no error."""
     return F.coalesce(gold != noisy, F.lit(False))

@@ -394,6 +394,17 @@ def test_repeated_span_results_shuffle_tokens_once(spark):
     assert _shuffles(detectors.span_result_repeated(spark, "/root/testdata/sf0.001")) == 1
 
 
+def test_tagged_vectors_equal_those_of_joined_spans(spark, small_batches):
+    df = _odd_tagging(spark).withColumnRenamed("probs", "vec")
+    found, expected = spans.embed_tagged(df, "noisy", F.col("vec")), spans.embed_spans(spans.bio_spans(df, "noisy"), df.select("sent_id", "pos", "vec"))
+    assert found.dtypes == expected.dtypes
+    assert _as_set(found, 4) == _as_set(expected, 4) != []
+
+
+def test_span_vectors_shuffle_tokens_once(spark):
+    assert _shuffles(detectors.span_vectors(spark, "/root/testdata/sf0.001")) == 1
+
+
 def test_span_results(spark):
     classes = spark.createDataFrame(list(enumerate(["O", "B-P", "I-P"])), "idx int, label string")
     noisy = spark.createDataFrame([(0, 0, 2, "P"), (1, 1, 2, "P")], "sent_id long, start_pos int, end_pos int, type string")
