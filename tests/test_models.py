@@ -227,3 +227,34 @@ def test_calibration_callback(texts, spark):
     found = crossval.cross_validate(rows, folds, "id", text.dummy(LABELS), 2, (callback,))
     assert found.count() == 60 and "calibrated" in found.columns
     assert [e[0] for e in callback.errors] == [0, 1] and all(after <= before + 0.1 for _, before, after in callback.errors)
+
+
+def test_iterative_fits_have_no_more_tasks_than_run_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(text, "ROWS_PER_TASK", 10)
+    rows = spark.range(0, 1000, 1, 20)
+    assert text.in_few_tasks(rows).rdd.getNumPartitions() == 20
+    assert text.in_few_tasks(rows, at_a_time=True).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism < 20
+    monkeypatch.setattr(text, "MAX_ROWS_PER_TASK", 100)
+    assert text.in_few_tasks(rows, at_a_time=True).rdd.getNumPartitions() == 10
+    assert text.in_few_tasks(rows.limit(7), at_a_time=True).rdd.getNumPartitions() == 1
+
+
+def test_fits_at_a_time_fit_the_driver(texts):
+    from threading import Lock
+
+    going, most, lock = [0], [0], Lock()
+
+    def fit(train):
+        with lock:
+            going[0] += 1
+            most[0] = max(most[0], going[0])
+        train.count()
+        with lock:
+            going[0] -= 1
+        return lambda rows: rows.select("id")
+
+    fit.driver_bytes = 1 << 50
+    folds = crossval.stratified_folds(texts, "id", "noisy", 4)
+    assert crossval.cross_validate(texts, folds, "id", fit, 4).count() == 62
+    assert most[0] == 1
+    assert text.bigram_hash(["a", "b", "c"]).driver_bytes == 25 * 8 * 3 * 200_000
