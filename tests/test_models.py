@@ -258,3 +258,28 @@ def test_fits_at_a_time_fit_the_driver(texts):
     assert crossval.cross_validate(texts, folds, "id", fit, 4).count() == 62
     assert most[0] == 1
     assert text.bigram_hash(["a", "b", "c"]).driver_bytes == 25 * 8 * 3 * 200_000
+
+
+def test_labels_go_with_the_features_of_their_tokens(spark, monkeypatch):
+    seen = []
+
+    def caught(rows, at_a_time):
+        seen.append(rows)
+        return rows
+
+    monkeypatch.setattr(tagging, "in_few_tasks", caught)
+    rows = [(s, p, w, y) for s in range(4) for p, (w, y) in enumerate([("the", "D"), ("Oak", None), ("falls", "V"), ("?", "other")])]
+    tokens = spark.createDataFrame(rows, "sent_id long, pos int, token string, noisy string")
+    assert tagging.max_ent(["D", "V"], iterations=2)(tokens)(tokens).count() == 16
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    whole = {(r.pos, r.vector) for r in _vectors(tokens).collect()}
+    assert {(r.y, r.vector) for r in seen[0].collect()} == {(p / 2, v) for p, v in whole if p in (0, 2)}
+    assert seen[0].count() == 8
+
+
+def _vectors(tokens):
+    from pyspark.ml.feature import HashingTF
+
+    hashing = HashingTF(inputCol="features", outputCol="vector", numFeatures=1 << 14, binary=True)
+    return hashing.transform(features.feature_strings(features.token_features(tokens)))
